@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, quality, token_counts
+from . import bpe, decontam, licenses, lines, minhash, pii, quality, token_counts
 from .shared import shared_dir, table
 
 
@@ -32,6 +32,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,7 +48,22 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op5_decontamination, op6_license_scan)}
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> str:
+    """The vocabulary file of the query; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_minhash_near_duplicates, op4_personal_data, op5_decontamination, op6_license_scan, op7_byte_bpe, op9_line_dedup)}
 
 
 def _quoted(text: str) -> str:
@@ -87,5 +110,21 @@ words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op3_minhash_near_duplicates": """
+WITH RECURSIVE doc AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + 2), ' ')) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(v, u) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.v, edge.b FROM reach JOIN edge ON edge.a = reach.u)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(u) AS component_id, doc_id = min(u) AS kept FROM documents LEFT JOIN size USING (doc_id) JOIN reach ON v = doc_id GROUP BY doc_id""",
     "op6_license_scan": _license_sql(),
+    "op9_line_dedup": """
+WITH line AS (SELECT doc_id, i, x, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
+run AS (SELECT doc_id, i, row_number() OVER d AS p, k, lead(k) OVER d AS k2 FROM line WHERE k <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k, k2 ORDER BY doc_id, p) AS n FROM run WHERE k2 IS NOT NULL) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i FROM run JOIN (SELECT doc_id, p FROM later UNION SELECT doc_id, p + 1 FROM later) USING (doc_id, p)),
+left_over AS (SELECT doc_id, count(*) FILTER (k <> '') AS n_lines, count(gone.i) AS n_dropped, string_agg(x, chr(10) ORDER BY line.i) FILTER (gone.i IS NULL) AS text FROM line LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(left_over.text, '')) AS text_sha256 FROM documents LEFT JOIN left_over USING (doc_id)""",
 }
