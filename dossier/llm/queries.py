@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, lines, minhash, pii, quality, token_counts
+from . import bpe, decontam, licenses, lines, lm, minhash, passages, pii, quality, token_counts
 from .shared import shared_dir, table
 
 
@@ -52,10 +52,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> str:
     """The vocabulary file of the query; operators take any path."""
     import public_tokenizers
@@ -63,7 +71,7 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_minhash_near_duplicates, op4_personal_data, op5_decontamination, op6_license_scan, op7_byte_bpe, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_minhash_near_duplicates, op4_personal_data, op5_decontamination, op6_license_scan, op7_byte_bpe, op8_language_model, op9_line_dedup, op10_repeated_passages)}
 
 
 def _quoted(text: str) -> str:
