@@ -1,6 +1,8 @@
-"""The registered queries of the audit operators and their SQL."""
+"""All registered queries of the audit operators and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import price_checks, rule_checks  # noqa: F401
+from .plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
