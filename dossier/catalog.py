@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import price_checks, rule_checks  # noqa: F401
+from .plans import compare_checks, price_checks, rule_checks  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
