@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import seq_ratio
 from ..functions.text import jaccard, name_support, norm_text
+from ..sources.shared import written
 
 
 def _unique(pairs: DataFrame, left: str, right: str, keys: list[str] = ("pk",)) -> DataFrame:
@@ -24,7 +25,8 @@ def match_items(left: DataFrame, right: DataFrame) -> DataFrame:
     Both sides: pk, seq, ktru, okpd2, tokens (array), name_norm, qty, price, unit, and marks (array: trademark, model).
     Passes: equal long code; equal short code with name support; mutually best and unique Jaccard of 0.55 or more; name
     support; a mark of the right inside the left name; equal quantity (only if something matched before); the rest in
-    order, if both sides have the same number of two or more and all pairs agree on price, quantity and unit.
+    order, if both sides have the same number of two or more and all pairs agree on price, quantity and unit. The matches
+    of each pass are written, as every later pass reads them twice.
     """
     a = left.select("pk", *[F.col(c).alias(f"l_{c}") for c in left.columns if c != "pk"])
     b = right.select("pk", *[F.col(c).alias(f"r_{c}") for c in right.columns if c != "pk"])
@@ -38,6 +40,7 @@ def match_items(left: DataFrame, right: DataFrame) -> DataFrame:
     def add(pairs: DataFrame, how: str) -> None:
         nonlocal found
         new = pairs.select("pk", F.col("l_seq").alias("l"), F.col("r_seq").alias("r"), F.lit(how).alias("how"))
+        new = written(new, "matches")
         found = new if found is None else found.unionByName(new)
 
     support = name_support(F.col("l_tokens"), F.col("r_tokens"))

@@ -72,10 +72,10 @@ def unexpected_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.unexpected_codes(w.select("pk", "code"), explained)
 
 
-@query(f"""WITH {PARTS}, c AS (SELECT kind AS pk, ktru AS code, split_part(ktru, '.', 1) || '.' || split_part(ktru, '.', 2) || '.' || split_part(ktru, '.', 3) AS h FROM parts)
+@query(f"""WITH {PARTS}, c AS (SELECT size AS pk, ktru AS code, split_part(ktru, '.', 1) || '.' || split_part(ktru, '.', 2) || '.' || split_part(ktru, '.', 3) AS h FROM parts)
 SELECT pk, code, string_agg(s, ',' ORDER BY s) AS "similar" FROM (SELECT DISTINCT a.pk, a.code, b.code AS s FROM c a JOIN c b ON a.pk = b.pk AND a.h = b.h AND a.code <> b.code) GROUP BY ALL""")
 def similar_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = parts(spark, sf_dir).select(F.col("kind").alias("pk"), F.col("ktru").alias("code"))
+    codes = parts(spark, sf_dir).select(F.col("size").alias("pk"), F.col("ktru").alias("code"))
     return op.similar_codes(codes, codes)
 
 
