@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import compare_checks, match_checks, price_checks, rule_checks, table_checks  # noqa: F401
+from .plans import compare_checks, match_checks, price_checks, rule_checks, source_checks, table_checks, text_checks  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
