@@ -106,12 +106,34 @@ class Vocabulary:
     rare_total: int
     rare_distinct: int
 
+    def __post_init__(self):
+        """A table of places by the first bits of the hash; what finds its slot taken goes to the next."""
+        self.bits = max(4, int(4 * len(self.hashes)).bit_length())
+        self.table = np.full((1 << self.bits) + len(self.hashes), -1, np.int32)
+        todo = np.arange(len(self.hashes))
+        slot = (self.hashes >> U(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.table[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            took = free[one]
+            self.table[slot[took]] = todo[took]
+            left = np.ones(len(todo), bool)
+            left[took] = False
+            todo, slot = todo[left], slot[left] + 1
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash, or -1."""
+        out = np.full(len(h), -1)
         if not len(self.hashes):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+            return out
+        at, slot = np.arange(len(h)), (h >> U(64 - self.bits)).astype(np.int64)
+        while len(at):
+            place = self.table[slot]
+            hit = (self.hashes[place] == h[at]) & (place >= 0)
+            out[at[hit]] = place[hit]
+            more = (place >= 0) & ~hit
+            at, slot = at[more], slot[more] + 1
+        return out
 
 
 def vocabulary(table: DataFrame, known: int = KNOWN) -> Vocabulary:
@@ -183,10 +205,11 @@ def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndar
     """One gradient step over a batch, with a step size for each row from its past gradients."""
     grad = _softmax(table, rows)
     grad[np.arange(len(target)), target] -= 1
-    flat = rows.ravel()
+    # both kinds of rows have numbers of 16 bits, which are sorted by digits
+    flat = rows.ravel().astype(np.uint16)
     order = np.argsort(flat, kind="stable")
-    begin = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
-    at = flat[order][begin]
+    begin = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
+    at = flat[order][begin].astype(np.int64)
     total = np.add.reduceat(grad[order // rows.shape[1]], begin)
     seen[at] += (total * total).sum(1)
     table[at] -= RATE * total / np.sqrt(seen[at] + 1e-6)[:, None]
