@@ -5,12 +5,14 @@ every pair (coordinate, value) of its signature. Pairs of one posting are counte
 shared postings only the m - T + 1 rarest are its prefix, where T is the number of coordinates that two signatures
 must share: two classes that share T meet in both prefixes, and classes with fewer than T shared postings meet none.
 
-Inside a posting no pairs are listed. Round one joins each class with the hub of its posting, the class whose
-postings are the most common; a pair with at least T equal coordinates is confirmed on the full sets. Round two
-skips classes that a confirmed hub already links, and classes whose shingles that no other candidate has rule a link
-out by the sizes alone; what is left is joined within its posting and confirmed. So each pair above the threshold is
-confirmed, or linked through its hub, or cannot be a link; T leaves a pair at the threshold out with a chance of at
-most MISS. Components are found by least labels and pointer jumps over tables in the shared folder.
+Classes with more shingles that no other candidate has than the similarity allows are done. Inside a posting no pairs
+are listed. Round one joins each class with the hub of its posting, the class whose postings are the most common; a
+pair with at least T equal coordinates is confirmed on the full sets. Round two skips classes that a confirmed hub
+already links. The classes of a hub that it leaves open are kept as what each lacks and has beside the hub, short
+lists from which the overlap of two classes follows; the join on the hub compares them in its condition, gives out
+links alone, and is split by Spark where a hub has many classes. So each pair above the threshold is confirmed, or
+linked through its hub, or cannot be a link; T leaves a pair at the threshold out with a chance of at most MISS.
+Components are found by least labels and pointer jumps over tables in the shared folder.
 
 Words are split at ASCII white space after lower-casing A-Z. Nulls: a document with no words or a null text links with
 nothing and stands for itself; a row without id also links with nothing, has no component and is kept. Repeated rows
@@ -139,7 +141,7 @@ def links(docs: DataFrame, signs: DataFrame, width: int, percent: int, coordinat
     least = threshold(percent, coordinates)
     reps = signs.where("cls is not null and doc_id is not null")
     first = reps.groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    reps = reps.join(first, (reps["cls"] == first["cls"]) & (reps["doc_id"] == first["rep"])).select(F.col("rep"), "n_shingles", "signature")
+    reps = reps.join(first, (reps["cls"] == first["cls"]) & (reps["doc_id"] == first["rep"])).select("rep", "n_shingles", "signature")
     posts = reps.select("rep", F.posexplode("signature").alias("coordinate", "value"))
     shared = posts.groupBy("coordinate", "value").agg(F.count("*").alias("n")).where("n > 1")
     own = posts.join(shared, ["coordinate", "value"]).groupBy("rep").agg(F.collect_set(F.struct("n", "coordinate", "value")).alias("own")).where(F.size("own") >= least)
@@ -149,29 +151,36 @@ def links(docs: DataFrame, signs: DataFrame, width: int, percent: int, coordinat
     signs = written(reps.join(heads.select("rep"), "rep").dropDuplicates(["rep"]).select("rep", "n_shingles", "signature"), "candidates")
     sets = written(_sets(docs.join(signs.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
 
-    places = heads.select("rep", "weight", F.explode("prefix").alias("p")).select("rep", "weight", "p.coordinate", "p.value")
+    # a partner holds at most the shingles that some other candidate has, and the similarity of a part to the whole is its share
+    alone = sets.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    known = signs.select("rep", F.col("n_shingles").alias("size")).join(alone, "rep", "left").select("rep", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    known = known.where(F.lit(100) * F.col("common") >= F.lit(percent) * F.col("size"))
+
+    places = heads.join(known, "rep").select("rep", "weight", "size", "common", F.explode("prefix").alias("p")).select("rep", "weight", "size", "common", "p.coordinate", "p.value")
     hubs = places.groupBy("coordinate", "value").agg(F.max(F.struct("weight", "rep")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("coordinate", "value", F.col("hub.rep").alias("hub"))
-    met = places.join(hubs, ["coordinate", "value"]).where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    places = written(places.join(hubs, ["coordinate", "value"]), "places")
+    met = places.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     near = written(_confirmed(met, sets, signs, percent, least), "links")
 
-    # what the hubs leave open
-    alone = sets.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    weights = heads.select(F.col("rep").alias("a"), "weight")
+    # what the hubs leave open: postings whose members aren't all linked to one hub
+    weights = places.select(F.col("rep").alias("a"), "weight").distinct()
     label = near.join(weights, "a").groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("weight", "a"))["a"].alias("label"))
-    known = signs.select("rep", "n_shingles").join(alone, "rep", "left").join(label, "rep", "left")
-    known = known.select("rep", F.col("n_shingles").alias("size"), (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common"), F.coalesce("label", "rep").alias("label"))
-    # a partner holds at most the common shingles, and the similarity of a part to the whole is its share
-    known = written(known.where(F.lit(100) * F.col("common") >= F.lit(percent) * F.col("size")), "open")
-    open_places = places.drop("weight").join(known, "rep").join(hubs, ["coordinate", "value"]).where("rep != hub")
-    open_places = written(open_places, "open-places")
-    mixed = open_places.groupBy("coordinate", "value").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("coordinate", "value")
-    left = open_places.join(mixed, ["coordinate", "value"])
+    labelled = places.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = labelled.groupBy("coordinate", "value").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("coordinate", "value")
+    family = labelled.join(mixed, ["coordinate", "value"]).where("rep != hub").select("hub", "rep", "label", "size", "common").distinct()
+    # each member by what it lacks and what it has beside its hub, from which the overlap of two members follows
+    hub_sets = sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("of_hub"))
+    family = family.join(hub_sets, "hub").join(sets, "rep")
+    family = written(family.select("hub", "rep", "label", "size", "common", F.size("of_hub").alias("n_hub"), F.array_except("of_hub", "shingles").alias("lacks"), F.array_except("shingles", "of_hub").alias("extra")), "families")
 
     def side(name: str) -> DataFrame:
-        return left.select("coordinate", "value", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "label", "size", "common")])
+        return family.select("hub", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "label", "size", "common", "n_hub", "lacks", "extra")])
 
+    inter = F.col("n_hub_a") - F.size(F.array_union("lacks_a", "lacks_b")) + F.size(F.array_intersect("extra_a", "extra_b"))
     fits = (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & _possible(percent)
-    rest = side("a").join(side("b"), ["coordinate", "value"]).where(fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    similar = F.lit(100 + percent) * inter >= F.lit(percent) * (F.col("size_a") + F.col("size_b"))
+    joined = side("a").join(side("b").withColumnRenamed("hub", "hub_b"), (F.col("hub") == F.col("hub_b")) & fits & similar)
+    rest = joined.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     return written(near.unionByName(_confirmed(rest, sets, signs, percent, least)), "links")
 
 
