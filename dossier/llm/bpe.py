@@ -196,8 +196,8 @@ class RankMap:
                 slot = b if slot == a else a
             else:
                 raise ValueError("too many ranks for the map")
-        self.keys = F.split(F.lit(" ".join(keys)), " ")
-        self.ranks = F.split(F.lit(" ".join(str(homes[k][0]) if k else str(NONE) for k in keys)), " ").cast("array<int>")
+        self._keys = " ".join(keys)
+        self._ranks = " ".join(str(homes[k][0]) if k else str(NONE) for k in keys)
 
     @staticmethod
     def spelled(raw: bytes) -> str:
@@ -207,6 +207,19 @@ class RankMap:
     def _homes(key: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(key), F.lit(_SLOTS)).cast("int"), F.pmod(F.hash(key), F.lit(_SLOTS)).cast("int")]
 
+    def within(self, body) -> Column:
+        """``body`` of this map; the two literals stand once in the plan, however often the body looks a key up."""
+
+        def bound(keys: Column) -> Column:
+            self.keys = keys
+            return _let(F.split(F.lit(self._ranks), " ").cast("array<int>"), with_ranks)
+
+        def with_ranks(ranks: Column) -> Column:
+            self.ranks = ranks
+            return body(self)
+
+        return _let(F.split(F.lit(self._keys), " "), bound)
+
     def __getitem__(self, key: Column) -> Column:
         def look(k: Column) -> Column:
             a, b = self._homes(k)
@@ -261,7 +274,7 @@ def folded(word: Column, ranks: RankMap) -> Column:
 def encoded_words(docs: DataFrame, ranks: dict[bytes, int], most: int = WORDS) -> DataFrame:
     """word, ids for the frequent distinct words of ``docs``."""
     kept = frequent(written(word_counts(docs), "words"), most)
-    return kept.select("word", folded(F.col("word"), RankMap(docs.sparkSession, ranks)).alias("ids"))
+    return kept.select("word", RankMap(docs.sparkSession, ranks).within(lambda m: folded(F.col("word"), m)).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str, most: int = WORDS) -> DataFrame:
