@@ -118,12 +118,34 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"doc_id": kept["doc_id"], "quality": kept["quality"], "at": pa.array([r[0] for r in rows], pa.binary()), "x": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def _descent(at: np.ndarray, x: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 20.0, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+class Rows:
+    """Sparse rows in blocks, so that a step over all of them needs room for one block only."""
+
+    def __init__(self, at: list[np.ndarray], x: list[np.ndarray], block: int = 100):
+        self.n, self.blocks = len(at), []
+        for lo in range(0, len(at), block):
+            size = np.array([len(a) for a in at[lo : lo + block]])
+            self.blocks.append((lo, size, np.concatenate(at[lo : lo + block]), np.concatenate(x[lo : lo + block])))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        for lo, size, at, x in self.blocks:
+            out[lo : lo + len(size)] = np.bincount(np.repeat(np.arange(len(size)), size), w[at] * x, len(size))
+        return out
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        out = np.zeros(2 * BUCKETS)
+        for lo, size, at, x in self.blocks:
+            out += np.bincount(at, x * np.repeat(r[lo : lo + len(size)], size), 2 * BUCKETS)
+        return out
+
+
+def _descent(rows: Rows, y: np.ndarray, steps: int = 200, rate: float = 20.0, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression by adaptive full gradients."""
     w, b, seen, seen_b = np.zeros(2 * BUCKETS), 0.0, np.full(2 * BUCKETS, 1e-8), 1e-8
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at] * x, len(y)) + b, -40, 40)))
-        g = np.bincount(at, x * (p - y)[row] / len(y), 2 * BUCKETS) + ridge * w
+        p = 1 / (1 + np.exp(-np.clip(rows.dot(w) + b, -40, 40)))
+        g = rows.back((p - y) / len(y)) + ridge * w
         gb = float(np.mean(p - y))
         seen += g * g
         seen_b += gb * gb
@@ -140,23 +162,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = texts.mapInArrow(_sparse, "doc_id long, quality int, at binary, x binary").toPandas().sort_values("doc_id")
-    if got["quality"].nunique() < 2:
+    got = texts.mapInArrow(_sparse, "doc_id long, quality int, at binary, x binary").toArrow().sort_by("doc_id")
+    order = np.random.Generator(np.random.PCG64(7)).permutation(len(got))
+    y = got["quality"].to_numpy()[order].astype(float)
+    if len(np.unique(y)) < 2:
         return None
-    got = got.sample(frac=1, random_state=7)
-    held = np.arange(len(got)) % 5 == 0
-    y = got["quality"].to_numpy(float)
+    held = np.arange(len(y)) % 5 == 0
 
-    def rows(mask: np.ndarray):
-        part = got[mask]
-        at = [np.frombuffer(b, np.int32) for b in part["at"]]
-        return np.concatenate(at), np.concatenate([np.frombuffer(b, np.float32) for b in part["x"]]).astype(float), np.repeat(np.arange(len(part)), [len(a) for a in at])
+    def rows(mask: np.ndarray) -> Rows:
+        part = got.take(pa.array(order[mask]))
+        return Rows([np.frombuffer(v.as_buffer(), np.int32) for v in part["at"]], [np.frombuffer(v.as_buffer(), np.float32) for v in part["x"]])
 
-    at, x, row = rows(~held)
-    w, b = _descent(at, x, row, y[~held])
+    w, b = _descent(rows(~held), y[~held])
     model = Model(w, b)
-    at, x, row = rows(held)
-    z, target = np.bincount(row, w[at] * x, held.sum()) + b, y[held]
+    z, target = rows(held).dot(w) + b, y[held]
     # smoothed targets keep the slope finite where the two kinds are apart
     good, bad = (target == 1).sum(), (target == 0).sum()
     target = np.where(target == 1, (good + 1) / (good + 2), 1 / (bad + 2))
