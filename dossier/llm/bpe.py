@@ -3,10 +3,11 @@
 Three steps. Every whole text is cut into words by the pattern of the tokenizer, and the words are counted over all
 documents. The frequent distinct words are encoded in Spark higher-order functions: an ``aggregate`` folds ranked
 merges over the bytes of a word, looking ranks up in a literal map. Then the texts are encoded in Arrow batches from
-the broadcast result; a word outside it is folded in the task by the same rule. Decoding concatenates binary pieces.
+the broadcast result; a word outside it is folded in the task by the same rule. Decoding concatenates the pieces of the ids
+in higher-order functions.
 
 The broadcast table is bounded by WORDS whatever the input; it decides where a word is folded, not how.
-Nulls: a null text is empty and has no ids; a null list of ids decodes to no bytes, ids without a piece are an error.
+Nulls: a null text is empty and has no ids; a null list of ids decodes to no bytes, an id out of range is an error.
 Repeated rows and null ids are carried through. Ties between merges go to the leftmost, as ranks are unique. Columns
 named like a result are replaced.
 """
@@ -19,7 +20,6 @@ import heapq
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -277,24 +277,25 @@ def encoded_words(docs: DataFrame, ranks: dict[bytes, int], most: int = WORDS) -
     return kept.select("word", RankMap(docs.sparkSession, ranks).within(lambda m: folded(F.col("word"), m)).alias("ids"))
 
 
-def encode(docs: DataFrame, path: str, most: int = WORDS) -> DataFrame:
-    """``docs`` with ids, a list of token ids for each text."""
+def encode(docs: DataFrame, path: str, most: int = WORDS, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with ids, a list of token ids for each text."""
     spark = docs.sparkSession
     ranks = read_ranks(spark, path)
     table = encoded_words(docs, ranks, most).toArrow() if most else None
-    known = dict(zip(table["word"].to_pylist(), map(tuple, table["ids"].to_pylist()), strict=True)) if table is not None else {}
+    packed = lambda ids: np.array(ids, np.int32).tobytes()  # noqa: E731  a fraction of the room of a tuple
+    known = dict(zip(table["word"].to_pylist(), map(packed, table["ids"].to_pylist()), strict=True)) if table is not None else {}
     shared = spark.sparkContext.broadcast((known, ranks))
-    rest = docs.drop("ids")
-    fields = rest.columns
+    fields = [c for c in (docs.columns if carry is None else carry) if c != "ids"]
+    kept = docs.select(*dict.fromkeys([*fields, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = shared.value
-        own: dict[bytes, tuple[int, ...]] = {}
+        own: dict[bytes, bytes] = {}
 
-        def ids_of(word: bytes) -> tuple[int, ...]:
+        def ids_of(word: bytes) -> bytes:
             got = known.get(word) or own.get(word)
             if got is None:
-                got = fold(word, ranks)
+                got = packed(fold(word, ranks))
                 if len(word) <= LONGEST:
                     if len(own) >= REMEMBERED:
                         own.clear()
@@ -306,16 +307,16 @@ def encode(docs: DataFrame, path: str, most: int = WORDS) -> DataFrame:
                 start, end = words(piece)
                 _, at, place = np.unique(piece.span_hash(start, end), return_index=True, return_inverse=True)
                 got = [ids_of(piece.data[a:b].tobytes()) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-                size = np.fromiter(map(len, got), np.int64, len(got))
-                flat = np.fromiter(chain.from_iterable(got), np.int32, int(size.sum()))
+                size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+                flat = np.frombuffer(b"".join(got), np.int32)
                 begin = np.cumsum(size) - size
                 ids, run_of = spread(flat, begin[place], size[place])
                 first = run_of[np.searchsorted(start, piece.offs)]
                 rows = batch.slice(piece.lo, len(piece))
                 yield pa.record_batch({n: rows[n] for n in fields} | {"ids": lists(ids, first, pa.int32())})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return rest.mapInArrow(run, f"{schema}, ids array<int>")
+    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in fields)
+    return kept.mapInArrow(run, f"{schema}, ids array<int>")
 
 
 def spread(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,37 +326,22 @@ def spread(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.nd
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with decoded, the bytes of the pieces of ids in their order."""
-    ranks = read_ranks(encoded.sparkSession, path)
-    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
-    rest = encoded.drop("decoded")
-    fields = rest.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [b""] * (max(shared.value.values()) + 1)
-        for raw, r in shared.value.items():
-            pieces[r] = raw
-        size = np.array([len(p) for p in pieces])
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
-        begin = np.cumsum(size) - size
-        for batch in batches:
-            for lo in range(0, len(batch), 64):
-                rows = batch.slice(lo, 64)
-                ids = rows["ids"].fill_null([]) if rows["ids"].null_count else rows["ids"]
-                offs = np.asarray(ids.offsets)
-                flat_ids = ids.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]]
-                raw, first = spread(flat, begin[flat_ids], size[flat_ids])
-                cut = first[offs - offs[0]]
-                texts = [raw[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.record_batch({n: rows[n] for n in fields} | {"decoded": pa.array(texts, pa.binary())})
+    """``encoded`` with decoded, the bytes of the pieces of ids in their order.
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return rest.mapInArrow(run, f"{schema}, decoded binary")
+    The pieces stand in the plan once, as a literal array of hexadecimal strings that is addressed by id.
+    """
+    ranks = read_ranks(encoded.sparkSession, path)
+    pieces = ["!"] * (max(ranks.values()) + 1)
+    for raw, r in ranks.items():
+        pieces[r] = raw.hex()
+    ids = F.coalesce("ids", F.array().cast("array<int>"))
+    joined = _let(F.split(F.lit(" ".join(pieces)), " "), lambda p: F.array_join(F.transform(ids, lambda i: F.element_at(p, i + 1)), ""))
+    return encoded.withColumn("decoded", F.unhex(joined))
 
 
 def report(docs: DataFrame, path: str, most: int = WORDS) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the decoded bytes."""
-    both = decode(encode(docs.select("doc_id", "text"), path, most).drop("text"), path)
+    both = decode(encode(docs, path, most, ["doc_id"]), path)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
