@@ -213,11 +213,16 @@ class SpanModel:
 def fit(found: DataFrame, sample_spans: int = SAMPLE_SPANS) -> SpanModel | None:
     """The span classifier, from the table of proposals."""
     each = found.select("doc_id", F.explode("proposals").alias("p")).select("doc_id", "p.*")
-    posterior = reliabilities([tuple(r) for r in each.groupBy("kind", "votes").count().collect()])
+    counts = [tuple(r) for r in each.groupBy("kind", "votes").count().collect()]
+    posterior = reliabilities(counts)
     if not posterior:
         return None
-    order = (F.xxhash64("doc_id", "kind", "start"), "doc_id", "start", "kind")
-    sample = each.orderBy(*order).limit(sample_spans).select("kind", "votes", "features").collect()
+    # twice the share that is wanted by hash, so that tasks don't each send a whole sample; then exactly the least hashes
+    steps = 1 << 30
+    share = min(steps, 2 * steps * sample_spans // sum(n for _, _, n in counts) + 1)
+    hashed = F.xxhash64("doc_id", "kind", "start")
+    order = (F.pmod(hashed, F.lit(steps)), hashed, "doc_id", "start", "kind")
+    sample = each.where(F.pmod(hashed, F.lit(steps)) < share).orderBy(*order).limit(sample_spans).select("kind", "votes", "features").collect()
     rows = np.repeat(np.arange(len(sample)), [len(r.features) for r in sample])
     at = np.concatenate([r.features for r in sample])
     y = np.array([posterior[r.kind, r.votes] for r in sample])
