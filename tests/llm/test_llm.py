@@ -364,6 +364,20 @@ def test_planted_passages(spark, odd):
     assert passages.repeated_passages(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def passage_found(later, first):
+    """Passages of one text in another, in words."""
+    (x,), (y,) = (passages.sequences(pa.array([" ".join(w)])) for w in (later, first))
+    return [(a, b + 4, c, d + 4) for a, b, c, d in passages.verified(x, y, False, 46, 80)]
+
+
+def test_passage_is_found_behind_many_earlier_places():
+    number = iter(range(10_000))
+    fresh = lambda n: [f"n{next(number)}" for _ in range(n)]
+    passage = fresh(50)
+    first = [w for _ in range(20) for w in passage[:24] + fresh(9)] + passage
+    assert passage_found(fresh(30) + passage + fresh(30), first) == [(30, 80, 660, 710)]
+
+
 # all
 
 
