@@ -378,6 +378,15 @@ def test_passage_is_found_behind_many_earlier_places():
     assert passage_found(fresh(30) + passage + fresh(30), first) == [(30, 80, 660, 710)]
 
 
+def test_passage_with_a_long_insertion_is_one():
+    passage = [f"p{i}" for i in range(90)]
+    longer = passage[:45] + [f"new{i}" for i in range(12)] + passage[45:]
+    around = lambda w, name: [f"{name}{i}" for i in range(20)] + w + [f"{name}-{i}" for i in range(20)]
+    assert passage_found(around(longer, "a"), around(passage, "b")) == [(20, 122, 20, 110)]
+    assert passage_found(around(passage, "b"), around(longer, "a")) == [(20, 110, 20, 122)]
+    assert passage_found(passage[:45] + [f"far{i}" for i in range(60)] + passage[45:], passage) == []
+
+
 # all
 
 
