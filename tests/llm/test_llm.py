@@ -387,6 +387,19 @@ def test_passage_with_a_long_insertion_is_one():
     assert passage_found(passage[:45] + [f"far{i}" for i in range(60)] + passage[45:], passage) == []
 
 
+def test_fragments_in_first_documents_hide_no_passage(spark):
+    rows, pairs = [], set()
+    for g in range(20):
+        passage, base = [f"g{g}p{i}" for i in range(60)], 10 * g
+        parts = [passage[:40], passage[20:], passage, passage]
+        rows += [(base + k, " ".join([f"d{base + k}a{i}" for i in range(30)] + w + [f"d{base + k}b{i}" for i in range(30)])) for k, w in enumerate(parts)]
+        pairs.add((base + 3, base + 2))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.first_id) for r in got}
+    assert found <= pairs and len(found) >= 19
+    assert all((r.start, r.end, r.first_start, r.first_end) == (30, 90, 30, 90) for r in got)
+
+
 # all
 
 
