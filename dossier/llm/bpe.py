@@ -3,10 +3,11 @@
 Three steps. Every whole text is cut into words by the pattern of the tokenizer, and the words are counted over all
 documents. The frequent distinct words are encoded in Spark higher-order functions: an ``aggregate`` folds ranked
 merges over the bytes of a word, looking ranks up in a literal map. Then the texts are encoded in Arrow batches from
-the broadcast result; a word outside it is folded in the task by the same rule. Decoding concatenates the pieces of the ids
-in higher-order functions.
+the broadcast result; the words of a batch outside it are folded there by the same rule, all at once in numpy. Decoding
+concatenates the pieces of the ids in higher-order functions.
 
-The broadcast table is bounded by WORDS whatever the input; it decides where a word is folded, not how.
+The broadcast table is bounded by WORDS whatever the input; it decides where a word is folded, not how. Words meet by
+hash and are then compared byte by byte. A very long text is a batch of its own; a word of any length is folded whole.
 Nulls: a null text is empty and has no ids; a null list of ids decodes to no bytes, an id out of range is an error.
 Repeated rows and null ids are carried through. Ties between merges go to the leftmost, as ranks are unique. Columns
 named like a result are replaced.
@@ -16,23 +17,22 @@ from __future__ import annotations
 
 import base64
 import functools
-import heapq
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import Slice, lists, slices
+from .kernels import Slice, binaries, lists, slices, spread
 from .shared import written
 
 #: Distinct words (the most frequent) that are folded once and broadcast.
 WORDS = 1 << 17
-#: Words remembered by a task besides, and longest word that is.
-REMEMBERED, LONGEST = 200_000, 128
+#: Distinct words that a task gathers before it hands their counts on, and the longest word of the table.
+GATHER, LONGEST = 200_000, 128
 #: A rank that no merge has.
 NONE = 2**31 - 1
 _SLOTS = 1 << 17
@@ -102,63 +102,133 @@ def words(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
     return start, np.append(start[1:], len(piece.data))
 
 
-def fold(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Merges the pair of the lowest rank, leftmost first, until no pair has one."""
-    if word in ranks:
-        return (ranks[word],)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    if len(parts) <= LONGEST:
-        while len(parts) > 1:
-            low, where = NONE, 0
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1], NONE)
-                if r < low:
-                    low, where = r, i
-            if low == NONE:
-                break
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
-        return tuple(ranks[p] for p in parts)
-    # a heap of pairs over a linked list, for long words
-    n = len(parts)
-    right, left = [*range(1, n), -1], [-1, *range(n - 1)]
-    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        r, i, size = heapq.heappop(heap)
-        j = right[i] if parts[i] else -1
-        if j < 0 or len(parts[i]) + len(parts[j]) != size or ranks.get(parts[i] + parts[j]) != r:
-            continue
-        parts[i] += parts[j]
-        parts[j] = b""
-        right[i] = right[j]
-        if right[j] >= 0:
-            left[right[j]] = i
-        for a in (left[i], i):
-            if a >= 0 and (b := right[a]) >= 0 and (r := ranks.get(parts[a] + parts[b])) is not None:
-                heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[b])))
-    return tuple(ranks[p] for p in parts if p)
+class Merges:
+    """The ranks as arrays: the token of each byte, and for each pair of tokens that make one the rank of that token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.n = max(ranks.values(), default=0) + 1
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {ranks[a] * self.n + ranks[b]: r for raw, r in ranks.items() for i in range(1, len(raw)) if (a := raw[:i]) in ranks and (b := raw[i:]) in ranks}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.ranks = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+        words = sorted(ranks)
+        self.whole = Table(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]), np.array([ranks[w] for w in words], np.int32), np.arange(len(words) + 1))
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.n + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.ranks[at], NONE) if len(self.pairs) else np.full(len(key), NONE)
+
+    def fold(self, piece: Slice, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the spans one after the other, and how many each has.
+
+        In each step every span merges its pair of the lowest rank, the leftmost of equal ones, until no pair has a rank;
+        a span that is a token as a whole is that token.
+        """
+        size, none = end - start, np.zeros(0, np.int64)
+        known = self.whole.find(piece, start, end)
+        todo = np.flatnonzero(known < 0)
+        at, first = spread(np.arange(len(piece.data)), start[todo], size[todo])
+        token, home = self.bytes[piece.data[at]], np.repeat(np.arange(len(todo)), size[todo])
+        rank = np.full(len(token), NONE)
+        if len(token) > 1:
+            inside = np.flatnonzero(home[1:] == home[:-1])
+            rank[inside] = self.rank(token[inside], token[inside + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(token):
+            begin = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1])))
+            low = np.minimum.reduceat(rank, begin)
+            some = low < NONE
+            count = np.diff(np.append(begin, len(home)))
+            if not some.all():
+                over = np.repeat(~some, count)
+                done.append((home[over], token[over]))
+                home, token, rank = home[~over], token[~over], rank[~over]
+                low, count = low[some], count[some]
+                if not len(token):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(low, count))
+            hit = hit[np.concatenate(([True], home[hit][1:] != home[hit][:-1]))]
+            token[hit] = rank[hit]
+            keep = np.ones(len(token), bool)
+            keep[hit + 1] = False
+            hit = hit - np.arange(len(hit))
+            home, token, rank = home[keep], token[keep], rank[keep]
+            # only the pairs on either side of a merged token have new ranks
+            for near in (hit, hit[hit > 0] - 1):
+                rank[near] = NONE
+                near = near[near + 1 < len(home)]
+                near = near[home[near] == home[near + 1]]
+                rank[near] = self.rank(token[near], token[near + 1])
+        count = np.ones(len(start), np.int64)
+        homes, tokens = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (none, none)
+        order = np.argsort(homes, kind="stable")
+        count[todo] = np.bincount(homes, minlength=len(todo))
+        ids = np.empty(count.sum(), np.int32)
+        where = np.repeat(known < 0, count)
+        ids[where] = tokens[order]
+        ids[~where] = self.whole.ids[self.whole.begin[known[known >= 0]]]
+        return ids, count
+
+
+class Table:
+    """Words with their ids, found by hash and compared byte by byte."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, ids: np.ndarray, first: np.ndarray):
+        piece = Slice(0, len(offs) - 1, data, offs)
+        h = piece.span_hash(offs[:-1], offs[1:])
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.data, self.start, self.end = h[order], data, offs[:-1][order], offs[1:][order]
+        self.ids, self.begin, self.size = ids, first[:-1][order], np.diff(first)[order]
+
+    def find(self, piece: Slice, start: np.ndarray, end: np.ndarray, h: np.ndarray | None = None) -> np.ndarray:
+        """Place of each span, or -1."""
+        if not len(self.hashes) or not len(start):
+            return np.full(len(start), -1)
+        h = piece.span_hash(start, end) if h is None else h
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == h)
+        own = Slice(0, 1, self.data, np.array([0, len(self.data)]))
+        out = np.full(len(start), -1)
+        good = hit[piece.same_bytes(start[hit], end[hit], self.start[at[hit]], self.end[at[hit]], own)]
+        out[good] = at[good]
+        return out
+
+
+def distinct(piece: Slice, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and numbers of the distinct spans, and which of them each span is."""
+    h = piece.span_hash(start, end)
+    known, at, place = np.unique(h, return_index=True, return_inverse=True)
+    other = np.flatnonzero(~piece.same_bytes(start, end, start[at[place]], end[at[place]]))
+    place[other] = len(known) + np.arange(len(other))
+    return np.concatenate((known, h[other])), np.concatenate((at, other)), place
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """Distinct words of all texts and how often each occurs: word (binary), n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        parts: list[tuple[np.ndarray, ...]] = []
+
+        def merged() -> tuple[np.ndarray, ...]:
+            h, n, size, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+            known, at, place = np.unique(h, return_index=True, return_inverse=True)
+            return known, np.bincount(place, n).astype(np.int64), size[at], spread(data, (np.cumsum(size) - size)[at], size[at])[0]
 
-        def out():
-            yield pa.record_batch({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
-            total.clear()
+        def out(h, n, size, data) -> pa.RecordBatch:
+            return pa.record_batch({"word": binaries(data, np.concatenate(([0], np.cumsum(size)))), "n": pa.array(n)})
 
         for batch in batches:
             for piece in slices(batch["text"]):
                 start, end = words(piece)
-                if len(start):
-                    _, first, n = np.unique(piece.span_hash(start, end), return_index=True, return_counts=True)
-                    for a, b, k in zip(start[first].tolist(), end[first].tolist(), n.tolist(), strict=True):
-                        total[piece.data[a:b].tobytes()] += k
-                if len(total) > REMEMBERED:
-                    yield from out()
-        yield from out()
+                h, at, n = np.unique(piece.span_hash(start, end), return_index=True, return_counts=True)
+                parts.append((h, n, (end - start)[at], spread(piece.data, start[at], (end - start)[at])[0]))
+                if sum(len(p[0]) for p in parts) > GATHER:
+                    parts[:] = [merged()]
+                    if len(parts[0][0]) > GATHER // 2:
+                        yield out(*parts.pop())
+        if parts:
+            yield out(*merged())
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -281,36 +351,28 @@ def encode(docs: DataFrame, path: str, most: int = WORDS, carry: list[str] | Non
     """``docs`` (or its columns ``carry``) with ids, a list of token ids for each text."""
     spark = docs.sparkSession
     ranks = read_ranks(spark, path)
-    table = encoded_words(docs, ranks, most).toArrow() if most else None
-    packed = lambda ids: np.array(ids, np.int32).tobytes()  # noqa: E731  a fraction of the room of a tuple
-    known = dict(zip(table["word"].to_pylist(), map(packed, table["ids"].to_pylist()), strict=True)) if table is not None else {}
-    shared = spark.sparkContext.broadcast((known, ranks))
+    known = encoded_words(docs, ranks, most).toArrow().combine_chunks() if most else pa.table({"word": pa.array([], pa.binary()), "ids": pa.array([], pa.list_(pa.int32()))})
+    word, ids = (c.chunk(0) if c.num_chunks else c.combine_chunks() for c in (known["word"].cast(pa.large_binary()), known["ids"]))
+    offs = np.concatenate(([0], np.cumsum(pa.compute.binary_length(word).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    sizes = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False)
+    table = Table(np.frombuffer(b"".join(word.to_pylist()), np.uint8), offs, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))
+    shared = spark.sparkContext.broadcast((table, Merges(ranks)))
     fields = [c for c in (docs.columns if carry is None else carry) if c != "ids"]
     kept = docs.select(*dict.fromkeys([*fields, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ranks = shared.value
-        own: dict[bytes, bytes] = {}
-
-        def ids_of(word: bytes) -> bytes:
-            got = known.get(word) or own.get(word)
-            if got is None:
-                got = packed(fold(word, ranks))
-                if len(word) <= LONGEST:
-                    if len(own) >= REMEMBERED:
-                        own.clear()
-                    own[word] = got
-            return got
-
+        table, merges = shared.value
         for batch in batches:
             for piece in slices(batch["text"]):
                 start, end = words(piece)
-                _, at, place = np.unique(piece.span_hash(start, end), return_index=True, return_inverse=True)
-                got = [ids_of(piece.data[a:b].tobytes()) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-                size = np.fromiter(map(len, got), np.int64, len(got)) // 4
-                flat = np.frombuffer(b"".join(got), np.int32)
-                begin = np.cumsum(size) - size
-                ids, run_of = spread(flat, begin[place], size[place])
+                h, at, place = distinct(piece, start, end)
+                found = table.find(piece, start[at], end[at], h)
+                rest, some = np.flatnonzero(found < 0), np.flatnonzero(found >= 0)
+                own, count = merges.fold(piece, start[at[rest]], end[at[rest]])
+                begin, size = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+                begin[some], size[some] = table.begin[found[some]], table.size[found[some]]
+                begin[rest], size[rest] = len(table.ids) + np.cumsum(count) - count, count
+                ids, run_of = spread(np.concatenate((table.ids, own)), begin[place], size[place])
                 first = run_of[np.searchsorted(start, piece.offs)]
                 rows = batch.slice(piece.lo, len(piece))
                 yield pa.record_batch({n: rows[n] for n in fields} | {"ids": lists(ids, first, pa.int32())})
@@ -319,12 +381,6 @@ def encode(docs: DataFrame, path: str, most: int = WORDS, carry: list[str] | Non
     return kept.mapInArrow(run, f"{schema}, ids array<int>")
 
 
-def spread(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parts flat[begin:begin+size] one after the other, and where each begins in the result."""
-    first = np.concatenate(([0], np.cumsum(size)))
-    return flat[np.repeat(begin - first[:-1], size) + np.arange(first[-1])], first
-
-
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with decoded, the bytes of the pieces of ids in their order.
 

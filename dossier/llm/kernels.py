@@ -1,8 +1,9 @@
 """Numpy over the bytes of an Arrow string column: words, lines, and 64-bit hashes of any span.
 
 A column is worked on in slices of whole texts of about a quarter of a megabyte, so memory follows the slice or the longest
-text and not the batch. Hashes are polynomials over random byte values modulo 2**64, taken from one running sum, so
-the hash of each span costs two look-ups; a finaliser mixes them.
+text and not the batch. A span is hashed in blocks of eight bytes: each block is mixed with a key of its place, and the
+sum is mixed with the length. No step is linear, so texts of regular structure don't meet; ``seed`` gives a second,
+independent hash where 64 bits are too few, and ``same_bytes`` compares the bytes themselves.
 """
 
 from __future__ import annotations
@@ -11,16 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 U = np.uint64
 SLICE_BYTES = 1 << 18
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 #: Odd factors for the places of a window and for the coordinates of a signature.
 ODD = _rng.integers(1, 1 << 63, 4096, dtype=np.uint64) * U(2) + U(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The bytes of a block that belong to a span of so many bytes.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def byte_table(members: bytes) -> np.ndarray:
@@ -44,21 +44,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(1 << (n - 1).bit_length(), base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
-
-
 class Slice:
     """Whole texts lo..hi of a column: their bytes, and where each begins and ends."""
 
     def __init__(self, lo: int, hi: int, data: np.ndarray, offs: np.ndarray):
         self.lo, self.hi, self.data, self.offs = lo, hi, data, offs
-        self._sum = None
+        self._eight = None
 
     def __len__(self) -> int:
         return self.hi - self.lo
@@ -66,12 +57,39 @@ class Slice:
     def lowered(self) -> Slice:
         return Slice(self.lo, self.hi, LOWER[self.data], self.offs)
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if self._sum is None:
-            self._sum = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * _power(len(self.data) + 1)[0][: len(self.data)], out=self._sum[1:])
-        back = _power(len(self.data) + 1)[1][start]
-        return mix((self._sum[end] - self._sum[start]) * back + (end - start).astype(np.uint64) * ODD[4095])
+    def blocks(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place, as one number; of them only as many as are left."""
+        if self._eight is None:
+            padded = np.concatenate((self.data, np.zeros(8, np.uint8)))
+            self._eight = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+        return self._eight[at] & _MASK[np.minimum(left, 8)]
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        size = end - start
+        first, rest, last = ODD[4080 + 4 * seed : 4083 + 4 * seed]
+        total = mix(self.blocks(start, size) + first)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            n = (size[long] - 1) >> 3
+            begin = np.cumsum(n) - n
+            place = 1 + np.arange(begin[-1] + n[-1]) - np.repeat(begin, n)
+            more = self.blocks(np.repeat(start[long], n) + 8 * place, np.repeat(size[long], n) - 8 * place)
+            total[long] += np.add.reduceat(mix(more + mix(place.astype(np.uint64) * rest)), begin)
+        return mix(total + size.astype(np.uint64) * last)
+
+    def same_bytes(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, other: Slice | None = None) -> np.ndarray:
+        """Whether the spans a and b (of this slice or the other) of each pair are equal."""
+        other = other or self
+        size = a_end - a
+        same = (size == b_end - b) & (self.blocks(a, size) == other.blocks(b, size))
+        long = np.flatnonzero(same & (size > 8))
+        if len(long):
+            n = (size[long] - 1) >> 3
+            begin = np.cumsum(n) - n
+            at, left = 8 * (1 + np.arange(begin[-1] + n[-1]) - np.repeat(begin, n)), np.repeat(size[long], n)
+            equal = self.blocks(np.repeat(a[long], n) + at, left - at) == other.blocks(np.repeat(b[long], n) + at, left - at)
+            same[long] = np.logical_and.reduceat(equal, begin)
+        return same
 
     def runs(self, gap: np.ndarray) -> Spans:
         """Maximal runs of bytes outside ``gap``, never across texts."""
@@ -156,3 +174,20 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
 
 def lists(flat: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat, kind))
+
+
+def spread(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts flat[begin:begin+size] one after the other, and where each begins in the result."""
+    first = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+    return flat[np.repeat(begin - first[:-1], size) + np.arange(first[-1])], first
+
+
+def binaries(data: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The parts data[first[k]:first[k+1]] as a binary column."""
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def texts(data: np.ndarray, first: np.ndarray, like: pa.Array) -> pa.Array:
+    """The parts data[first[k]:first[k+1]] as a string column, with the nulls of another."""
+    out = pa.Array.from_buffers(pa.large_string(), len(first) - 1, [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    return pa.compute.if_else(like.is_valid(), out, None).cast(pa.string())

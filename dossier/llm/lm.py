@@ -3,9 +3,10 @@
 The next word is predicted in three factors: its group, its class within the group, and the word within the class.
 Groups and classes are softmaxes over hashed features of the context (the word before, the two words before, the word
 before that one, and a constant); the word within its class has its smoothed share. The weights come from
-gradient steps over all training documents: in each round every task starts from the same weights, walks over its
-documents in small batches, and the changes are averaged in a tree. Texts are scored in numpy batches in which only
-the rows of the features that occur are read.
+gradient steps over all training documents: in each round every task (a part of the input of Spark's usual size) starts
+from the same weights and walks over its documents in small batches; the tasks' weights are cut into pieces, and each
+piece is averaged where the shuffle puts it. Texts are scored in numpy batches in which only the rows of the features
+that occur are read.
 
 Counts cover every training token. The most frequent TOP words have a class each, the other KNOWN ones share a class
 by their ending, and all rarer words share the class of rare words, where an unseen word has the share of one more
@@ -13,7 +14,8 @@ count. The KNOWN words and the weights are bounded and broadcast; counts of rare
 
 Words are split at ASCII white space after lower-casing A-Z, and each text ends with one end token. Nulls: a null text
 has the end token only; a null id is not held out. Repeated rows count as often as they occur. With no training
-document the counts are zero, the score is the base score. Further columns are not looked at.
+document the counts are zero, the score is the base score. Of words of equal count those of the lower hash come first.
+Very long texts are walked in parts and scored whole. Further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ODD, SPACE, Slice, U, lists, mix, slices
-from .shared import written
+from .shared import removed, small_batches, written
 
 #: Words whose counts are broadcast.
 KNOWN = 1 << 18
@@ -41,6 +43,8 @@ BUCKETS, KINDS, ROUNDS, RATE, STEP_BYTES = 1 << 12, 4, 2, 0.3, 1 << 15
 HELD_OUT_OF, HELD_OUT = 7, 2
 #: The training tokens a task gathers before it hands its counts on.
 GATHER = 1 << 20
+#: Pieces in which the weights of the tasks are averaged, and the bound of a sum of weights.
+PIECES, LIMIT = 64, 30.0
 END = U(0xE0D)
 
 
@@ -164,7 +168,7 @@ def context(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     one[begin] = 1
     two = np.concatenate(([U(1)], one[:-1]))
     two[begin] = 2
-    out = np.empty((len(h), KINDS), np.int64)
+    out = np.empty((len(h), KINDS), np.int64, order="F")
     out[:, 0] = 0
     for k, x in enumerate((one * ODD[20], mix(one * ODD[21] + two * ODD[22]), two * ODD[23]), 1):
         out[:, k] = 1 + (mix(x) % U(BUCKETS - 1)).astype(np.int64)
@@ -172,12 +176,12 @@ def context(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
+    z = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        z = z + weights[rows[:, k]]
-    z -= z.max(1, keepdims=True)
+        z += np.take(weights, rows[:, k], axis=0)
+    np.clip(z, -LIMIT, LIMIT, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
@@ -205,22 +209,40 @@ def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndar
     """One gradient step over a batch, with a step size for each row from its past gradients."""
     grad = _softmax(table, rows)
     grad[np.arange(len(target)), target] -= 1
-    # both kinds of rows have numbers of 16 bits, which are sorted by digits
-    flat = rows.ravel().astype(np.uint16)
-    order = np.argsort(flat, kind="stable")
-    begin = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
-    at = flat[order][begin].astype(np.int64)
-    total = np.add.reduceat(grad[order // rows.shape[1]], begin)
-    seen[at] += (total * total).sum(1)
+    # the rows that occur, numbered; the gradients are summed by row and column
+    mark = np.zeros(len(table), bool)
+    mark[rows.ravel(order="K")] = True
+    at, number = np.flatnonzero(mark), np.cumsum(mark) - 1
+    width = table.shape[1]
+    weight, column = grad.ravel().astype(np.float64), np.arange(width)
+    total = np.zeros(len(at) * width)
+    for k in range(rows.shape[1]):
+        total += np.bincount(((number[rows[:, k]] * width)[:, None] + column).ravel(), weight, len(total))
+    total = total.reshape(-1, width).astype(np.float32)
+    seen[at] += (total * total) @ np.ones(width, np.float32)
     table[at] -= RATE * total / np.sqrt(seen[at] + 1e-6)[:, None]
 
 
 def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Weights:
+    if not known.total:
+        return Weights()
     spark = docs.sparkSession
     words = spark.sparkContext.broadcast(known)
-    # a few tasks for each core, as each sends back a full set of weights
-    docs = docs.select("doc_id", "text").coalesce(2 * spark.sparkContext.defaultParallelism)
     flat = Weights().flat
+    bounds = np.linspace(0, len(flat), PIECES + 1).astype(int)
+    schema = "piece int, n long, w binary"
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        n: dict[int, int] = {}
+        for batch in batches:
+            for k, m, w in zip(batch["piece"].to_pylist(), batch["n"].to_pylist(), batch["w"], strict=True):
+                part = np.frombuffer(w.as_buffer(), np.float32) * np.float64(m)
+                total[k] = total[k] + part if k in total else part
+                n[k] = n.get(k, 0) + m
+        for k, x in total.items():
+            yield pa.record_batch({"piece": pa.array([k], pa.int32()), "n": pa.array([n[k]]), "w": pa.array([(x / n[k]).astype(np.float32).tobytes()], pa.binary())})
+
     for _ in range(rounds):
         start = spark.sparkContext.broadcast(flat)
 
@@ -234,19 +256,19 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Weights:
                     keep = np.flatnonzero(np.repeat(~held[piece.lo : piece.hi], np.diff(first)))
                     place = known.find(h)
                     slot = np.where(place < 0, 0, known.slot[place] if len(known.slot) else 0)[keep]
-                    features = context(h, first)[keep]
+                    features = context(h, first)
                     # a very long text is walked in parts
                     for a in range(0, len(keep), 1 << 14):
-                        f, s = features[a : a + (1 << 14)], slot[a : a + (1 << 14)]
+                        f, s = np.asfortranarray(features[keep[a : a + (1 << 14)]]), slot[a : a + (1 << 14)]
                         _step(w.group, seen[0], f, s // CLASSES)
                         _step(w.cls, seen[1], _rows(f, s // CLASSES), s % CLASSES)
                     n += len(keep)
-            if n:
-                yield pa.record_batch({"n": pa.array([n]), "w": pa.array([(w.flat * np.float32(1)).tobytes()], pa.binary())})
+            for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True) if n else ()):
+                yield pa.record_batch({"piece": pa.array([k], pa.int32()), "n": pa.array([n]), "w": pa.array([w.flat[a:b].tobytes()], pa.binary())})
 
-        parts = docs.mapInArrow(run, "n long, w binary").rdd.map(lambda r: (float(r.n), np.frombuffer(r.w, np.float32).astype(np.float64) * r.n))
-        n, total = parts.treeReduce(lambda x, y: (x[0] + y[0], x[1] + y[1]), 3) if known.total else (0.0, flat)
-        flat = (total / max(n, 1.0)).astype(np.float32)
+        small_batches(spark)
+        pieces = docs.select("doc_id", "text").mapInArrow(run, schema).repartition("piece").mapInArrow(average, schema).collect()
+        flat = np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(pieces)])
     return Weights(flat)
 
 

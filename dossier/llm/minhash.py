@@ -16,7 +16,9 @@ Components are found by least labels and pointer jumps over tables in the shared
 
 Words are split at ASCII white space after lower-casing A-Z. Nulls: a document with no words or a null text links with
 nothing and stands for itself; a row without id also links with nothing, has no component and is kept. Repeated rows
-are copies of each other; rows of equal id are all kept. Further columns are not looked at.
+are copies of each other; rows of equal id are all kept. Very long texts are hashed whole. Of a class or component the
+least id stands for all; equal postings are ordered by their numbers and hubs by their ids, so ties don't depend on the
+order of rows. Further columns are not looked at; ``drop_near_duplicates`` keeps them.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ODD, SPACE, Slice, lists, mix, slices
-from .shared import written
+from .shared import removed, small_batches, written
 
 COORDINATES = 64
 #: Chance that a pair exactly at the similarity shares fewer coordinates than the threshold.
@@ -96,6 +98,7 @@ def signatures(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> D
                     "signature": lists(sign.view(np.int64).ravel(), np.concatenate(([0], np.cumsum(has * coordinates))), pa.int64()),
                 })
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls binary, signature array<long>")
 
 
@@ -128,12 +131,14 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "component"), "b").groupBy(F.col("a").alias("v")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "v").select("v", F.least("component", "near").alias("component"), F.col("component").alias("was"))
+        hooked = labels.drop("was").join(near, "v").select("v", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         up = labels.select(F.col("v").alias("component"), F.col("component").alias("up"))
         new = written(hooked.join(up, "component").select("v", F.least("component", "up").alias("component"), "was"), "labels")
+        removed(labels)
         if not new.where("component != was").limit(1).count():
-            return new.select("v", "component")
-        labels = new.select("v", "component")
+            removed(both)
+            return new
+        labels = new
 
 
 def links(docs: DataFrame, signs: DataFrame, width: int, percent: int, coordinates: int = COORDINATES) -> DataFrame:
@@ -181,7 +186,9 @@ def links(docs: DataFrame, signs: DataFrame, width: int, percent: int, coordinat
     similar = F.lit(100 + percent) * inter >= F.lit(percent) * (F.col("size_a") + F.col("size_b"))
     joined = side("a").join(side("b").withColumnRenamed("hub", "hub_b"), (F.col("hub") == F.col("hub_b")) & fits & similar)
     rest = joined.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    return written(near.unionByName(_confirmed(rest, sets, signs, percent, least)), "links")
+    found = written(near.unionByName(_confirmed(rest, sets, signs, percent, least)), "links")
+    removed(heads, signs, sets, places, near, family)
+    return found
 
 
 def _possible(percent: int) -> Column:
@@ -193,10 +200,15 @@ def _possible(percent: int) -> Column:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, n_shingles, component_id (least id that links reach) and kept (is that document) for each row."""
     signs = written(signatures(docs, width, coordinates), "signatures")
-    found = components(links(docs, signs, width, percent, coordinates))
+    edges = links(docs, signs, width, percent, coordinates)
+    found = components(edges)
     first = signs.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    named = first.join(found, first["rep"] == found["v"], "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
-    out = signs.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    # a table, so that the join below deals both sides itself and Spark can split a class that has many documents
+    named = written(first.join(found, first["rep"] == found["v"], "left").select("cls", F.coalesce("component", "rep").alias("component_id")), "classes")
+    removed(edges, found)
+    # empty texts have no class; a key of its own for each keeps them apart
+    spare = F.coalesce("cls", F.sha1(F.concat_ws("-", "doc_id", F.rand()).cast("binary")).cast("binary"))
+    out = signs.select("doc_id", "n_shingles", spare.alias("cls")).join(named, "cls", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 

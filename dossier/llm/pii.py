@@ -7,7 +7,8 @@ bounded sample of proposals; a proposal that it accepts and that no base span ov
 
 Spans count code points, end exclusive. Nulls: a null text is empty; null ids and repeated rows are carried through,
 row by row. Without proposals nothing is trained and nothing added. Overlapping proposals: the one that begins first
-stands, of equal ones the longest. Further columns are not looked at.
+stands, of equal ones the longest. Very long texts and runs of digits are read whole. Further columns are not looked at;
+``redact`` keeps them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import byte_table, slices
-from .shared import written
+from .shared import small_batches, written
 
 #: Kinds in the order of the results.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -83,7 +84,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             last = m.end()
         at = text.find("@", max(at + 1, last))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -138,12 +139,14 @@ def _features(kind: str, value: str, votes: str, before: list[str]) -> list[int]
 def proposals(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
     """All spans to be voted on: the base spans and those of the wider patterns."""
     found = [(kind, a, b, True) for kind, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
     wider = sorted((m.start(), -m.end(), kind) for kind, p in _WIDER for m in p.finditer(text))
+    taken = bytearray(len(text) if wider else 0)
+    for _, a, b in base if wider else []:
+        taken[a:b] = b"\1" * (b - a)
     for a, b, kind in wider:
-        if all(-b <= x or a >= y for x, y in taken):
+        if taken.find(1, a, -b) < 0:
             found.append((kind, a, -b, False))
-            taken.append((a, -b))
+            taken[a:-b] = b"\1" * (-b - a)
     out = []
     for kind, a, b, strict in found:
         before = re.findall(r"[\w-]+", text[max(0, a - CONTEXT) : a].lower())
@@ -169,6 +172,7 @@ def propose(docs: DataFrame) -> DataFrame:
                     spans[k] = proposals(text, base_spans(text))
                 yield pa.record_batch({"doc_id": batch.slice(piece.lo, len(piece))["doc_id"], "proposals": pa.array(spans, PROPOSAL)})
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, proposals {PROPOSAL_DDL}")
 
 

@@ -5,8 +5,10 @@ sample of labelled rows, its scores are calibrated to probabilities on rows kept
 is scored in Arrow batches against a fixed threshold.
 
 Nulls: a null text has no words and fails the counting rules; a null label or a label without a document is not used;
-a null doc_id is carried through. Repeated rows each get their row. Without labelled rows of both kinds there is no
-model, and the counting rules decide alone. Columns beyond doc_id and text are not looked at.
+a null doc_id is carried through. Repeated rows each get their row; of several labels of one id the lowest counts, of
+several texts the least. Without labelled rows of both kinds (or without documents) there is no model, and the counting
+rules decide alone. Very long texts are counted and scored whole. Columns beyond doc_id and text are not looked at:
+``score`` replaces those named like its results, ``drop_rejected`` keeps them.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ODD, SPACE, Slice, U, byte_table, mix, slices
+from .shared import ddl, free_names, small_batches
 
 #: At most so many labelled documents are fitted and calibrated on (those with the smallest hash of their id).
 SAMPLE_ROWS = 2000
@@ -29,7 +32,9 @@ BUCKETS = 1 << 14
 KEEP_FROM = 0.5
 MIN_WORDS, MAX_REPEATED, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS = byte_table(b"#*$%&|<>")
-COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+RESULTS = (*COUNTS, "p_quality", "kept")
+KINDS = ("long",) * 5 + ("boolean", "double", "boolean")
 _SHIFT = U(64 - 14)
 
 
@@ -161,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    small_batches(docs.sparkSession)
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     got = texts.mapInArrow(_sparse, "doc_id long, quality int, at binary, x binary").toArrow().sort_by("doc_id")
     order = np.random.Generator(np.random.PCG64(7)).permutation(len(got))
     y = got["quality"].to_numpy()[order].astype(float)
@@ -193,10 +199,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 def score(docs: DataFrame, model: Model | None, keep_from: float = KEEP_FROM) -> DataFrame:
     """All columns of ``docs`` (those with the names of results are replaced) with the counts, p_quality and kept."""
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_quality", "kept"]
-    rest = docs.drop(*own)
+    return _scored(docs.drop(*RESULTS), model, keep_from, list(RESULTS))
+
+
+def _scored(docs: DataFrame, model: Model | None, keep_from: float, names: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f.name for f in rest.schema.fields]
+    fields = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -204,12 +212,12 @@ def score(docs: DataFrame, model: Model | None, keep_from: float = KEEP_FROM) ->
             for piece in slices(batch["text"]):
                 got, words, h = counted(piece)
                 p = np.ones(len(piece)) if known is None else known.probability(scores(known, piece, words, h))
-                kept = batch.slice(piece.lo, len(piece))
-                out = {n: kept[n] for n in fields} | {k: pa.array(v) for k, v in got.items()}
-                yield pa.record_batch(out | {"p_quality": pa.array(np.round(p, 6)), "kept": pa.array(~got["base_failed"] & (p >= keep_from))})
+                rows = batch.slice(piece.lo, len(piece))
+                own = [*(pa.array(got[k]) for k in COUNTS), pa.array(np.round(p, 6)), pa.array(~got["base_failed"] & (p >= keep_from))]
+                yield pa.record_batch({n: rows[n] for n in fields} | dict(zip(names, own, strict=True)))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return rest.mapInArrow(run, f"{schema}, {COLUMNS}, p_quality double, kept boolean")
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, ", ".join([ddl(docs), *(f"`{n}` {k}" for n, k in zip(names, KINDS, strict=True))]))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -219,4 +227,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
-    return score(docs, fit(docs, labels)).where("kept").select(*docs.columns)
+    names = free_names(docs, *RESULTS)
+    return _scored(docs, fit(docs, labels), KEEP_FROM, names).where(F.col(names[-1])).select(*docs.columns)

@@ -42,6 +42,9 @@ def odd(spark):
     return spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], "doc_id long, text string, kept string, n_words int, ids string")
 
 
+#: A sequence and its complement that meet under any polynomial modulo a power of two.
+THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+UHT = THUE.translate(str.maketrans("ab", "ba"))
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -251,18 +254,37 @@ def test_words_and_folds_match_the_library(vocabulary):
     random.seed(2)
     parts = ["'", "s", "re", "ll", " ", "  ", "\n", "a", "É", "1", "²", "!", "日", "\U0001f600", "ve", "m", "\x1c", "\x85"]
     data = ["".join(random.choice(parts) for _ in range(random.randint(0, 14))) for _ in range(5000)] + ["a" * 700, " " * 300, "éèàù" * 90]
+    merges = bpe.Merges(ranks)
     for piece in kernels.slices(pa.array(data)):
         start, end = bpe.words(piece)
-        cut = np.searchsorted(start, piece.offs)
+        ids, count = merges.fold(piece, start, end)
+        cut = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(start, piece.offs)]
         for k in range(len(piece)):
-            ids = [x for a, b in zip(start[cut[k] : cut[k + 1]], end[cut[k] : cut[k + 1]]) for x in bpe.fold(piece.data[a:b].tobytes(), ranks)]
-            assert ids == library.encode_ordinary(data[piece.lo + k])
+            assert ids[cut[k] : cut[k + 1]].tolist() == library.encode_ordinary(data[piece.lo + k])
+
+
+def test_documents_are_encoded_as_by_the_library(spark, docs, texts, vocabulary):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    more = {10**6: THUE, 10**6 + 1: UHT, 10**6 + 2: THUE, 10**6 + 3: "x" * 5000 + " " + "ab" * 3000}
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(more.items()), "doc_id long, text string"))
+    for most in (0, 2000):
+        for r in bpe.report(both, vocabulary, most).collect():
+            ids = library.encode_ordinary((texts | more)[r.doc_id])
+            assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+            assert r.decoded_sha256 == hashlib.sha256((texts | more)[r.doc_id].encode()).hexdigest()
 
 
 def test_higher_order_fold_equals_the_helper(spark, docs, vocabulary):
     ranks = bpe.read_ranks(spark, vocabulary)
-    got = bpe.encoded_words(docs, ranks, 3000).collect()
-    assert len(got) > 1000 and all(tuple(r.ids) == bpe.fold(bytes(r.word), ranks) for r in got)
+    got, merges = bpe.encoded_words(docs, ranks, 3000).collect(), bpe.Merges(ranks)
+    assert len(got) > 1000
+    for r in got:
+        piece = kernels.Slice(0, 1, np.frombuffer(bytes(r.word), np.uint8), np.array([0, len(r.word)]))
+        assert r.ids == merges.fold(piece, piece.offs[:1], piece.offs[1:])[0].tolist()
 
 
 def test_round_trip(spark, odd, vocabulary):
@@ -409,3 +431,54 @@ def test_pipeline_runs(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert got and all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
     assert len({r.doc_id for r in got}) == len(got)
+
+
+def test_structured_texts_do_not_meet(spark):
+    """Two unlike lines that a linear hash takes for one."""
+    rows = [(1, f"first line\n{THUE}\nlast line"), (2, f"first line\n{UHT}\nlast line"), (3, f"{THUE}\n{UHT}\n{THUE}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.line_dedup(docs).collect()} == dict(rows)
+    assert [r.n_dup_lines for r in sorted(quality.score(docs, None).collect())] == [0, 0, 1]
+    got = minhash.near_duplicates(docs.where("doc_id < 3"), 1, 100).collect()
+    assert all(r.kept for r in got)
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame([(1, THUE), (3, UHT)], "doc_id long, text string")).collect()}
+    assert [got[i].n_known for i in (1, 3)] == [2 - lm.is_held_out(1), 2 - lm.is_held_out(3)]
+
+
+def test_long_digits_and_many_proposals(spark):
+    digits = "0" * 5000
+    text = f"{digits}.1.1.1 and {'9' * 6000}.1.1.1 " + "call 555-123-4567 now " * 3000
+    row = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_ip == 1 and row.n_card == 0
+
+
+def test_resent_batches_count_once_after_compaction(spark):
+    rollup = token_counts.TokenRollup(spark, f"{shared_dir(spark)}/t-{random.random()}")
+    rows = [spark.createDataFrame([("a", "en", "x y z"[: 2 * k + 1])], "source string, lang string, text string") for k in range(3)]
+    for k, docs in enumerate(rows):
+        rollup.commit(k, token_counts.inserts(docs, "words-1"))
+    short = rollup.compact(1)
+    for again in (short, token_counts.TokenRollup(spark, short.path)):
+        for k in (0, 1, 2):
+            again.commit(k, token_counts.inserts(rows[k], "words-1"))
+        assert [(r.n_docs, r.n_tokens) for r in again.totals().collect()] == [(3, 6)]
+    empty = token_counts.TokenRollup(spark, f"{shared_dir(spark)}/t-{random.random()}")
+    empty.commit(1, token_counts.inserts(rows[0].limit(0), "words-1"))
+    late = empty.compact(1)
+    late.commit(1, token_counts.inserts(rows[0], "words-1"))
+    assert late.totals().count() == 0
+
+
+def test_callers_columns_stay(spark):
+    names = ["n_words", "hits", "items", "kept", "p_quality", "n_lines", "n_dropped", "sign", "drop", "of_doc", "_sign", "spans", "first"]
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty one\nand more words"
+    docs = spark.createDataFrame([(i, text, *[f"own {n}" for n in names]) for i in (1, 2)], ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "two three four")], "item_id long, text string")
+    for out in (quality.drop_rejected(docs, labels), decontam.decontaminate(docs, bench), decontam.decontaminate(docs, bench, block_bytes=5), lines.drop_repeated_lines(docs), passages.drop_passages(docs), minhash.drop_near_duplicates(docs), pii.redact(docs)):
+        assert out.schema == docs.schema
+        got = out.orderBy("doc_id").collect()
+        assert got and all(r[n] == f"own {n}" for r in got for n in names)
+    assert decontam.decontaminate(docs, bench).first().text == text.replace("two three four", "")
+    assert decontam.decontaminate(docs, bench, remove="documents").count() == 0
+    assert [r.text for r in lines.drop_repeated_lines(docs).orderBy("doc_id").collect()] == [text, ""]
