@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's
 docs. All but the last return the columns of documents; n_chars follows the text.
+
+Nulls and empty texts have no words: the quality rules reject them; in a stage after it they stay as they are, and are
+encoded as no ids. Repeated rows are copies: line dedup empties all but the first place, and rows of one id are one
+document. Ties go to the least id. Very long texts are handled whole, empty tables stay empty, and further columns are
+kept by all stages but the last.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm import bpe, decontam, lines, minhash, quality
 from dossier.llm.queries import vocabulary
-from dossier.llm.shared import table, written
+from dossier.llm.shared import removed, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without runs of lines that an earlier place has; a document of which nothing is left stays, empty."""
-    return lines.line_dedup(docs).select(*docs.columns)
+    return lines.drop_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        removed(before)
     return STAGES[-1][1](spark, docs, sf_dir)
