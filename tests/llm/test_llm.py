@@ -358,12 +358,14 @@ def test_line_dedup(spark, docs, texts, odd):
 def test_compact_windows_cover_each_subsequence_once():
     random.seed(6)
     for _ in range(50):
-        h = np.array([random.randrange(30) for _ in range(random.randint(0, 60))], np.uint64)
-        got = passages.compact_windows(h, 5)
-        for i in range(len(h)):
-            for j in range(i + 4, len(h)):
-                inside = [c for a, c, b in got if a <= i <= c <= j <= b]
-                assert len(inside) == 1 and h[inside[0]] == h[i : j + 1].min()
+        parts = [[random.randrange(1, 30) for _ in range(random.randint(0, 60))] for _ in range(3)]
+        h, first = np.array(sum(parts, []), np.uint64), np.cumsum([0, *map(len, parts)])
+        got = list(zip(*passages.compact_windows(h, first, 5)))
+        for lo, hi in zip(first[:-1], first[1:]):
+            for i in range(lo, hi):
+                for j in range(i + 4, hi):
+                    inside = [c for a, c, b in got if a <= i <= c <= j <= b]
+                    assert len(inside) == 1 and h[inside[0]] == h[i : j + 1].min()
 
 
 def test_planted_passages(spark, odd):
@@ -422,6 +424,50 @@ def test_fragments_in_first_documents_hide_no_passage(spark):
     assert all((r.start, r.end, r.first_start, r.first_end) == (30, 90, 30, 90) for r in got)
 
 
+def test_slices_in_earlier_documents_hide_no_passage(spark):
+    number = iter(range(10**6))
+    fresh = lambda n: [f"n{next(number)}" for _ in range(n)]
+    rows, want = [], set()
+    for g in range(10):
+        passage, base = fresh(60), 100 * g
+        for k in range(7):
+            rows.append((base + k, fresh(40) + passage[8 * k : 8 * k + 12] + fresh(40)))
+        rows += [(base + 50, fresh(30) + passage + fresh(20)), (base + 51, fresh(10) + passage + fresh(50))]
+        want.add((base + 51, base + 50))
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_id) for r in got} == want
+
+
+def test_passages_against_brute_force(spark):
+    """Every word of an exact repeat of 50 words of an earlier document lies in a reported passage, and nothing else does."""
+    random.seed(12)
+    number = iter(range(10**6))
+    fresh = lambda n: [f"n{next(number)}" for _ in range(n)]
+    pool = [fresh(random.randint(20, 90)) for _ in range(12)]
+    docs = {}
+    for i in range(120):
+        words = []
+        for _ in range(random.randint(1, 5)):
+            part = random.choice(pool)
+            a = random.randrange(len(part) - 10)
+            words += fresh(random.randint(5, 40)) + part[a : a + random.randint(10, 90)]
+        docs[i] = words + fresh(12)
+    want, seen = {}, {}
+    for i, w in docs.items():
+        runs = {tuple(w[k : k + 50]): k for k in reversed(range(len(w) - 49))}
+        want[i] = {j for run, k in runs.items() if run in seen for j in range(k, k + 50)}
+        for run in runs:
+            seen.setdefault(run, i)
+    got = {i: set() for i in docs}
+    for r in passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.start, r.end))
+        x, y = docs[r.doc_id][r.start : r.end], docs[r.first_id][r.first_start : r.first_end]
+        a, b = ({tuple(z[k : k + 5]) for k in range(len(z) - 4)} for z in (x, y))
+        assert r.first_id <= r.doc_id and len(x) >= 50 and 100 * len(a & b) >= 80 * len(a | b)
+    total = sum(map(len, want.values()))
+    assert total > 2000 and sum(len(want[i] & got[i]) for i in docs) >= 0.99 * total
+
+
 # all
 
 
