@@ -46,9 +46,12 @@ def penalty_table(spark: SparkSession) -> DataFrame:
 
 
 def security_bands(facts: DataFrame, bands: DataFrame) -> DataFrame:
-    """Percent of a security against the band of its kind and amount. ``facts``: pk, kind, amount, percent, exempt."""
-    both = facts.join(F.broadcast(bands), ["kind"], "left").where(within(F.col("amount")) | F.col("amount").isNull() | F.col("least").isNull())
-    both = both.dropDuplicates(["pk", "kind"])
+    """Percent of a security against the band of its kind and amount. ``facts``: pk, kind, amount, percent, exempt.
+
+    Each fact gets its row; without an amount it has no band and is for manual review.
+    """
+    own = bands.withColumnRenamed("kind", "_kind")
+    both = facts.join(F.broadcast(own), (F.col("kind") == F.col("_kind")) & F.col("amount").isNotNull() & within(F.col("amount")), "left").drop("_kind")
     known = F.col("amount").isNotNull() & F.col("percent").isNotNull() & F.col("least").isNotNull()
     status = F.when(F.coalesce("exempt", F.lit(False)), "not_applicable").otherwise(verdict(known, F.col("percent").between(F.col("least"), F.col("most"))))
     return both.select("pk", "kind", "amount", "percent", "least", "most", status.alias("status"))

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from dossier import catalog
 
 SF = "/root/testdata/sf0.001"
-FEW = ["price_variation", "vat_check", "security_bands", "code_set_compare", "prefix_lookup", "char_validation", "header_paths", "clauses", "bm25_topk", "merge_findings", "duplicate_uploads", "money"]
+FEW = ["price_variation", "vat_check", "security_bands", "code_set_compare", "prefix_lookup", "char_validation", "header_paths", "clauses", "bm25_topk", "merge_findings", "duplicate_uploads", "money", "document_types", "header_rules", "table_business_types", "mandatory_clauses", "security_exceptions"]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
