@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,16 +84,19 @@ def plan_code_for_item(items: DataFrame, codes: DataFrame) -> DataFrame:
 def link_justifications(just: DataFrame, rows: DataFrame) -> DataFrame:
     """Justifications to extra characteristics: by row number, name, code, characteristic name, or as the sole item.
 
-    ``just``: pk, j, row_no, name_norm, code, chars (array); ``rows``: pk, seq, row_no, name_norm, code, char.
+    ``just``: pk, j, row_no, name_norm, code, chars (array); ``rows``: pk, seq, row_no, name_norm, code, char. Each way is
+    a join by equality; a name within a name is looked for last, for what has no row of its number.
     """
-    r = rows.select("pk", "seq", *[F.col(c).alias(f"r_{c}") for c in ("row_no", "name_norm", "code", "char")], F.count("*").over(W.partitionBy("pk")).alias("_n"))
-    both = just.join(r, "pk")
-    has = lambda a, b: F.coalesce((F.col(b) != "") & F.contains(F.col(a), F.col(b)), F.lit(False))
-    way = (
-        F.when(F.col("row_no") == F.col("r_row_no"), 1).when(has("name_norm", "r_name_norm"), 2).when(F.col("code") == F.col("r_code"), 3)
-        .when(F.array_contains("chars", F.col("r_char")), 4).when(F.col("_n") == 1, 5)
-    )
-    best = both.withColumn("way", way).where("way is not null").groupBy("pk", "j").agg(F.min(F.struct("way", "seq")).alias("b"))
+    first = lambda pairs, way: pairs.groupBy("pk", "j").agg(F.min("seq").alias("seq")).select("pk", "j", F.struct(F.lit(way).alias("way"), "seq").alias("b"))
+    by_number = first(just.select("pk", "j", "row_no").join(rows.select("pk", "seq", "row_no"), ["pk", "row_no"]), 1)
+    by_code = first(just.select("pk", "j", "code").join(rows.select("pk", "seq", "code"), ["pk", "code"]), 3)
+    by_char = first(just.select("pk", "j", F.explode("chars").alias("char")).join(rows.select("pk", "seq", "char"), ["pk", "char"]), 4)
+    sole = rows.groupBy("pk").agg(F.count("*").alias("_n"), F.min("seq").alias("seq")).where("_n = 1")
+    alone = first(just.select("pk", "j").join(sole, "pk"), 5)
+    left = just.select("pk", "j", "name_norm").join(by_number, ["pk", "j"], "left_anti")
+    names = rows.where("name_norm != ''").groupBy("pk", F.col("name_norm").alias("r_name")).agg(F.min("seq").alias("seq"))
+    by_name = first(left.join(names, "pk").where(F.contains("name_norm", "r_name")), 2)
+    best = reduce(DataFrame.unionByName, [by_number, by_name, by_code, by_char, alone]).groupBy("pk", "j").agg(F.min("b").alias("b"))
     out = just.select("pk", "j").join(best.select("pk", "j", "b.seq", "b.way"), ["pk", "j"], "left")
     return out.withColumn("status", F.when(F.col("seq").isNull(), "partial").otherwise("passed"))
 

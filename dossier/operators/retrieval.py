@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K1, B = 1.5, 0.75
-#: Query vectors are broadcast up to so many and otherwise joined block by block.
-QUERY_ROWS = 10_000
+#: Query vectors are broadcast so many at a time, and weighed query terms up to so many.
+QUERY_ROWS, TERM_ROWS = 10_000, 1_000_000
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, keys: list[str]) -> DataFrame:
     """The k best chunks of each query (query_id, text). Tokens are lower-cased parts between white space.
 
-    k1 = 1.5, b = 0.75, idf = ln((N - df + 0.5) / (df + 0.5) + 1). Only chunks that share a token are met: terms of the
-    queries, then their postings. Equal scores go by the keys.
+    k1 = 1.5, b = 0.75, idf = ln((N - df + 0.5) / (df + 0.5) + 1). Only chunks that share a token are met. The chunks are
+    dealt once, by their keys; terms are counted, weighed (the terms of the queries are broadcast up to TERM_ROWS) and
+    summed where a chunk lies, and each task keeps its own best, so neither a frequent term nor the pairs of chunks and
+    queries are shuffled. Equal scores go by the keys.
     """
     tokens = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    docs = chunks.select(*keys, tokens("text").alias("t")).withColumn("n", F.size("t"))
+    docs = chunks.select(*keys, "text").repartition(*keys).select(*keys, tokens("text").alias("t")).withColumn("n", F.size("t"))
     total = docs.agg(F.count("*").alias("n_all"), F.avg("n").alias("avg"))
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    few = asked.limit(TERM_ROWS + 1).count() <= TERM_ROWS
+    small = F.broadcast if few else lambda x: x
     terms = asked.select("term").distinct()
-    posts = docs.select(*keys, "n", F.explode("t").alias("term")).join(terms, "term").groupBy("term", *keys, "n").agg(F.count("*").alias("tf"))
+    posts = docs.select(*keys, "n", F.explode("t").alias("term")).join(small(terms), "term").groupBy("term", *keys, "n").agg(F.count("*").alias("tf"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = posts.join(df, "term").crossJoin(F.broadcast(total))
     idf = F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg")))
-    scores = weighed.select("term", *keys, part.alias("p")).join(asked, "term").groupBy("query_id", *keys).agg(F.round(F.sum(F.col("p") * F.col("qf")), 6).alias("score"))
+    weights = asked.join(df, "term").crossJoin(F.broadcast(total)).select("term", "query_id", "avg", (F.col("qf") * idf).alias("w"))
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg")))
+    scores = posts.join(small(weights), "term").groupBy("query_id", *keys).agg(F.round(F.sum(part), 6).alias("score"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), *keys))
     return scores.withColumn("place", place).where(F.col("place") <= k)
 
@@ -40,15 +46,19 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, decimals: int = 6) -> DataFrame:
     """The k nearest vectors (vec_id, embedding) of each query by cosine, without itself; ties by id.
 
-    The queries are a stated set, broadcast up to QUERY_ROWS; every vector is compared with each of them, and each
-    task keeps its own best before the shuffle.
+    The queries are a stated set, broadcast in blocks of some QUERY_ROWS; every vector is compared with each of them, and
+    each task keeps its own best before the shuffle.
     """
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
-    n = q.limit(QUERY_ROWS + 1).count()
-    q = F.broadcast(q) if n <= QUERY_ROWS else q
-    met = vectors.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("_q")), decimals).alias("score"))
+    blocks = max(1, -(-q.count() // QUERY_ROWS))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("place", place).where(F.col("place") <= k)
+
+    def nearest(block: int) -> DataFrame:
+        own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        met = vectors.join(F.broadcast(own), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("_q")), decimals).alias("score"))
+        return met.withColumn("place", place).where(F.col("place") <= k)
+
+    return reduce(DataFrame.unionByName, map(nearest, range(blocks)))
 
 
 def assemble_context(hits: DataFrame, source: str, text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import text as fn
-from dossier.operators import catalogue, compare, findings, match, merge, prices, rules, sections, tables
+from dossier.operators import catalogue, compare, findings, match, merge, prices, retrieval, rules, sections, tables
 from dossier.operators.retrieval import bm25_topk
 
 
@@ -150,3 +150,25 @@ def test_empty_tables_give_empty_results(spark, three_prices):
     assert prices.price_variation(none).count() == prices.supplier_totals(none).count() == prices.stage_rollup(none.withColumn("stage", F.lit(1))).where("level = 0").count() == 0
     queries = spark.createDataFrame([], "query_id long, text string")
     assert bm25_topk(spark.createDataFrame([(1, 0, "a")], "doc_id long, chunk int, text string"), queries, 3, ["doc_id", "chunk"]).count() == 0
+
+
+def test_best_by_name_against_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    names, refs = ["Red Bolt 5", "steel ring", "blue «pipe»", "x"], [(1, "red bolt 5"), (2, "Red Bolt 6"), (3, "ring of steel"), (4, "blue pipe"), (5, "pipe blue"), (6, "blue pipe")]
+    pairs = spark.createDataFrame([(k, 1, i, a, b) for k, a in enumerate(names) for i, b in refs], "pk int, seq int, ref_id int, name string, ref_name string")
+    norm = {t: spark.range(1).select(fn.norm_text(F.lit(t))).first()[0] for t in {*names, *(b for _, b in refs)}}
+
+    def score(a, b):
+        return round(100 * SequenceMatcher(None, norm[a], norm[b], autojunk=False).ratio(), 4) + 10 * (norm[a] == norm[b]) + 20 * (a == b)
+
+    want = {k: min((-score(a, b), i) for i, b in refs) for k, a in enumerate(names)}
+    assert {r.pk: (-r.score, r.ref_id) for r in match.best_by_name(pairs).collect()} == want
+
+
+def test_vectors_in_blocks_are_those_of_one(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id int, embedding array<double>")
+    queries = vectors.where("vec_id % 4 = 0")
+    whole = sorted(map(tuple, retrieval.vector_topk(vectors, queries, 3).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 4)
+    assert sorted(map(tuple, retrieval.vector_topk(vectors, queries, 3).collect())) == whole and len(whole) == 45
