@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ODD, SPACE, Slice, U, lists, mix, slices
+from .kernels import ODD, SPACE, Slice, Spans, U, lists, mix, slices
 from .shared import removed, small_batches, written
 
 #: Words whose counts are broadcast.
@@ -52,17 +52,28 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % HELD_OUT_OF == HELD_OUT
 
 
-def tokens(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each token with the end tokens in their places, where each text's begin, and the class of the ending."""
+def tokens(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each token with the end tokens in their places, and where each text's begin."""
+    h, first, _ = _tokens(piece)
+    return h, first
+
+
+def tokens_and_endings(piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens with the class of the ending of each."""
+    h, first, (words, place) = _tokens(piece)
+    ending = np.zeros(len(h), np.int64)
+    ending[place] = 1 + (words.piece.span_hash(np.maximum(words.end - 3, words.start), words.end) % U(ENDINGS)).astype(np.int64)
+    return h, first, ending
+
+
+def _tokens(piece: Slice) -> tuple[np.ndarray, np.ndarray, tuple[Spans, np.ndarray]]:
     piece = piece.lowered()
     words = piece.runs(SPACE)
     n = len(words.start)
     place = np.arange(n) + words.home()
-    h, ending = np.full(n + len(piece), END), np.zeros(n + len(piece), np.int64)
+    h = np.full(n + len(piece), END)
     h[place] = words.hashes()
-    tail = piece.span_hash(np.maximum(words.end - 3, words.start), words.end)
-    ending[place] = 1 + (tail % U(ENDINGS)).astype(np.int64)
-    return h, words.first + np.arange(len(piece) + 1), ending
+    return h, words.first + np.arange(len(piece) + 1), (words, place)
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -82,7 +93,7 @@ def counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             held = np.array([is_held_out(i) for i in batch["doc_id"].to_pylist()], bool)
             for piece in slices(batch["text"]):
-                h, first, ending = tokens(piece)
+                h, first, ending = tokens_and_endings(piece)
                 keep = np.repeat(~held[piece.lo : piece.hi], np.diff(first))
                 h, at, n = np.unique(h[keep], return_index=True, return_counts=True)
                 parts.append((h, n, ending[keep][at]))
@@ -215,12 +226,17 @@ def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndar
     at, number = np.flatnonzero(mark), np.cumsum(mark) - 1
     width = table.shape[1]
     weight, column = grad.ravel().astype(np.float64), np.arange(width)
-    total = np.zeros(len(at) * width)
-    for k in range(rows.shape[1]):
-        total += np.bincount(((number[rows[:, k]] * width)[:, None] + column).ravel(), weight, len(total))
-    total = total.reshape(-1, width).astype(np.float32)
-    seen[at] += (total * total) @ np.ones(width, np.float32)
-    table[at] -= RATE * total / np.sqrt(seen[at] + 1e-6)[:, None]
+    place = np.concatenate([((number[rows[:, k]] * width)[:, None] + column).ravel() for k in range(1, rows.shape[1])])
+    total = np.bincount(place, np.tile(weight, rows.shape[1] - 1), len(at) * width).reshape(-1, width).astype(np.float32)
+    # the constant has one row, or one for each group
+    first = np.zeros((GROUPS, len(grad)), np.float32)
+    first[rows[:, 0], np.arange(len(grad))] = 1
+    own = at[at < GROUPS]
+    total[: len(own)] += (first @ grad)[own]
+    past = seen[at] + (total * total) @ np.ones(width, np.float32)
+    seen[at] = past
+    total *= (RATE / np.sqrt(past + 1e-6))[:, None]
+    table[at] -= total
 
 
 def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Weights:
@@ -252,7 +268,7 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Weights:
             for batch in batches:
                 held = np.array([is_held_out(i) for i in batch["doc_id"].to_pylist()], bool)
                 for piece in slices(batch["text"], STEP_BYTES):
-                    h, first, _ = tokens(piece)
+                    h, first = tokens(piece)
                     keep = np.flatnonzero(np.repeat(~held[piece.lo : piece.hi], np.diff(first)))
                     place = known.find(h)
                     slot = np.where(place < 0, 0, known.slot[place] if len(known.slot) else 0)[keep]
@@ -286,7 +302,7 @@ def score(docs: DataFrame, known_words: int = KNOWN, rounds: int = ROUNDS) -> Da
         slots = np.append(known.slot, 0)
         for batch in batches:
             for piece in slices(batch["text"]):
-                h, first, _ = tokens(piece)
+                h, first = tokens(piece)
                 place = known.find(h)
                 rare = place < 0
                 features, slot = context(h, first), slots[place]
