@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import text_close
+from ..sources.shared import small
 from .findings import verdict
 
 
@@ -21,7 +22,7 @@ def first_per_role(files: DataFrame, order: list, many: list[str] = ()) -> tuple
 
 def completeness(files: DataFrame, packages: DataFrame, required: DataFrame, offer_role: str, min_offers: int = 3) -> DataFrame:
     """Required roles that a package lacks, and whether it has enough offers. ``required``: role (a small list)."""
-    need = packages.select("pk").crossJoin(F.broadcast(required.select("role")))
+    need = packages.select("pk").crossJoin(small(required.select("role")))
     missing = need.join(files.select("pk", "role").distinct(), ["pk", "role"], "left_anti").groupBy("pk").agg(F.array_sort(F.collect_set("role")).alias("missing"))
     offers = files.where(F.col("role") == offer_role).groupBy("pk").agg(F.count("*").alias("n_offers"))
     out = packages.select("pk").join(missing, "pk", "left").join(offers, "pk", "left")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_dates, norm_text, norm_unit, to_decimal
+from ..sources.shared import small
 from .tables import TABLE, attach_children, classify_rows, select_columns
 
 OFFER_LINE = r"^(\d{1,3})[.)]? +(.+?) +(шт|ед|компл|кг|м|усл)\.? +(\d+(?:,\d+)?) +(\d[\d ]*,\d{2}) +(\d[\d ]*,\d{2})$"
@@ -60,7 +61,7 @@ def items_from_tables(rows: DataFrame, is_item: Column, key: Column) -> DataFram
 
 def build_facts(blocks: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
     """Facts of documents: for each rule (field, pattern with one group; a small table) its first match in order."""
-    met = blocks.join(F.broadcast(rules), F.regexp_like("text", "pattern"))
+    met = blocks.join(small(rules), F.regexp_like("text", "pattern"))
     first = met.groupBy(key, "field").agg(F.min_by(F.struct("ord", "text", "pattern"), "ord").alias("b"))
     raw = F.trim(F.call_function("regexp_extract", F.col("b.text"), F.col("b.pattern"), F.lit(1)))
     return first.select(key, "field", F.col("b.ord").alias("ord"), raw.alias("raw"), norm_text(raw).alias("norm"))

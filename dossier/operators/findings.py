@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import small
+
 # Statuses from best to worst, and the severity of each.
 STATUSES = ["not_applicable", "skipped", "passed", "warning", "manual_review", "failed"]
 SEVERITY = {"failed": "high", "manual_review": "medium", "warning": "medium", "passed": "info", "not_applicable": "info", "skipped": "info"}
@@ -83,9 +85,9 @@ def report_rows(df: DataFrame, sections: DataFrame, replaced: DataFrame) -> Data
     """Visible findings in the order of sections. ``sections``: check_id, section, ord; ``replaced``: strict_id, semantic_id,
     where a strict finding that needs review gives way to a settled semantic one of the same package."""
     settled = df.where("status in ('passed', 'failed', 'warning')").select("pk", F.col("check_id").alias("semantic_id"))
-    hidden = settled.join(F.broadcast(replaced), "semantic_id").select("pk", F.col("strict_id").alias("check_id"), F.lit("manual_review").alias("status")).distinct()
+    hidden = settled.join(small(replaced), "semantic_id").select("pk", F.col("strict_id").alias("check_id"), F.lit("manual_review").alias("status")).distinct()
     seen = df.where("status not in ('skipped', 'not_applicable')").join(hidden, ["pk", "check_id", "status"], "left_anti")
-    return seen.join(F.broadcast(sections), "check_id").withColumn("place", F.row_number().over(W.partitionBy("pk").orderBy("ord", "check_id", "status", "actual")))
+    return seen.join(small(sections), "check_id").withColumn("place", F.row_number().over(W.partitionBy("pk").orderBy("ord", "check_id", "status", "actual")))
 
 
 def override_results(base: DataFrame, better: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

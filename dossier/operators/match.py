@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import seq_ratio
 from ..functions.text import jaccard, name_support, norm_text
-from ..sources.shared import written
+from ..sources.shared import small, written
 
 
 def _unique(pairs: DataFrame, left: str, right: str, keys: list[str] = ("pk",)) -> DataFrame:
@@ -112,7 +112,7 @@ def lookup_item(items: DataFrame, ref: DataFrame) -> DataFrame:
 def code_by_name(items: DataFrame, entries: DataFrame) -> DataFrame:
     """Code of the first entry (ord, name, code; a small list) whose name is within the item's or the other way round."""
     e = entries.select("ord", F.col("name").alias("e_name"), "code")
-    met = items.join(F.broadcast(e), (F.col("name") != "") & (F.contains("name", "e_name") | F.contains("e_name", "name")))
+    met = items.join(small(e), (F.col("name") != "") & (F.contains("name", "e_name") | F.contains("e_name", "name")))
     first = met.groupBy("pk", "seq").agg(F.min_by("code", "ord").alias("code"))
     return items.join(first, ["pk", "seq"], "left")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -21,6 +23,34 @@ def fill_gaps(primary: DataFrame, secondary: DataFrame, keys: list[str], fields:
     return filled.unionByName(rest)
 
 
+def fill_gaps_cascade(primary: DataFrame, secondary: DataFrame, ways: list[list[str]], key: str, order: str, fields: list[str]) -> DataFrame:
+    """Rows of the first extraction (key, order, fields), blanks filled from the row of the second that stands for the same.
+
+    ``ways`` are lists of columns, tried in turn (row number, then name with quantity and unit): a pair counts if all are
+    filled and equal and no other row of either side has them. What is left then is paired by its place. Rows that no way
+    pairs are appended. how: number of the way, 0 for the place, null without a partner.
+    """
+    columns = list(dict.fromkeys([*fields, *(c for way in ways for c in way)]))
+    a = primary.select(key, F.col(order).alias("_a"), *columns)
+    b = secondary.select(key, F.col(order).alias("_b"), *[F.col(c).alias(f"_{c}") for c in columns])
+    pairs = None
+
+    def rest(df: DataFrame, at: str) -> DataFrame:
+        return df if pairs is None else df.join(pairs.select(key, at), [key, at], "left_anti")
+
+    for number, way in enumerate(ways, 1):
+        only = lambda df, at, names: df.where(reduce(lambda x, y: x & y, [~blank(F.col(c)) for c in names])).groupBy(key, *[F.col(c).alias(w) for c, w in zip(names, way, strict=True)]).agg(F.count("*").alias("n"), F.min(at).alias(at)).where("n = 1").drop("n")  # noqa: B023, E731
+        met = only(rest(a, "_a"), "_a", way).join(only(rest(b, "_b"), "_b", [f"_{c}" for c in way]), [key, *way]).select(key, "_a", "_b", F.lit(number).alias("how"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    place = lambda at: F.row_number().over(W.partitionBy(key).orderBy(at)).alias("n")
+    left, right = rest(a, "_a").select(key, "_a", place("_a")), rest(b, "_b").select(key, "_b", place("_b"))
+    pairs = pairs.unionByName(left.join(right, [key, "n"]).select(key, "_a", "_b", F.lit(0).alias("how")))
+    both = a.join(pairs, [key, "_a"], "left").join(b, [key, "_b"], "left")
+    filled = both.select(key, F.lit("primary").alias("origin"), F.col("_a").alias(order), *[F.when(~blank(F.col(f)), F.col(f)).otherwise(F.col(f"_{f}")).alias(f) for f in fields], "how")
+    more = rest(b, "_b").select(key, F.lit("secondary").alias("origin"), F.col("_b").alias(order), *[F.col(f"_{f}").alias(f) for f in fields], F.lit(None).cast("int").alias("how"))
+    return filled.unionByName(more)
+
+
 def merge_chunks(parts: DataFrame, key: str, order: str, scalars: list[str], lists: list[str]) -> DataFrame:
     """Partial results of one document: the first scalar that isn't null, and distinct values of the lists, sorted."""
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in scalars]

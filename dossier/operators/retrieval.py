@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import small
+
 K1, B = 1.5, 0.75
 #: Query vectors are broadcast so many at a time, and weighed query terms up to so many.
 QUERY_ROWS, TERM_ROWS = 10_000, 1_000_000
@@ -73,7 +75,7 @@ def classify_documents(docs: DataFrame, markers: DataFrame, key: str = "doc_id",
 
     confidence = min(0.99, 0.55 + 0.1 best + 0.05 (best - second)); a tie is a conflict. Documents without a marker are unknown.
     """
-    met = docs.select(key, F.lower(text).alias("_t")).join(F.broadcast(markers), F.contains("_t", "marker"))
+    met = docs.select(key, F.lower(text).alias("_t")).join(small(markers), F.contains("_t", "marker"))
     sums = met.groupBy(key, "doc_type").agg(F.sum("weight").alias("s"))
     top = F.slice(F.sort_array(F.collect_list(F.struct("s", "doc_type")), False), 1, 2)
     best = sums.groupBy(key).agg(top.alias("top"))

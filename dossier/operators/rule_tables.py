@@ -173,3 +173,63 @@ def security_exception(kind: Column, fields: Column) -> Column:
     """The note of the first exception whose mark the fields of the plan have, by kind of security; else null."""
     t = low(fields)
     return first_rule([((kind == k) & t.rlike(p), note) for k, p, note in SECURITY_EXCEPTIONS])
+
+
+# Points of a table's complexity: a column, the least value, points.
+COMPLEXITY = [("n_rows", 40, 20), ("n_rows", 80, 20), ("n_cols", 8, 10), ("n_header_rows", 2, 15), ("n_warnings", 1, 20), ("n_suspicious", 1, 30), ("n_chars", 15_001, 15), ("n_chars", 30_001, 15)]
+FALLBACK_POINTS, FALLBACK_MOST = 3, 30
+
+
+def complexity(tables: DataFrame, gate: int) -> DataFrame:
+    """``tables`` with points (size, width, headers, warnings, rows that no rule read, length) and repair (points at the gate)."""
+    points = reduce(lambda a, b: a + b, [F.when(F.col(c) >= least, p).otherwise(0) for c, least, p in COMPLEXITY])
+    points = points + F.least(F.lit(FALLBACK_MOST), F.coalesce("n_fallback", F.lit(0)) * FALLBACK_POINTS)
+    return tables.withColumn("points", points.cast("int")).withColumn("repair", F.col("points") >= gate)
+
+
+def start_event(c: Column) -> Column:
+    """From when a term runs: the day after the contract is signed, the day of it, or null for anything else."""
+    t = low(c)
+    return F.when(all_of(t, ["со дня, следующего", "заключ"]), "next_day_after_contract_signing").when(any_of(t, ["с даты заключ", "со дня заключ"]), "contract_signing")
+
+
+def codes_with_names(docs: DataFrame, key: str, text: str, code: str) -> DataFrame:
+    """key, seq, code, name: each code (a pattern without groups) of a text with what stands between it and the next code,
+    semicolon or line end; the first place of a code counts, an empty name is null."""
+    pattern = rf"(?:{code})\s*[–—-]?\s*[^;\n]*?(?=(?:{code})|[;\n]|$)"
+    found = docs.select(key, F.posexplode(F.regexp_extract_all(F.replace(text, F.lit("\r"), F.lit("\n")), F.lit(pattern), F.lit(0))).alias("seq", "raw"))
+    own = F.regexp_extract("raw", f"^(?:{code})", 0)
+    name = F.regexp_replace(F.regexp_replace(F.substr("raw", F.length(own) + 1), r"^\s*[–—-]?\s*", ""), r"[\s.;]+$", "")
+    rows = found.select(key, own.alias("code"), F.struct("seq", F.nullif(name, F.lit("")).alias("name")).alias("b"))
+    return rows.groupBy(key, "code").agg(F.min("b").alias("b")).select(key, "b.seq", "code", "b.name")
+
+
+def similar_by_name(missing: DataFrame, present: DataFrame) -> DataFrame:
+    """pk, code, similar: for each missing code the present ones with the same first three segments, or one of whose names
+    is within one of its names or the other way round. Both: pk, code, names (array). Names are met inside a package."""
+    head = F.substring_index("code", ".", 3)
+    a = missing.select("pk", "code", head.alias("h"), "names")
+    b = present.select("pk", F.col("code").alias("similar"), head.alias("h"), F.col("names").alias("others"))
+    long = lambda c: F.size(F.split(c, r"\.")) >= 3
+    by_code = a.where(long("code")).join(b.where(long("similar")), ["pk", "h"]).where("code != similar").select("pk", "code", "similar")
+    x = a.select("pk", "code", F.explode("names").alias("x")).where("x != ''")
+    y = b.select("pk", "similar", F.explode("others").alias("y")).where("y != ''")
+    by_name = x.join(y, "pk").where(F.contains("x", "y") | F.contains("y", "x")).select("pk", "code", "similar")
+    every = by_code.union(by_name).distinct()
+    return every.groupBy("pk", "code").agg(F.array_join(F.array_sort(F.collect_set("similar")), ",").alias("similar"))
+
+
+def validate_cells(found: DataFrame, blocks: DataFrame, tables: DataFrame, cells: DataFrame, most_chars: int = 500) -> DataFrame:
+    """``found`` (doc_id, ord, table_id, r, c; the last three may be null) with valid and quote.
+
+    The cited block must be there; a cited table must be there, and the row and column inside it. The quote is that of the
+    cell if row and column are cited, else of the block. ``tables``: doc_id, table_id, n_rows, n_cols.
+    """
+    own = ["doc_id", "ord", "table_id", "r", "c"]
+    both = found.select(*own).join(blocks.select("doc_id", "ord", F.col("text").alias("_block")), ["doc_id", "ord"], "left").join(tables.select("doc_id", "table_id", "n_rows", "n_cols"), ["doc_id", "table_id"], "left")
+    both = both.join(cells.select("doc_id", "table_id", "r", "c", F.col("text").alias("_cell")), ["doc_id", "table_id", "r", "c"], "left")
+    inside = lambda at, n: F.col(at).isNull() | F.col(at).between(0, F.col(n) - 1)
+    ok = F.col("_block").isNotNull() & (F.col("table_id").isNull() | (F.col("n_rows").isNotNull() & inside("r", "n_rows") & inside("c", "n_cols")))
+    cited = F.col("table_id").isNotNull() & F.col("r").isNotNull() & F.col("c").isNotNull()
+    quote = F.when(ok, F.substring(F.when(cited, F.coalesce("_cell", F.lit(""))).otherwise(F.col("_block")), 1, most_chars))
+    return both.select(*own, F.coalesce(ok, F.lit(False)).alias("valid"), quote.alias("quote"))

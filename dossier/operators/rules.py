@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_text, text_close
+from ..sources.shared import small
 from .findings import verdict
 
 # Fixed values, amounts in roubles and percents: kind, amount above which and up to which the band holds, least, most.
@@ -51,7 +52,7 @@ def security_bands(facts: DataFrame, bands: DataFrame) -> DataFrame:
     Each fact gets its row; without an amount it has no band and is for manual review.
     """
     own = bands.withColumnRenamed("kind", "_kind")
-    both = facts.join(F.broadcast(own), (F.col("kind") == F.col("_kind")) & F.col("amount").isNotNull() & within(F.col("amount")), "left").drop("_kind")
+    both = facts.join(small(own), (F.col("kind") == F.col("_kind")) & F.col("amount").isNotNull() & within(F.col("amount")), "left").drop("_kind")
     known = F.col("amount").isNotNull() & F.col("percent").isNotNull() & F.col("least").isNotNull()
     status = F.when(F.coalesce("exempt", F.lit(False)), "not_applicable").otherwise(verdict(known, F.col("percent").between(F.col("least"), F.col("most"))))
     return both.select("pk", "kind", "amount", "percent", "least", "most", status.alias("status"))
@@ -62,7 +63,7 @@ def penalty_check(clauses: DataFrame, facts: DataFrame, table: DataFrame) -> Dat
 
     A clause of the other kind is looked at only if there is none of the kind itself.
     """
-    need = facts.join(F.broadcast(table), within(F.col("amount"))).select("pk", "amount", "kind", F.col("percent").alias("due_percent"), F.col("fixed").alias("due_fixed"))
+    need = facts.join(small(table), within(F.col("amount"))).select("pk", "amount", "kind", F.col("percent").alias("due_percent"), F.col("fixed").alias("due_fixed"))
     best = F.row_number().over(W.partitionBy("pk", "need").orderBy((F.col("kind") != F.col("need")).cast("int"), "seq"))
     own = clauses.select("pk", "seq", F.col("kind").alias("c_kind"), F.col("percent").alias("c_percent"), F.col("fixed").alias("c_fixed"))
     both = need.withColumnRenamed("kind", "need").join(own, "pk", "left").withColumn("kind", F.coalesce("c_kind", "need"))
@@ -93,7 +94,7 @@ def clause_checklist(sections: DataFrame, checklist: DataFrame) -> DataFrame:
     """Mandatory clauses and whether a text of the package has all markers of one. ``checklist``: clause, markers (array)."""
     text = sections.groupBy("pk").agg(F.array_join(F.collect_list("text"), "\n").alias("_t"))
     has = F.forall("markers", lambda m: F.contains(F.lower("_t"), m))
-    return text.crossJoin(F.broadcast(checklist)).select("pk", "clause", has.alias("present"), verdict(F.col("_t").isNotNull(), has).alias("status"))
+    return text.crossJoin(small(checklist)).select("pk", "clause", has.alias("present"), verdict(F.col("_t").isNotNull(), has).alias("status"))
 
 
 def text_vs_baseline(facts: DataFrame, field: str, base: str) -> DataFrame:

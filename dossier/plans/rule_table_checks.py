@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import merge
 from ..operators import rule_tables as op
-from .registry import query, table
+from .registry import ITEMS, PARTS, items, parts, query, table
 
 
 def _q(text: str) -> str:
@@ -118,3 +120,85 @@ def security_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.concat_ws("; ", _pick(_FIELDS, F.col("o_custkey")), _pick(_FIELDS, F.expr("o_orderkey div 4")))
     rows = table(spark, sf_dir, "orders").select(key.alias("pk"), _pick(["bid", "performance", "warranty"], key).alias("kind"), fields.alias("fields"))
     return rows.select("pk", "kind", op.security_exception(F.col("kind"), F.col("fields")).alias("exception"))
+
+
+_STARTS = ["Срок 10 рабочих дней со дня, следующего за днем заключения контракта", "Со дня, следующего за приемкой", "с даты заключения контракта", "СО ДНЯ ЗАКЛЮЧЕНИЯ договора", "с момента заявки", ""]
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS pk, lower({_pick_sql(_STARTS, "o_orderkey")} || '; ' || {_pick_sql(_STARTS, "o_custkey")}) AS t FROM orders)
+SELECT pk, CASE WHEN contains(t, 'со дня, следующего') AND contains(t, 'заключ') THEN 'next_day_after_contract_signing' WHEN contains(t, 'с даты заключ') OR contains(t, 'со дня заключ') THEN 'contract_signing' END AS start_event FROM t""")
+def start_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat_ws("; ", _pick(_STARTS, F.col("o_orderkey")), _pick(_STARTS, F.col("o_custkey")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pk"), op.start_event(text).alias("start_event"))
+
+
+_POINTS = " + ".join(f"(CASE WHEN {c} >= {least} THEN {p} ELSE 0 END)" for c, least, p in op.COMPLEXITY)
+
+
+@query(f"""WITH {ITEMS}, {PARTS}, t AS (SELECT item AS pk, count(*) AS n_rows, count(DISTINCT source) AS n_cols, count(DISTINCT flag) AS n_header_rows, count(*) FILTER (discount > 8) AS n_warnings, count(*) FILTER (tax = 0 AND qty < 5) AS n_suspicious, sum(total) // 10000 AS n_chars, CASE WHEN item % 4 <> 0 THEN count(*) FILTER (role = 'O') END AS n_fallback FROM items GROUP BY item)
+SELECT pk, points, points >= 60 AS repair FROM (SELECT pk, ({_POINTS} + least(30, coalesce(n_fallback, 0) * 3))::INTEGER AS points FROM t)""")
+def table_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda c: F.count_if(c)
+    tables = items(spark, sf_dir).groupBy(F.col("item").alias("pk")).agg(
+        F.count("*").alias("n_rows"), F.countDistinct("source").alias("n_cols"), F.countDistinct("flag").alias("n_header_rows"), n(F.col("discount") > 8).alias("n_warnings"),
+        n((F.col("tax") == 0) & (F.col("qty") < 5)).alias("n_suspicious"), F.expr("sum(total) div 10000").alias("n_chars"), F.when(F.col("item") % 4 != 0, n(F.col("role") == "O")).alias("n_fallback"),
+    )
+    return op.complexity(tables, 60).select("pk", "points", "repair")
+
+
+@query(f"""WITH {PARTS}, f AS (SELECT size AS pk, code, arg_min(name, item) AS name, min(item) AS i FROM parts GROUP BY size, code) SELECT pk, (row_number() OVER (PARTITION BY pk ORDER BY i) - 1)::INTEGER AS place, code, nullif(CASE WHEN i % 5 = 0 THEN '' ELSE name END, '') AS name FROM f""")
+def named_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text for each size, with the codes of its parts and their names, in three styles of writing; places are those of first codes."""
+    p = parts(spark, sf_dir)
+    name = F.when(F.col("item") % 5 == 0, "").otherwise(F.col("name"))
+    raw = F.concat("code", F.when(F.col("item") % 3 == 0, " – ").otherwise(" "), name, F.when(F.col("item") % 2 == 0, ".;").otherwise("\n"))
+    texts = p.groupBy(F.col("size").alias("pk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", raw.alias("raw")))), lambda x: x["raw"]), " ").alias("text"))
+    found = op.codes_with_names(texts, "pk", "text", r"\d{2}\.\d{2}\.\d{2}\.\d{3}")
+    return found.select("pk", (F.row_number().over(W.partitionBy("pk").orderBy("seq")) - 1).alias("place"), "code", "name")
+
+
+@query(f"""WITH {ITEMS}, {PARTS}, w AS (SELECT pk, role, code, split_part(name, ' ', 1) AS short, name FROM items JOIN parts USING (item)), a AS (SELECT DISTINCT pk, code, short AS n FROM w WHERE role = 'O'), b AS (SELECT DISTINCT pk, code, name AS n FROM w WHERE role = 'F'),
+m AS (SELECT DISTINCT a.pk, a.code, b.code AS s FROM a JOIN b ON a.pk = b.pk WHERE (array_to_string(string_split(a.code, '.')[1:3], '.') = array_to_string(string_split(b.code, '.')[1:3], '.') AND a.code <> b.code) OR (a.n <> '' AND b.n <> '' AND (contains(a.n, b.n) OR contains(b.n, a.n))))
+SELECT pk, code, string_agg(s, ',' ORDER BY s) AS similar FROM m GROUP BY ALL""")
+def similar_named_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = items(spark, sf_dir).join(parts(spark, sf_dir), "item")
+    side = lambda role, name: w.where(F.col("role") == role).groupBy("pk", "code").agg(F.collect_set(name).alias("names"))
+    return op.similar_by_name(side("O", F.split_part("name", F.lit(" "), F.lit(1))), side("F", F.col("name")))
+
+
+@query(f"""WITH {ITEMS}, {PARTS}, l AS (SELECT pk, seq, name, qty, total, tax FROM items JOIN parts USING (item)), size AS (SELECT pk, max(seq) AS n FROM l GROUP BY pk),
+f AS (SELECT pk AS doc_id, seq AS ord, CASE WHEN tax % 3 <> 0 THEN CASE WHEN tax = 1 THEN 'x' ELSE 't' END END AS table_id, CASE WHEN tax % 2 = 0 THEN (qty % 8)::INTEGER END AS r, (total % 4)::INTEGER AS c FROM l),
+v AS (SELECT f.*, b.name AS block, n, x.name AS cname, x.qty AS cqty, x.total AS ctotal, x.pk IS NOT NULL AS there FROM f LEFT JOIN l b ON b.pk = doc_id AND b.seq = ord AND ord % 6 <> 0 LEFT JOIN size ON size.pk = doc_id AND table_id = 't' LEFT JOIN l x ON x.pk = doc_id AND x.seq = r + 1 AND table_id = 't'),
+o AS (SELECT *, coalesce(block IS NOT NULL AND (table_id IS NULL OR (n IS NOT NULL AND (r IS NULL OR r < n) AND c < 3)), false) AS ok FROM v)
+SELECT doc_id, ord, table_id, r, c, ok AS valid, CASE WHEN ok THEN CASE WHEN table_id IS NOT NULL AND r IS NOT NULL THEN coalesce([cname, cqty::VARCHAR, ctotal::VARCHAR][c + 1], '') ELSE block END END AS quote FROM o""")
+def cited_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of a package's lines: blocks that may be missing, tables that may be others, rows and columns beyond the end."""
+    l = items(spark, sf_dir).join(parts(spark, sf_dir), "item").select("pk", "seq", "name", "qty", "total", "tax")  # noqa: E741
+    tax = F.col("tax")
+    found = l.select(F.col("pk").alias("doc_id"), F.col("seq").alias("ord"), F.when(tax % 3 != 0, F.when(tax == 1, "x").otherwise("t")).alias("table_id"), F.when(tax % 2 == 0, (F.col("qty") % 8).cast("int")).alias("r"), (F.col("total") % 4).cast("int").alias("c"))
+    blocks = l.where("seq % 6 != 0").select(F.col("pk").alias("doc_id"), F.col("seq").alias("ord"), F.col("name").alias("text"))
+    tables = l.groupBy(F.col("pk").alias("doc_id")).agg(F.max("seq").alias("n_rows")).select("doc_id", F.lit("t").alias("table_id"), "n_rows", F.lit(3).alias("n_cols"))
+    texts = F.posexplode(F.array("name", F.col("qty").cast("string"), F.col("total").cast("string"))).alias("c", "text")
+    cells = l.select(F.col("pk").alias("doc_id"), F.lit("t").alias("table_id"), (F.col("seq") - 1).alias("r"), texts)
+    return op.validate_cells(found, blocks, tables, cells)
+
+
+_SIDES = f"""{ITEMS}, {PARTS}, l AS (SELECT pk, seq, source, name, qty, brand AS unit, total FROM items JOIN parts USING (item)),
+a AS (SELECT pk, seq, CASE WHEN seq % 3 <> 0 THEN seq END AS no, CASE WHEN seq % 4 <> 1 THEN name END AS name, qty, unit, CASE WHEN seq % 2 = 0 THEN total END AS total FROM l WHERE seq < 6),
+b AS (SELECT pk, seq, CASE WHEN seq % 5 <> 0 THEN seq END AS no, name, qty, unit, total FROM l WHERE seq > 1)"""
+
+
+@query(f"""WITH {_SIDES}, p1 AS (SELECT pk, x.s AS a, y.s AS b, 1 AS how FROM (SELECT pk, no, min(seq) AS s FROM a WHERE no IS NOT NULL GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT pk, no, min(seq) AS s FROM b WHERE no IS NOT NULL GROUP BY ALL HAVING count(*) = 1) y USING (pk, no)),
+a2 AS (SELECT * FROM a WHERE (pk, seq) NOT IN (SELECT (pk, a) FROM p1)), b2 AS (SELECT * FROM b WHERE (pk, seq) NOT IN (SELECT (pk, b) FROM p1)),
+p2 AS (SELECT pk, x.s AS a, y.s AS b, 2 AS how FROM (SELECT pk, name, qty, unit, min(seq) AS s FROM a2 WHERE trim(name) <> '' GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT pk, name, qty, unit, min(seq) AS s FROM b2 WHERE trim(name) <> '' GROUP BY ALL HAVING count(*) = 1) y USING (pk, name, qty, unit)),
+a3 AS (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY seq) AS n FROM a2 WHERE (pk, seq) NOT IN (SELECT (pk, a) FROM p2)), b3 AS (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY seq) AS n FROM b2 WHERE (pk, seq) NOT IN (SELECT (pk, b) FROM p2)),
+p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT a3.pk, a3.seq, b3.seq, 0 FROM a3 JOIN b3 USING (pk, n))
+SELECT a.pk, 'primary' AS origin, a.seq, coalesce(a.name, b.name) AS name, coalesce(a.total, b.total) AS total, how FROM a LEFT JOIN p ON p.pk = a.pk AND p.a = a.seq LEFT JOIN b ON b.pk = p.pk AND b.seq = p.b
+UNION ALL SELECT pk, 'secondary', seq, name, total, NULL FROM b WHERE (pk, seq) NOT IN (SELECT (pk, b) FROM p)""")
+def fill_gaps_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two extractions of the lines of a package: by row number, then by name, quantity and unit, then by place."""
+    l = items(spark, sf_dir).join(parts(spark, sf_dir), "item").select("pk", "seq", "name", "qty", F.col("brand").alias("unit"), "total")  # noqa: E741
+    seq = F.col("seq")
+    a = l.where("seq < 6").select("pk", "seq", F.when(seq % 3 != 0, seq).alias("no"), F.when(seq % 4 != 1, F.col("name")).alias("name"), "qty", "unit", F.when(seq % 2 == 0, F.col("total")).alias("total"))
+    b = l.where("seq > 1").select("pk", "seq", F.when(seq % 5 != 0, seq).alias("no"), "name", "qty", "unit", "total")
+    return merge.fill_gaps_cascade(a, b, [["no"], ["name", "qty", "unit"]], "pk", "seq", ["name", "total"])

@@ -177,7 +177,46 @@ def incremental_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads of a stream whose text was there before are dropped."""
     box = shared_path(spark, "uploads")
-    table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest"), F.lit("2024-01-01").cast("timestamp").alias("at")).write.parquet(f"{box}/in")
+    # uploads come over some hours, less than the day in which repeats are looked for
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") % 36_000)
+    table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest"), at.alias("at")).write.parquet(f"{box}/in")
     stream = jobs.read_packages(spark, f"{box}/in", "digest string, at timestamp")
     jobs.to_table(jobs.first_uploads(stream, "digest", "at"), f"{box}/out", f"{box}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{box}/out").select("digest")
+
+
+@query("""WITH e AS (SELECT * FROM events WHERE event_id % 10 <> 0), w AS (SELECT max(ts) - INTERVAL '1 hour' AS mark FROM e)
+SELECT time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n_calls, count(*) FILTER (event_type = 'error') AS n_errors, sum(round(value * 100)::BIGINT)::BIGINT AS value FROM e, w GROUP BY 1, mark HAVING start + INTERVAL '10 minutes' <= mark""")
+def metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arrive as a stream; a tenth of them comes after the watermark has closed the windows, and is dropped."""
+    box = shared_path(spark, "metrics")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields)
+    last = events.where("event_id % 10 != 0").agg(F.max("ts")).first()[0]
+    late = events.where("event_id % 10 = 0").where(F.col("ts") < F.lit(last) - F.expr("INTERVAL 70 MINUTES"))
+    for part in (events.where("event_id % 10 != 0"), late):
+        part.write.mode("append").parquet(f"{box}/in")
+        jobs.to_table(jobs.metrics(jobs.read_packages(spark, f"{box}/in", schema)), f"{box}/out", f"{box}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{box}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""SELECT 'pk=' || s_nationkey AS pk, 'unknown' AS role, 'txt' AS extension, sum(strlen(s_name) + 1)::BIGINT AS size FROM supplier GROUP BY s_nationkey""")
+def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder for each nation with one file that lists its suppliers."""
+    box = shared_path(spark, "packages")
+    names = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("pk"), "s_name")
+    names.repartition("pk").sortWithinPartitions("pk").write.partitionBy("pk").text(box)
+    return src.discover_files(spark, box).select("pk", "role", "extension", "size")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name, n_regionkey AS parent FROM nation UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def json_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index files, an array of records for each key, written as JSON and read back with their types."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent"))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("parent"))
+    read = []
+    for rows in (nation, supplier):
+        box = shared_path(spark, "index")
+        rows.groupBy(F.col("parent").alias("key")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("text")).repartition("key").write.partitionBy("key").text(box)
+        read.append(src.read_json_index(spark, box, "id bigint, name string, parent int").select("id", "name", "parent"))
+    return read[0].unionByName(read[1])

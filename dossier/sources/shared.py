@@ -6,12 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder that becomes the setting."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset and Spark is local, a temporary folder becomes the setting."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", known)
         spark.sparkContext.setCheckpointDir(known)
@@ -28,3 +32,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rule tables and lists are broadcast up to so many rows; a larger one is joined by a shuffle.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for a broadcast if it has few rows, which is looked up."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
