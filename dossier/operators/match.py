@@ -46,12 +46,14 @@ def match_items(left: DataFrame, right: DataFrame) -> DataFrame:
     support = name_support(F.col("l_tokens"), F.col("r_tokens"))
     add(_unique(a.join(b.withColumn("l_ktru", F.col("r_ktru")), ["pk", "l_ktru"]), "l_seq", "r_seq"), "ktru")
     add(_unique(rest(a, "l").join(rest(b, "r").withColumn("l_okpd2", F.col("r_okpd2")), ["pk", "l_okpd2"]).where(support), "l_seq", "r_seq"), "okpd2")
-    scored = rest(a, "l").join(rest(b, "r"), "pk").withColumn("s", jaccard(F.col("l_tokens"), F.col("r_tokens"))).where("s >= 0.55")
-    top = lambda c: F.rank().over(W.partitionBy("pk", c).orderBy(F.desc("s")))
-    add(_unique(scored.withColumn("_a", top("l_seq")).withColumn("_b", top("r_seq")).where("_a = 1 and _b = 1"), "l_seq", "r_seq"), "jaccard")
-    add(_unique(rest(a, "l").join(rest(b, "r"), "pk").where(support), "l_seq", "r_seq"), "name")
+    # the pairs of three passes are met once: those that are alike, that the name supports, or whose mark the name has
     marked = F.exists("r_marks", lambda m: (F.length(m) >= 3) & F.contains("l_name_norm", m))
-    add(_unique(rest(a, "l").join(rest(b, "r"), "pk").where(marked), "l_seq", "r_seq"), "mark")
+    met = rest(a, "l").join(rest(b, "r"), "pk").select("pk", "l_seq", "r_seq", jaccard(F.col("l_tokens"), F.col("r_tokens")).alias("s"), support.alias("support"), marked.alias("marked"))
+    met = written(met.where("s >= 0.55 or support or marked"), "candidates")
+    top = lambda c: F.rank().over(W.partitionBy("pk", c).orderBy(F.desc("s")))
+    add(_unique(met.where("s >= 0.55").withColumn("_a", top("l_seq")).withColumn("_b", top("r_seq")).where("_a = 1 and _b = 1"), "l_seq", "r_seq"), "jaccard")
+    add(_unique(rest(rest(met.where("support"), "l"), "r"), "l_seq", "r_seq"), "name")
+    add(_unique(rest(rest(met.where("marked"), "l"), "r"), "l_seq", "r_seq"), "mark")
     begun = found.select("pk").distinct()
     add(_unique(rest(a, "l").join(begun, "pk", "left_semi").join(rest(b, "r").withColumn("l_qty", F.col("r_qty")), ["pk", "l_qty"]), "l_seq", "r_seq"), "qty")
     place = lambda c: F.row_number().over(W.partitionBy("pk").orderBy(c))
