@@ -357,6 +357,8 @@ def encode(docs: DataFrame, path: str, most: int = WORDS, carry: list[str] | Non
     sizes = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False)
     table = Table(np.frombuffer(b"".join(word.to_pylist()), np.uint8), offs, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))
     shared = spark.sparkContext.broadcast((table, Merges(ranks)))
+    del known, word, ids, table
+    pa.default_memory_pool().release_unused()
     fields = [c for c in (docs.columns if carry is None else carry) if c != "ids"]
     kept = docs.select(*dict.fromkeys([*fields, "text"]))
 

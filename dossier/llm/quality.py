@@ -176,12 +176,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     held = np.arange(len(y)) % 5 == 0
 
     def rows(mask: np.ndarray) -> Rows:
-        part = got.take(pa.array(order[mask]))
-        return Rows([np.frombuffer(v.as_buffer(), np.int32) for v in part["at"]], [np.frombuffer(v.as_buffer(), np.float32) for v in part["x"]])
-
-    w, b = _descent(rows(~held), y[~held])
+        at, x = got["at"], got["x"]
+        return Rows([np.frombuffer(at[k].as_buffer(), np.int32) for k in order[mask].tolist()], [np.frombuffer(x[k].as_buffer(), np.float32) for k in order[mask].tolist()])
+
+    fitted, kept = rows(~held), rows(held)
+    # the driver keeps the blocks alone
+    del got
+    pa.default_memory_pool().release_unused()
+    w, b = _descent(fitted, y[~held])
     model = Model(w, b)
-    z, target = rows(held).dot(w) + b, y[held]
+    z, target = kept.dot(w) + b, y[held]
     # smoothed targets keep the slope finite where the two kinds are apart
     good, bad = (target == 1).sum(), (target == 0).sum()
     target = np.where(target == 1, (good + 1) / (good + 2), 1 / (bad + 2))
