@@ -92,7 +92,7 @@ def share_agreement(plan: DataFrame, contract: DataFrame) -> DataFrame:
 
 def clause_checklist(sections: DataFrame, checklist: DataFrame) -> DataFrame:
     """Mandatory clauses and whether a text of the package has all markers of one. ``checklist``: clause, markers (array)."""
-    text = sections.groupBy("pk").agg(F.array_join(F.collect_list("text"), "\n").alias("_t"))
+    text = sections.groupBy("pk").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("_t"))
     has = F.forall("markers", lambda m: F.contains(F.lower("_t"), m))
     return text.crossJoin(small(checklist)).select("pk", "clause", has.alias("present"), verdict(F.col("_t").isNotNull(), has).alias("status"))
 

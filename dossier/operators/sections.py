@@ -87,18 +87,19 @@ def capped(blocks: DataFrame, budget: int, key: str = "doc_id") -> DataFrame:
 def pack_chunks(blocks: DataFrame, budget: int = 30_000, key: str = "doc_id") -> DataFrame:
     """Blocks put into chunks one after the other, a new chunk where the budget would be passed: key, ord, chunk.
 
-    Greedy packing is sequential, so each document is one group in pandas; only lengths go there, never texts.
+    Greedy packing is sequential, so each document is one group in pandas; only lengths go there, never texts, and the
+    end of each chunk is looked up in their running sum.
     """
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ord")
-        chunk, used, out = 0, 0, []
-        for n in group["n"]:
-            if used and used + n > budget:
-                chunk, used = chunk + 1, 0
-            used += n
-            out.append(chunk)
-        return pd.DataFrame({key: group[key], "ord": group["ord"], "chunk": out})
+        total, begin = group["n"].cumsum().to_numpy(), [0]
+        while (i := begin[-1]) < len(total):
+            used = total[i - 1] if i else 0
+            end = int(total.searchsorted(used + budget, "right"))
+            # a block that is larger than the budget has a chunk of its own, with empty ones before it
+            begin.append(end + 1 if end < len(total) and (end == i or total[end - 1] == used) else end)
+        return pd.DataFrame({key: group[key], "ord": group["ord"], "chunk": [k for k, (a, b) in enumerate(zip(begin, begin[1:])) for _ in range(a, b)]})
 
     return blocks.select(key, "ord", F.length("text").alias("n")).groupBy(key).applyInPandas(pack, f"{key} long, ord int, chunk int")
 

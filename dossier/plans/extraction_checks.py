@@ -15,7 +15,7 @@ from .table_checks import _BLOCKS, _GRID, _blocks, _cells, _headers, _lines
 @query(f"""WITH {_GRID}, t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'plan' ELSE 'contract' END AS doc_type, lower(string_agg(text, ' ')) AS text FROM cells GROUP BY doc_id)
 SELECT doc_id, CASE WHEN doc_type = 'plan' AND contains(text, 'promo') THEN 'plan_items' WHEN contains(text, 'ring') AND contains(text, 'small') THEN 'rings' WHEN doc_type = 'contract' THEN 'specification' ELSE 'other' END AS table_type FROM t""")
 def table_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _cells(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    texts = _cells(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "text"))), lambda x: x["text"]), " ").alias("text"))
     rules = [("plan", ["promo"], "plan_items"), (None, ["ring", "small"], "rings"), ("contract", [], "specification")]
     return op.table_type(texts.withColumn("doc_type", F.when(F.col("doc_id") % 2 == 0, "plan").otherwise("contract")), rules).select("doc_id", "table_type")
 

@@ -233,7 +233,9 @@ def capped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.capped(_blocks(spark, sf_dir), 2000)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BLOCKS}, b AS (SELECT doc_id, ord, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM blocks),
+w AS (SELECT doc_id, ord, k, 0 AS chunk, n AS used FROM b WHERE k = 1 UNION ALL SELECT b.doc_id, b.ord, b.k, CASE WHEN w.used > 0 AND w.used + b.n > 3000 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.used > 0 AND w.used + b.n > 3000 THEN b.n ELSE w.used + b.n END FROM w JOIN b ON b.doc_id = w.doc_id AND b.k = w.k + 1)
+SELECT doc_id, ord, chunk FROM w""")
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.pack_chunks(_blocks(spark, sf_dir), 3000)
 

@@ -172,3 +172,20 @@ def test_vectors_in_blocks_are_those_of_one(spark, monkeypatch):
     whole = sorted(map(tuple, retrieval.vector_topk(vectors, queries, 3).collect()))
     monkeypatch.setattr(retrieval, "QUERY_ROWS", 4)
     assert sorted(map(tuple, retrieval.vector_topk(vectors, queries, 3).collect())) == whole and len(whole) == 45
+
+
+def test_packing_is_greedy(spark):
+    import random
+
+    random.seed(1)
+    sizes = {k: [random.choice([0, 1, 3, 5, 12]) for _ in range(random.randint(1, 12))] for k in range(60)}
+    want = []
+    for k, ns in sizes.items():
+        chunk = used = 0
+        for o, n in enumerate(ns):
+            if used and used + n > 10:
+                chunk, used = chunk + 1, 0
+            used += n
+            want.append((k, o, chunk))
+    blocks = spark.createDataFrame([(k, o, "x" * n) for k, ns in sizes.items() for o, n in enumerate(ns)], "doc_id long, ord int, text string")
+    assert rows(sections.pack_chunks(blocks, 10), "doc_id", "ord", "chunk") == sorted(want)
