@@ -118,19 +118,29 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if end[k] > begin[k]:
                         x += np.bincount(bucket[begin[k] : end[k]], minlength=2 * BUCKETS).astype(np.float32) / (end[k] - begin[k])
                 at = np.flatnonzero(x)
-                rows.append((at.astype(np.int32).tobytes(), x[at].tobytes()))
+                rows.append((at.astype(np.uint16).tobytes(), x[at].tobytes()))
             kept = batch.slice(piece.lo, len(piece))
             yield pa.record_batch({"doc_id": kept["doc_id"], "quality": kept["quality"], "at": pa.array([r[0] for r in rows], pa.binary()), "x": pa.array([r[1] for r in rows], pa.binary())})
 
 
 class Rows:
-    """Sparse rows in blocks, so that a step over all of them needs room for one block only."""
-
-    def __init__(self, at: list[np.ndarray], x: list[np.ndarray], block: int = 100):
-        self.n, self.blocks = len(at), []
-        for lo in range(0, len(at), block):
-            size = np.array([len(a) for a in at[lo : lo + block]])
-            self.blocks.append((lo, size, np.concatenate(at[lo : lo + block]), np.concatenate(x[lo : lo + block])))
+    """Sparse rows (binary columns of buckets and of values) where Arrow has put them, in blocks of which a step needs one."""
+
+    def __init__(self, at: pa.ChunkedArray, x: pa.ChunkedArray, block: int = 100):
+        self.n, self.blocks = 0, []
+        for a, v in zip(at.chunks, x.chunks, strict=True):
+            for lo in range(0, len(a), block):
+                ends, places = self._flat(a.slice(lo, block), np.uint16)
+                _, values = self._flat(v.slice(lo, block), np.float32)
+                self.blocks.append((self.n, np.diff(ends), places, values))
+                self.n += len(ends) - 1
+
+    @staticmethod
+    def _flat(part: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        _, offs, data = part.buffers()
+        offs = np.frombuffer(offs, np.int32)[part.offset : part.offset + len(part) + 1] // np.dtype(kind).itemsize
+        flat = np.frombuffer(data, kind, offs[-1]) if data is not None else np.zeros(0, kind)
+        return offs, flat[offs[0] :]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n)
@@ -145,13 +155,14 @@ class Rows:
         return out
 
 
-def _descent(rows: Rows, y: np.ndarray, steps: int = 200, rate: float = 20.0, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression by adaptive full gradients."""
+def _descent(rows: Rows, y: np.ndarray, use: np.ndarray, steps: int = 200, rate: float = 20.0, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Logistic regression by adaptive full gradients over the rows in use."""
     w, b, seen, seen_b = np.zeros(2 * BUCKETS), 0.0, np.full(2 * BUCKETS, 1e-8), 1e-8
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(rows.dot(w) + b, -40, 40)))
-        g = rows.back((p - y) / len(y)) + ridge * w
-        gb = float(np.mean(p - y))
+        off = np.where(use, p - y, 0) / use.sum()
+        g = rows.back(off) + ridge * w
+        gb = float(off.sum())
         seen += g * g
         seen_b += gb * gb
         w -= rate * g / np.sqrt(seen) * 0.05
@@ -168,24 +179,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     )
     small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    got = texts.mapInArrow(_sparse, "doc_id long, quality int, at binary, x binary").toArrow().sort_by("doc_id")
-    order = np.random.Generator(np.random.PCG64(7)).permutation(len(got))
-    y = got["quality"].to_numpy()[order].astype(float)
+    got = texts.mapInArrow(_sparse, "doc_id long, quality int, at binary, x binary").toArrow()
+    y = got["quality"].to_numpy().astype(float)
     if len(np.unique(y)) < 2:
         return None
-    held = np.arange(len(y)) % 5 == 0
-
-    def rows(mask: np.ndarray) -> Rows:
-        at, x = got["at"], got["x"]
-        return Rows([np.frombuffer(at[k].as_buffer(), np.int32) for k in order[mask].tolist()], [np.frombuffer(x[k].as_buffer(), np.float32) for k in order[mask].tolist()])
-
-    fitted, kept = rows(~held), rows(held)
-    # the driver keeps the blocks alone
-    del got
-    pa.default_memory_pool().release_unused()
-    w, b = _descent(fitted, y[~held])
+    order = np.random.Generator(np.random.PCG64(7)).permutation(len(y))
+    held = np.zeros(len(y), bool)
+    held[np.argsort(got["doc_id"].to_numpy(), kind="stable")[order[::5]]] = True
+    rows = Rows(got["at"], got["x"])
+    w, b = _descent(rows, y, ~held)
     model = Model(w, b)
-    z, target = kept.dot(w) + b, y[held]
+    z, target = (rows.dot(w) + b)[held], y[held]
     # smoothed targets keep the slope finite where the two kinds are apart
     good, bad = (target == 1).sum(), (target == 0).sum()
     target = np.where(target == 1, (good + 1) / (good + 2), 1 / (bad + 2))
@@ -198,6 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             move = np.linalg.solve(hess, [np.sum((p - target) * z), np.sum(p - target)])
             s, t = s - np.clip(move[0], -2, 2), t - np.clip(move[1], -2, 2)
         model.slope, model.shift = float(max(s, 1e-3)), float(t)
+    del got, rows
+    pa.default_memory_pool().release_unused()
     return model
 
 
