@@ -528,3 +528,49 @@ def test_callers_columns_stay(spark):
     assert decontam.decontaminate(docs, bench).first().text == text.replace("two three four", "")
     assert decontam.decontaminate(docs, bench, remove="documents").count() == 0
     assert [r.text for r in lines.drop_repeated_lines(docs).orderBy("doc_id").collect()] == [text, ""]
+
+
+def test_pipeline_against_brute_force(spark, docs, texts, vocabulary):
+    """What the classifier keeps is taken as it is; every later stage is done again by hand."""
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    kept = {r.doc_id for r in quality.quality_rules(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.kept}
+    left = brute_lines({i: t for i, t in texts.items() if i in kept})
+    group = brute_components({i: shingle_set(t, 5) for i, t in left.items()}, 80)
+    want = {}
+    for i, t in left.items():
+        if group[i] != i:
+            continue
+        words = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))]
+        hits, _ = brute_hits(t, items, 10)
+        if hits and len(hits) == len(words):
+            continue
+        for k in reversed(hits):
+            t = t[: words[k][0]] + t[words[k + 1][0] if k + 1 in hits else words[k][1] :]
+        want[i] = library.encode_ordinary(t)
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == want and 0 < len(got) < len(kept) < len(texts)
+
+
+def test_pipeline_stages_take_odd_tables(spark):
+    import corpus_pipeline
+
+    prose = " ".join(f"word{i} of the {i % 7} day" for i in range(40))
+    rows = [(1, None), (2, ""), (3, " \n "), (4, prose + "\n" + prose[::-1]), (4, prose + "\n" + prose[::-1]), (None, prose), (5, prose + "\nmore"), (6, "naïve 日本 " * 30)]
+    kind = EMPTY + ", n_words string, hits string, drop string, kept string, cls string, sign string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *"abcdef") for i, t in rows], kind)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, SF), stage(spark, docs.limit(0), SF)
+        assert none.count() == 0
+        got = out.collect()
+        if name != "encode":
+            assert out.columns == docs.columns and all((r.n_words, r.hits, r.drop, r.kept, r.cls, r.sign) == tuple("abcdef") for r in got)
+            assert all(r.n_chars == len(r.text) for r in got if r.text is not None)
+        assert len(got) <= len(rows)
+        if name in ("line_dedup", "encode"):
+            assert len(got) == len(rows)
