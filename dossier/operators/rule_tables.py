@@ -9,8 +9,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import small
+
 # Markers in the text (two points each), and in the file name (one point for a type, whichever it has).
 DOCUMENT_MARKERS = [
     ("plan", ["заявка на внесение в план-график", "код позиции ктру"]),
@@ -233,3 +236,50 @@ def validate_cells(found: DataFrame, blocks: DataFrame, tables: DataFrame, cells
     cited = F.col("table_id").isNotNull() & F.col("r").isNotNull() & F.col("c").isNotNull()
     quote = F.when(ok, F.substring(F.when(cited, F.coalesce("_cell", F.lit(""))).otherwise(F.col("_block")), 1, most_chars))
     return both.select(*own, F.coalesce(ok, F.lit(False)).alias("valid"), quote.alias("quote"))
+
+
+# Who offers in a header path, and what marks a unit price and a total.
+OFFERER = r"(?:поставщик|исполнитель)\s*(?:№\s*)?(\d+)"
+UNIT_PRICE, ROW_TOTAL = ["цена за ед", "цена услуги"], ["стоимость", "сумма"]
+
+
+def supplier_columns(headers: DataFrame) -> DataFrame:
+    """doc_id, table_id, c, source, measure (price or total, a single price is both) of a price matrix from its header
+    paths (doc_id, table_id, c, path).
+
+    Three forms: columns that name a supplier, with a price and a total each; one price for each named supplier; and
+    pairs without names, of which each price begins the next supplier. Columns without a price or total are left out.
+    """
+    t = low(F.col("path"))
+    source = F.regexp_extract(t, OFFERER, 1).try_cast("int")
+    measure = F.when(any_of(t, ROW_TOTAL), "total").when(any_of(t, UNIT_PRICE), "price")
+    key = ["doc_id", "table_id"]
+    seen = headers.select(*key, "c", source.alias("source"), measure.alias("measure")).where("measure is not null")
+    named = F.max(F.col("source").isNotNull()).over(W.partitionBy(*key))
+    begun = F.count_if(F.col("measure") == "price").over(W.partitionBy(*key).orderBy("c").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    own = seen.withColumn("source", F.when(named, F.col("source")).otherwise(begun)).where("source > 0")
+    alone = F.count("*").over(W.partitionBy(*key, "source")) == 1
+    each = own.withColumn("measures", F.when(alone & (F.col("measure") == "price"), F.array(F.lit("price"), F.lit("total"))).otherwise(F.array("measure")))
+    return each.select(*key, "c", "source", F.explode("measures").alias("measure"))
+
+
+def penalties_by_party(facts: DataFrame, clauses: DataFrame, table: DataFrame, sections: DataFrame) -> DataFrame:
+    """Penalties that a contract owes by its amount, for each party and kind: pk, party, kind, due, stated, origin, status.
+
+    ``facts``: pk, amount; ``table``: party, kind, above, upto, due (percent or roubles); ``clauses``: pk, party, kind,
+    stated; ``sections``: pk, text. A clause of the party and kind counts (the one that states what is due, if any); without
+    one, the section text that has the number as a word passes, and else the point is for manual review.
+    """
+    band = (F.col("above").isNull() | (F.col("amount") > F.col("above"))) & (F.col("upto").isNull() | (F.col("amount") <= F.col("upto")))
+    need = facts.join(small(table), band).select("pk", "party", "kind", "due")
+    own = need.join(clauses.select("pk", "party", "kind", "stated"), ["pk", "party", "kind"], "left")
+    best = own.groupBy("pk", "party", "kind", "due").agg(F.max(F.col("stated") == F.col("due")).alias("right"), F.min("stated").alias("least"))
+    text = sections.groupBy("pk").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("_text"))
+    number = F.regexp_replace(F.regexp_replace(F.col("due").cast("string"), r"\.?0+$", ""), r"\.", "[.,]")
+    number = F.when(F.col("due") == F.floor("due"), F.col("due").cast("bigint").cast("string")).otherwise(number)
+    said = F.regexp_like(F.coalesce("_text", F.lit("")), F.concat(F.lit(r"(?:^|[^0-9.,])"), number, F.lit(r"(?:[^0-9.,]|[.,](?:[^0-9]|$)|$)")))
+    both = best.join(text, "pk", "left")
+    origin = F.when(F.col("least").isNotNull(), "clause").when(said, "text").otherwise("none")
+    status = F.when(F.col("right"), "passed").when(F.col("least").isNotNull(), "failed").when(said, "passed").otherwise("manual_review")
+    stated = F.when(F.col("right"), F.col("due")).otherwise(F.col("least"))
+    return both.select("pk", "party", "kind", "due", stated.alias("stated"), origin.alias("origin"), status.alias("status"))

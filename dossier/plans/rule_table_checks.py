@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import merge
 from ..operators import rule_tables as op
+from ..operators import rules
 from .registry import ITEMS, PARTS, items, parts, query, table
 
 
@@ -202,3 +205,41 @@ def fill_gaps_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = l.where("seq < 6").select("pk", "seq", F.when(seq % 3 != 0, seq).alias("no"), F.when(seq % 4 != 1, F.col("name")).alias("name"), "qty", "unit", F.when(seq % 2 == 0, F.col("total")).alias("total"))
     b = l.where("seq > 1").select("pk", "seq", F.when(seq % 5 != 0, seq).alias("no"), "name", "qty", "unit", "total")
     return merge.fill_gaps_cascade(a, b, [["no"], ["name", "qty", "unit"]], "pk", "seq", ["name", "total"])
+
+
+_NAMED = ["Поставщик №1 / Цена за ед.", "Поставщик №1 / Стоимость", "Исполнитель 2 / Цена за ед.", "Исполнитель 2 / Сумма", "Поставщик 3 / цена услуги", "Наименование"]
+_PAIRS = ["Наименование", "Цена за ед. изм.", "Стоимость", "Цена за ед. изм.", "Сумма, руб.", "Количество"]
+
+
+@query(f"""WITH h AS (SELECT o_orderkey AS doc_id, 't' AS table_id, c, lower(CASE WHEN o_custkey % 2 = 0 THEN {_pick_sql(_NAMED, "c + o_orderkey")} ELSE {_pick_sql(_PAIRS, "c + o_custkey")} END) AS t FROM orders, range(6) r(c)),
+s AS (SELECT doc_id, table_id, c::INTEGER AS c, TRY_CAST(regexp_extract(t, '(?:поставщик|исполнитель)\\s*(?:№\\s*)?([0-9]+)', 1) AS INTEGER) AS source, CASE WHEN {_any("t", op.ROW_TOTAL)} THEN 'total' WHEN {_any("t", op.UNIT_PRICE)} THEN 'price' END AS measure FROM h),
+n AS (SELECT doc_id, table_id, c, measure, CASE WHEN bool_or(source IS NOT NULL) OVER (PARTITION BY doc_id) THEN source ELSE (count(*) FILTER (measure = 'price') OVER (PARTITION BY doc_id ORDER BY c))::INTEGER END AS source FROM s WHERE measure IS NOT NULL),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, source) AS n FROM n WHERE source > 0)
+SELECT doc_id, table_id, c, source, unnest(CASE WHEN n = 1 AND measure = 'price' THEN ['price', 'total'] ELSE [measure] END) AS measure FROM k""")
+def supplier_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("t").alias("table_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("c"), "o_orderkey", "o_custkey")
+    path = F.when(F.col("o_custkey") % 2 == 0, _pick(_NAMED, F.col("c") + F.col("o_orderkey"))).otherwise(_pick(_PAIRS, F.col("c") + F.col("o_custkey")))
+    return op.supplier_columns(rows.select("doc_id", "table_id", "c", path.alias("path")))
+
+
+_DUES = [("supplier", "value", a, b, p) for a, b, p in rules.PENALTY_PERCENTS] + [(who, "non_value", a, b, x) for who in ("supplier", "customer") for a, b, x in rules.PENALTY_AMOUNTS]
+_DUE_SQL = ", ".join(f"('{w}', '{k}', {'NULL' if a is None else a}::BIGINT, {'NULL' if b is None else b}::BIGINT, {x}::DECIMAL(18,4))" for w, k, a, b, x in _DUES)
+
+
+@query(f"""WITH b(party, kind, above, upto, due) AS (VALUES {_DUE_SQL}), f AS (SELECT o_orderkey AS pk, o_custkey AS k, round(o_totalprice * 100)::BIGINT * 40 AS amount FROM orders),
+need AS (SELECT pk, k, party, kind, due FROM f JOIN b ON (above IS NULL OR amount > above) AND (upto IS NULL OR amount <= upto)),
+c AS (SELECT pk, party, kind, CASE WHEN pk % 5 = 0 THEN due + 1 ELSE due END AS stated FROM need WHERE (pk + length(kind) + length(party)) % 3 <> 0),
+t AS (SELECT pk, CASE WHEN k % 4 = 0 THEN 'Штраф 5000 рублей, пени 0,4 %' WHEN k % 4 = 1 THEN 'Штраф 100000 рублей. 10 процентов.' WHEN k % 4 = 2 THEN 'штраф 150001; 0.45' END AS t FROM f),
+m AS (SELECT need.pk, need.party, need.kind, need.due, stated, CASE WHEN due = floor(due) THEN due::BIGINT::VARCHAR ELSE replace(rtrim(due::VARCHAR, '0'), '.', '[.,]') END AS num FROM need LEFT JOIN c ON c.pk = need.pk AND c.party = need.party AND c.kind = need.kind)
+SELECT m.pk, party, kind, due, stated, CASE WHEN stated IS NOT NULL THEN 'clause' WHEN regexp_matches(coalesce(t, ''), '(?:^|[^0-9.,])' || num || '(?:[^0-9.,]|[.,](?:[^0-9]|$)|$)') THEN 'text' ELSE 'none' END AS origin,
+CASE WHEN stated = due THEN 'passed' WHEN stated IS NOT NULL THEN 'failed' WHEN regexp_matches(coalesce(t, ''), '(?:^|[^0-9.,])' || num || '(?:[^0-9.,]|[.,](?:[^0-9]|$)|$)') THEN 'passed' ELSE 'manual_review' END AS status FROM m JOIN t ON t.pk = m.pk""")
+def penalties_by_party(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts whose clauses state what is due, one more, or nothing, with a text that may say it."""
+    dues = spark.createDataFrame([(*row[:4], Decimal(row[4])) for row in _DUES], "party string, kind string, above bigint, upto bigint, due decimal(18,4)")
+    f = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pk"), F.col("o_custkey").alias("k"), (F.round(F.col("o_totalprice") * 100).cast("bigint") * 40).alias("amount"))
+    none = spark.createDataFrame([], "pk bigint, party string, kind string, stated decimal(18,4)")
+    need = op.penalties_by_party(f, none, dues, f.select("pk", F.lit("").alias("text"))).where((F.col("pk") + F.length("kind") + F.length("party")) % 3 != 0)
+    clauses = need.select("pk", "party", "kind", F.when(F.col("pk") % 5 == 0, F.col("due") + 1).otherwise(F.col("due")).cast("decimal(18,4)").alias("stated"))
+    n = F.col("k") % 4
+    text = F.when(n == 0, "Штраф 5000 рублей, пени 0,4 %").when(n == 1, "Штраф 100000 рублей. 10 процентов.").when(n == 2, "штраф 150001; 0.45")
+    return op.penalties_by_party(f, clauses, dues, f.select("pk", text.alias("text")))
