@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import Slice, binaries, lists, slices, spread
-from .shared import written
+from .shared import removed, small_batches, written
 
 #: Distinct words (the most frequent) that are folded once and broadcast.
 WORDS = 1 << 17
@@ -230,6 +230,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if parts:
             yield out(*merged())
 
+    small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -341,17 +342,20 @@ def folded(word: Column, ranks: RankMap) -> Column:
     return _let(pieces, ids)
 
 
-def encoded_words(docs: DataFrame, ranks: dict[bytes, int], most: int = WORDS) -> DataFrame:
-    """word, ids for the frequent distinct words of ``docs``."""
-    kept = frequent(written(word_counts(docs), "words"), most)
-    return kept.select("word", RankMap(docs.sparkSession, ranks).within(lambda m: folded(F.col("word"), m)).alias("ids"))
+def encoded_words(counts: DataFrame, ranks: dict[bytes, int], most: int = WORDS) -> DataFrame:
+    """word, ids for the frequent ones of counted distinct words."""
+    return frequent(counts, most).select("word", RankMap(counts.sparkSession, ranks).within(lambda m: folded(F.col("word"), m)).alias("ids"))
 
 
 def encode(docs: DataFrame, path: str, most: int = WORDS, carry: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``carry``) with ids, a list of token ids for each text."""
     spark = docs.sparkSession
     ranks = read_ranks(spark, path)
-    known = encoded_words(docs, ranks, most).toArrow().combine_chunks() if most else pa.table({"word": pa.array([], pa.binary()), "ids": pa.array([], pa.list_(pa.int32()))})
+    known = pa.table({"word": pa.array([], pa.binary()), "ids": pa.array([], pa.list_(pa.int32()))})
+    if most:
+        counts = written(word_counts(docs), "words")
+        known = encoded_words(counts, ranks, most).toArrow().combine_chunks()
+        removed(counts)
     word, ids = (c.chunk(0) if c.num_chunks else c.combine_chunks() for c in (known["word"].cast(pa.large_binary()), known["ids"]))
     offs = np.concatenate(([0], np.cumsum(pa.compute.binary_length(word).to_numpy(zero_copy_only=False)))).astype(np.int64)
     sizes = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False)

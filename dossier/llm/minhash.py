@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     named = written(first.join(found, first["rep"] == found["v"], "left").select("cls", F.coalesce("component", "rep").alias("component_id")), "classes")
     removed(edges, found)
     # empty texts have no class; a key of its own for each keeps them apart
-    spare = F.coalesce("cls", F.sha1(F.concat_ws("-", "doc_id", F.rand()).cast("binary")).cast("binary"))
+    spare = F.coalesce("cls", F.sha1(F.concat_ws("-", "doc_id", F.rand(7)).cast("binary")).cast("binary"))
     out = signs.select("doc_id", "n_shingles", spare.alias("cls")).join(named, "cls", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

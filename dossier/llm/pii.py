@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import byte_table, slices
-from .shared import small_batches, written
+from .shared import removed, small_batches, written
 
 #: Kinds in the order of the results.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -270,7 +270,9 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in angle brackets; n_chars follows."""
-    model = fit(written(propose(docs), "proposals"))
+    found = written(propose(docs), "proposals")
+    model = fit(found)
+    removed(found)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -280,7 +280,7 @@ def test_documents_are_encoded_as_by_the_library(spark, docs, texts, vocabulary)
 
 def test_higher_order_fold_equals_the_helper(spark, docs, vocabulary):
     ranks = bpe.read_ranks(spark, vocabulary)
-    got, merges = bpe.encoded_words(docs, ranks, 3000).collect(), bpe.Merges(ranks)
+    got, merges = bpe.encoded_words(bpe.word_counts(docs), ranks, 3000).collect(), bpe.Merges(ranks)
     assert len(got) > 1000
     for r in got:
         piece = kernels.Slice(0, 1, np.frombuffer(bytes(r.word), np.uint8), np.array([0, len(r.word)]))
