@@ -268,7 +268,7 @@ class RankMap:
             else:
                 raise ValueError("too many ranks for the map")
         self._keys = " ".join(keys)
-        self._ranks = " ".join(str(homes[k][0]) if k else str(NONE) for k in keys)
+        self._ranks = " ".join(str(homes[k][0]) if k else "0" for k in keys)
 
     @staticmethod
     def spelled(raw: bytes) -> str:

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .kernels import ODD, SPACE, Slice, lists, mix, slices
@@ -133,9 +133,11 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("v").alias("b"), "component"), "b").groupBy(F.col("a").alias("v")).agg(F.min("component").alias("near"))
         hooked = labels.drop("was").join(near, "v").select("v", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         up = labels.select(F.col("v").alias("component"), F.col("component").alias("up"))
-        new = written(hooked.join(up, "component").select("v", F.least("component", "up").alias("component"), "was"), "labels")
+        moved = Observation()
+        new = hooked.join(up, "component").select("v", F.least("component", "up").alias("component"), "was")
+        new = written(new.observe(moved, F.count_if(F.col("component") != F.col("was")).alias("n")), "labels")
         removed(labels)
-        if not new.where("component != was").limit(1).count():
+        if not moved.get.get("n"):
             removed(both)
             return new
         labels = new
