@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the given tables, and their SQL where SQL can express them."""
+"""The queries of the numbered operators over the given tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, lines, lm, minhash, passages, pii, quality, token_counts
+from . import bpe, collocations, decontam, licenses, lines, lm, minhash, negatives, passages, pii, quality, secrets, token_counts
 from .shared import shared_dir, table
 
 
@@ -64,6 +64,20 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is off by one; the anchors are the stated query set, every hundredth id."""
+    label = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.expr("vec_id % 100 = 0"))
+
+
 def vocabulary() -> str:
     """The vocabulary file of the query; operators take any path."""
     import public_tokenizers
@@ -71,7 +85,7 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_minhash_near_duplicates, op4_personal_data, op5_decontamination, op6_license_scan, op7_byte_bpe, op8_language_model, op9_line_dedup, op10_repeated_passages)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_minhash_near_duplicates, op4_personal_data, op5_decontamination, op6_license_scan, op7_byte_bpe, op8_language_model, op9_line_dedup, op10_repeated_passages, op11_secret_scan, op12_collocations, op13_hard_negatives)}
 
 
 def _quoted(text: str) -> str:
@@ -128,6 +142,27 @@ edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach(v, u) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.v, edge.b FROM reach JOIN edge ON edge.a = reach.u)
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(u) AS component_id, doc_id = min(u) AS kept FROM documents LEFT JOIN size USING (doc_id) JOIN reach ON v = doc_id GROUP BY doc_id""",
     "op6_license_scan": _license_sql(),
+    "op12_collocations": """
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT lang, len(g) AS m, array_to_string(g, ' ') AS phrase, g, count(*) AS c
+  FROM (SELECT lang, list_slice(w, i, i + m - 1) AS g FROM (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM piece), (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(w)) GROUP BY lang, g HAVING count(*) >= 30),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang),
+cut AS (SELECT lang, phrase, c AS a, k, array_to_string(list_slice(g, 1, k), ' ') AS head, array_to_string(list_slice(g, k + 1, m), ' ') AS tail FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM f WHERE m > 1)),
+scored AS (SELECT cut.lang, cut.phrase, a, k, h.c AS l, t.c AS r, (2000000::HUGEINT * a // (h.c + t.c))::BIGINT AS score FROM cut JOIN f h ON h.lang = cut.lang AND h.phrase = head JOIN f t ON t.lang = cut.lang AND t.phrase = tail),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS p FROM scored) WHERE p = 1),
+inner_part AS (SELECT lang, array_to_string(list_slice(g, i, i + s - 1), ' ') AS phrase, max(c) AS c FROM (SELECT lang, g, c, m, s, unnest(generate_series(1, m - s + 1)) AS i FROM (SELECT *, unnest(generate_series(2, m - 1)) AS s FROM f WHERE m > 2)) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_part USING (lang, phrase) WHERE inner_part.c IS NULL OR 100::HUGEINT * inner_part.c < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang) WHERE rank <= 2000""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+anchor AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+score AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, a.label AS anchor_label, v.row, v.vec_id, v.label, list_sum(list_transform(generate_series(1, least(len(a.q), len(v.q))), lambda i: a.q[i] * v.q[i]))::BIGINT AS s FROM anchor a, v WHERE a.row <> v.row),
+positive AS (SELECT anchor, anchor_id, vec_id AS positive_id, s AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY s DESC, vec_id) AS p FROM score WHERE label = anchor_label QUALIFY p <= 5),
+negative AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor, p ORDER BY s DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, s AS negative_score
+  FROM positive p JOIN score n ON n.anchor = p.anchor AND n.label <> n.anchor_label AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 10""",
     "op9_line_dedup": """
 WITH line AS (SELECT doc_id, i, x, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
 run AS (SELECT doc_id, i, row_number() OVER d AS p, k, lead(k) OVER d AS k2 FROM line WHERE k <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY i)),

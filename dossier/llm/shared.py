@@ -63,6 +63,13 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` under names without dots and backticks, which Arrow functions don't resolve; ``toDF`` with the old names goes back."""
+    odd = [c for c in df.columns if "." in c or "`" in c]
+    new = dict(zip(odd, free_names(df, *(f"odd{k}" for k in range(len(odd)))), strict=True))
+    return df.toDF(*(new.get(c, c) for c in df.columns)) if odd else df
+
+
 def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
