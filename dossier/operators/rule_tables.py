@@ -63,9 +63,12 @@ SPECIFICATION = [["спецификация", "цена за единицу", "
 EMBEDDED_ITEMS = [["ктру", "окпд"], ["характеристик", "наименование товара", "наименование позиции", "требования"]]
 EMBEDDED_ITEMS_NOT = ["цена за единицу", "сумма без ндс", "стоимость товаров"]
 ATTACHED = ["заявка", "определение цены", "обоснование", "проект контракта", "описание объекта", "пояснительная", "коммерчес"]
-# Clauses that a contract with mandatory subcontracting has, each as groups of which it has a marker of every one.
+# Fixed value: a share, as a number with a percent sign or word.
+SHARE = r"\d+(?:[,.]\d+)?\s*(?:\([^)]*\)\s*)?(?:%|процент)"
+# Clauses that a contract with mandatory subcontracting has, each as groups of which it has a marker of every one;
+# a group that is a text is a pattern.
 MANDATORY_CLAUSES = [
-    ("duty_with_share", [["смп", "сонко", "субъектов малого предпринимательства", "социально ориентирован"], ["привлеч"], ["%"]]),
+    ("duty_with_share", [["смп", "сонко", "субъектов малого предпринимательства", "социально ориентирован"], ["привлеч"], SHARE]),
     ("declaration_in_5_days", [["декларац"], ["копи"], ["договор"], ["5"], ["рабоч"]]),
     ("replacement_in_5_days", [["замен"], ["документ"], ["5"], ["дн"]]),
     ("acceptance_in_10_days", [["10"], ["рабоч"], ["оплат"], ["приемк"], ["платеж"]]),
@@ -101,9 +104,10 @@ def document_types(docs: DataFrame, text: str = "text", file_name: str | None =
     """``docs`` with doc_type, confidence and hint_conflict: text markers, file markers and a hint (a type) score.
 
     confidence = min(0.99, 0.55 + 0.1 best + 0.05 (best - second)); a document without points is unknown. Of equal
-    scores the type that comes first in the table counts.
+    scores the type that comes first in the table counts. The hint ``unknown`` is none.
     """
     body, files = low(F.col(text)), dict(FILE_MARKERS)
+    given = F.nullif(F.col(hint), F.lit("unknown")) if hint is not None else None
     stem = F.regexp_replace(low(F.element_at(F.split(F.col(file_name), r"[/\\]"), -1)), r"\.[^.]*$", "") if file_name else None
     points = []
     for k, (kind, markers) in enumerate(DOCUMENT_MARKERS):
@@ -111,13 +115,13 @@ def document_types(docs: DataFrame, text: str = "text", file_name: str | None =
         if stem is not None:
             score = score + any_of(stem, files[kind]).cast("int") * F.lit(FILE_POINTS)
         if hint is not None:
-            score = score + F.coalesce((F.col(hint) == kind).cast("int"), F.lit(0)) * F.lit(HINT_POINTS)
+            score = score + F.coalesce((given == kind).cast("int"), F.lit(0)) * F.lit(HINT_POINTS)
         points.append(F.struct(score.alias("score"), F.lit(-k).alias("place"), F.lit(kind).alias("kind")))
     ranked = F.sort_array(F.array(*points), False)
     best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
     known = best["score"] > 0
     confidence = F.round(F.least(F.lit(0.99), 0.55 + 0.1 * best["score"] + 0.05 * (best["score"] - second["score"])), 4)
-    conflict = known & F.coalesce(F.col(hint) != best["kind"], F.lit(False)) if hint is not None else F.lit(False)
+    conflict = known & F.coalesce(given != best["kind"], F.lit(False)) if hint is not None else F.lit(False)
     return docs.select("*", F.when(known, best["kind"]).otherwise("unknown").alias("doc_type"), F.when(known, confidence).otherwise(0.0).alias("confidence"), conflict.alias("hint_conflict"))
 
 
@@ -159,14 +163,25 @@ def table_business_type(doc_type: Column, kind: Column, text: Column, header: Co
     return first_rule(rules, F.lit("generic_table"))
 
 
+def has_clause(c: Column, groups: list[list[str] | str]) -> Column:
+    """Whether a lower-cased text has a marker of every group."""
+    return reduce(lambda a, b: a & b, [F.regexp_like(c, F.lit(g)) if isinstance(g, str) else any_of(c, g) for g in groups])
+
+
+def clause_sql(column: str, groups: list[list[str] | str]) -> str:
+    """The same as SQL over a text column."""
+    text = f"lower(coalesce({column}, ''))"
+    one = lambda g: f"regexp_like({text}, r'{g}')" if isinstance(g, str) else " OR ".join(f"contains({text}, '{m}')" for m in g)
+    return " AND ".join(f"({one(g)})" for g in groups)
+
+
 def mandatory_clauses(contracts: DataFrame) -> DataFrame:
     """pk, clause, present, status for each of the mandatory clauses. ``contracts``: pk, required, text (one row each).
 
     Not required: not_applicable; required without a contract (no row text): manual_review; an empty text fails.
     """
     body = F.col("_low")
-    has = lambda groups: reduce(lambda a, b: a & b, [any_of(body, ms) for ms in groups])
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("clause"), has(groups).alias("present")) for name, groups in MANDATORY_CLAUSES])).alias("x")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("clause"), has_clause(body, groups).alias("present")) for name, groups in MANDATORY_CLAUSES])).alias("x")
     rows = contracts.select("pk", "required", F.col("text").isNull().alias("_none"), low(F.col("text")).alias("_low")).select("pk", "required", "_none", each)
     status = F.when(~F.coalesce("required", F.lit(False)), "not_applicable").when(F.col("_none"), "manual_review").when(F.col("x.present"), "passed").otherwise("failed")
     return rows.select("pk", "x.clause", "x.present", status.alias("status"))
@@ -247,20 +262,27 @@ def supplier_columns(headers: DataFrame) -> DataFrame:
     """doc_id, table_id, c, source, measure (price or total, a single price is both) of a price matrix from its header
     paths (doc_id, table_id, c, path).
 
-    Three forms: columns that name a supplier, with a price and a total each; one price for each named supplier; and
-    pairs without names, of which each price begins the next supplier. Columns without a price or total are left out.
+    Three forms: columns that name a supplier, with a price and a total each; one price for each named supplier; and,
+    where no supplier with a price or total is named, pairs by place: they begin after the columns of name, quantity and
+    unit, and end before the least price, or else before the total of the contract or of the row. Of columns with one
+    name the first counts. Without either end there are no pairs; columns without a price or total are left out.
     """
     t = low(F.col("path"))
     source = F.regexp_extract(t, OFFERER, 1).try_cast("int")
     measure = F.when(any_of(t, ROW_TOTAL), "total").when(any_of(t, UNIT_PRICE), "price")
     key = ["doc_id", "table_id"]
-    seen = headers.select(*key, "c", source.alias("source"), measure.alias("measure")).where("measure is not null")
-    named = F.max(F.col("source").isNotNull()).over(W.partitionBy(*key))
-    begun = F.count_if(F.col("measure") == "price").over(W.partitionBy(*key).orderBy("c").rowsBetween(W.unboundedPreceding, 0)).cast("int")
-    own = seen.withColumn("source", F.when(named, F.col("source")).otherwise(begun)).where("source > 0")
+    whole = W.partitionBy(*key)
+    seen = headers.select(*key, "c", source.alias("source"), measure.alias("measure"), header_name(F.col("path")).alias("_name"), F.contains(t, F.lit("цена контракта")).alias("_contract"))
+    first = lambda cond: F.min(F.when(cond, F.col("c"))).over(whole)
+    begin = F.greatest(*[first(F.col("_name") == n) for n in ("name", "quantity", "unit")]) + 1
+    end = F.coalesce(first(F.col("_name") == "selected_min_unit_price"), first(F.col("_contract")), first(F.col("_name") == "row_total"))
+    seen = seen.withColumn("_begin", begin).withColumn("_end", end).withColumn("_named", F.max(F.col("source").isNotNull() & F.col("measure").isNotNull()).over(whole))
+    named = seen.where("_named and source > 0 and measure is not null").select(*key, "c", "source", "measure")
+    place = F.col("c") - F.col("_begin")
+    pairs = seen.where("not _named and c >= _begin and c < _end").select(*key, "c", (F.floor(place / 2) + 1).cast("int").alias("source"), F.when(place % 2 == 0, "price").otherwise("total").alias("measure"))
     alone = F.count("*").over(W.partitionBy(*key, "source")) == 1
-    each = own.withColumn("measures", F.when(alone & (F.col("measure") == "price"), F.array(F.lit("price"), F.lit("total"))).otherwise(F.array("measure")))
-    return each.select(*key, "c", "source", F.explode("measures").alias("measure"))
+    each = named.withColumn("measures", F.when(alone & (F.col("measure") == "price"), F.array(F.lit("price"), F.lit("total"))).otherwise(F.array("measure")))
+    return each.select(*key, "c", "source", F.explode("measures").alias("measure")).unionByName(pairs)
 
 
 def penalties_by_party(facts: DataFrame, clauses: DataFrame, table: DataFrame, sections: DataFrame) -> DataFrame:

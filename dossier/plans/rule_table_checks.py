@@ -47,7 +47,7 @@ _SCORES = ", ".join(
 
 @query(f"""WITH d AS (SELECT doc_id, lower({_pick_sql(_PHRASES, "doc_id")} || ' ' || coalesce(text, '') || ' ' || {_pick_sql(_PHRASES, "n_chars")}) AS t, lower({_pick_sql(_FILES, "n_chars // 7")} || '_' || doc_id) AS f, {_pick_sql(_HINTS, "n_chars // 3")} AS hint FROM documents),
 s AS (SELECT doc_id, hint, list_sort([{_SCORES}], 'DESC') AS r FROM d)
-SELECT doc_id, CASE WHEN r[1].score > 0 THEN r[1].kind ELSE 'unknown' END AS doc_type, CASE WHEN r[1].score > 0 THEN round(least(0.99, 0.55 + 0.1 * r[1].score + 0.05 * (r[1].score - r[2].score)), 4) ELSE 0 END AS confidence, r[1].score > 0 AND hint <> r[1].kind AS hint_conflict FROM s""")
+SELECT doc_id, CASE WHEN r[1].score > 0 THEN r[1].kind ELSE 'unknown' END AS doc_type, CASE WHEN r[1].score > 0 THEN round(least(0.99, 0.55 + 0.1 * r[1].score + 0.05 * (r[1].score - r[2].score)), 4) ELSE 0 END AS confidence, r[1].score > 0 AND coalesce(nullif(hint, 'unknown') <> r[1].kind, false) AS hint_conflict FROM s""")
 def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.concat_ws(" ", _pick(_PHRASES, F.col("doc_id")), F.coalesce("text", F.lit("")), _pick(_PHRASES, F.col("n_chars")))
@@ -96,11 +96,23 @@ def table_business_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SENTENCES = [
-    "Исполнитель обязан привлечь СМП и СОНКО в объеме 25 %", "декларация и копия договора в течение 5 рабочих дней", "при замене соисполнителя документы в течение 5 дней", "документы о приемке и платежные за 10 рабочих дней после оплаты",
+    "Исполнитель обязан привлечь СМП и СОНКО", "в объеме 25 (двадцати пяти) процентов", "в доле, %", "не менее 12,5 %", "декларация и копия договора в течение 5 рабочих дней", "при замене соисполнителя документы в течение 5 дней", "документы о приемке и платежные за 10 рабочих дней после оплаты",
     "услуги оплачиваются за 7 рабочих дней после приемки", "гражданско-правовая ответственность за непривлечение", "вправе осуществлять замену субподрядчика", "иные условия",
 ]
 _TEXT_SQL = "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE " + " || ' ' || ".join(f"CASE WHEN (o_orderkey // {2**i} + o_custkey) % 3 <> 0 THEN {_q(s.capitalize())} ELSE '' END" for i, s in enumerate(_SENTENCES)) + " END"
-_CLAUSE_SQL = ", ".join(f"{{'clause': {_q(name)}, 'present': {' AND '.join(_any('t', ms) for ms in groups)}}}" for name, groups in op.MANDATORY_CLAUSES)
+# typed by hand, not made of the operator's table
+_CLAUSE_SQL = ", ".join(
+    f"{{'clause': '{name}', 'present': {holds}}}"
+    for name, holds in {
+        "duty_with_share": r"(contains(t, 'смп') OR contains(t, 'сонко')) AND contains(t, 'привлеч') AND regexp_matches(t, '[0-9]\s*(\([^)]*\)\s*)?(%|процент)')",
+        "declaration_in_5_days": "contains(t, 'декларац') AND contains(t, 'копи') AND contains(t, 'договор') AND contains(t, '5') AND contains(t, 'рабоч')",
+        "replacement_in_5_days": "contains(t, 'замен') AND contains(t, 'документ') AND contains(t, '5') AND contains(t, 'дн')",
+        "acceptance_in_10_days": "contains(t, '10') AND contains(t, 'рабоч') AND contains(t, 'оплат') AND contains(t, 'приемк') AND contains(t, 'платеж')",
+        "payment_in_7_days": "contains(t, 'оплач') AND contains(t, '7') AND contains(t, 'рабоч') AND contains(t, 'приемк')",
+        "liability": "contains(t, 'гражданско-правовая ответственность за непривлечение')",
+        "right_to_replace": "contains(t, 'вправе осуществлять замену субподрядчика')",
+    }.items()
+)
 
 
 @query(f"""WITH c AS (SELECT o_orderkey AS pk, CASE WHEN o_custkey % 5 <> 0 THEN o_orderstatus <> 'P' END AS required, {_TEXT_SQL} AS text FROM orders),
@@ -207,19 +219,33 @@ def fill_gaps_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.fill_gaps_cascade(a, b, [["no"], ["name", "qty", "unit"]], "pk", "seq", ["name", "total"])
 
 
-_NAMED = ["Поставщик №1 / Цена за ед.", "Поставщик №1 / Стоимость", "Исполнитель 2 / Цена за ед.", "Исполнитель 2 / Сумма", "Поставщик 3 / цена услуги", "Наименование"]
-_PAIRS = ["Наименование", "Цена за ед. изм.", "Стоимость", "Цена за ед. изм.", "Сумма, руб.", "Количество"]
-
-
-@query(f"""WITH h AS (SELECT o_orderkey AS doc_id, 't' AS table_id, c, lower(CASE WHEN o_custkey % 2 = 0 THEN {_pick_sql(_NAMED, "c + o_orderkey")} ELSE {_pick_sql(_PAIRS, "c + o_custkey")} END) AS t FROM orders, range(6) r(c)),
-s AS (SELECT doc_id, table_id, c::INTEGER AS c, TRY_CAST(regexp_extract(t, '(?:поставщик|исполнитель)\\s*(?:№\\s*)?([0-9]+)', 1) AS INTEGER) AS source, CASE WHEN {_any("t", op.ROW_TOTAL)} THEN 'total' WHEN {_any("t", op.UNIT_PRICE)} THEN 'price' END AS measure FROM h),
-n AS (SELECT doc_id, table_id, c, measure, CASE WHEN bool_or(source IS NOT NULL) OVER (PARTITION BY doc_id) THEN source ELSE (count(*) FILTER (measure = 'price') OVER (PARTITION BY doc_id ORDER BY c))::INTEGER END AS source FROM s WHERE measure IS NOT NULL),
-k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, source) AS n FROM n WHERE source > 0)
-SELECT doc_id, table_id, c, source, unnest(CASE WHEN n = 1 AND measure = 'price' THEN ['price', 'total'] ELSE [measure] END) AS measure FROM k""")
+_HEADERS = [
+    ["Наименование", "Поставщик №1 / Цена за ед.", "Поставщик №1 / Стоимость", "Исполнитель 2 / Цена за ед.", "Исполнитель 2 / Сумма", "Минимальная цена"],
+    ["Наименование", "Поставщик 3 / цена услуги", "Поставщик 4 / цена услуги", "Всего"],
+    ["№ п/п", "Наименование", "Количество", "Цена за ед.", "Стоимость", "Цена за ед.", "Стоимость", "Минимальная цена за единицу", "Сумма, руб."],
+    ["Наименование", "Ед. изм.", "Кол-во", "Цена", "Стоимость", "Цена", "Стоимость", "Цена", "Стоимость", "Цена контракта, руб."],
+    ["Количество", "Наименование", "Цена за ед.", "Стоимость", "Сумма"],
+    ["Наименование", "Цена за ед.", "Цена контракта", "Количество"],
+    ["Наименование", "Количество", "Цена за ед.", "Стоимость"],
+    ["Поставщик 7", "Наименование", "Цена за ед.", "Стоимость", "Минимальная цена"],
+    ["Цена за ед.", "Стоимость", "Минимальная цена"],
+]
+_HEADERS_SQL = "[" + ", ".join("[" + ", ".join(map(_q, h)) + "]" for h in _HEADERS) + "]"
+
+
+@query(f"""WITH h AS (SELECT doc_id, 't' AS table_id, i - 1 AS c, lower(p[i]) AS t FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT o_orderkey AS doc_id, {_HEADERS_SQL}[(o_custkey + o_orderkey) % {len(_HEADERS)} + 1] AS p FROM orders))),
+s AS (SELECT doc_id, table_id, c, t, TRY_CAST(regexp_extract(t, '(?:поставщик|исполнитель)\\s*(?:№\\s*)?([0-9]+)', 1) AS INTEGER) AS source, CASE WHEN contains(t, 'стоимость') OR contains(t, 'сумма') THEN 'total' WHEN contains(t, 'цена за ед') OR contains(t, 'цена услуги') THEN 'price' END AS measure FROM h),
+e AS (SELECT doc_id, count(*) FILTER (source IS NOT NULL AND measure IS NOT NULL) AS n_named,
+  greatest(min(c) FILTER (contains(t, 'наименование')), min(c) FILTER (contains(t, 'количество') OR contains(t, 'кол-во')), min(c) FILTER (contains(t, 'ед. изм'))) + 1 AS first,
+  coalesce(min(c) FILTER (contains(t, 'минимальная цена')), min(c) FILTER (contains(t, 'цена контракта')), min(c) FILTER (contains(t, 'сумма') OR contains(t, 'всего'))) AS last FROM s GROUP BY doc_id),
+k AS (SELECT s.*, count(*) OVER (PARTITION BY doc_id, source) AS n FROM s JOIN e USING (doc_id) WHERE n_named > 0 AND source > 0 AND measure IS NOT NULL)
+SELECT doc_id, table_id, c::INTEGER AS c, source, unnest(CASE WHEN n = 1 AND measure = 'price' THEN ['price', 'total'] ELSE [measure] END) AS measure FROM k
+UNION ALL SELECT doc_id, table_id, c::INTEGER, ((c - first) // 2 + 1)::INTEGER, CASE WHEN (c - first) % 2 = 0 THEN 'price' ELSE 'total' END FROM s JOIN e USING (doc_id) WHERE n_named = 0 AND c >= first AND c < last""")
 def supplier_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("t").alias("table_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("c"), "o_orderkey", "o_custkey")
-    path = F.when(F.col("o_custkey") % 2 == 0, _pick(_NAMED, F.col("c") + F.col("o_orderkey"))).otherwise(_pick(_PAIRS, F.col("c") + F.col("o_custkey")))
-    return op.supplier_columns(rows.select("doc_id", "table_id", "c", path.alias("path")))
+    """Price matrices of nine forms."""
+    forms = F.array(*[F.array(*map(F.lit, h)) for h in _HEADERS])
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("t").alias("table_id"), F.posexplode(F.get(forms, (F.col("o_custkey") + F.col("o_orderkey")) % len(_HEADERS))).alias("c", "path"))
+    return op.supplier_columns(rows)
 
 
 _DUES = [("supplier", "value", a, b, p) for a, b, p in rules.PENALTY_PERCENTS] + [(who, "non_value", a, b, x) for who in ("supplier", "customer") for a, b, x in rules.PENALTY_AMOUNTS]
