@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extraction as op
-from ..operators import tables
+from ..operators import facts, tables
 from .registry import ITEMS, PARTS, items, parts, query, table
 from .rule_checks import _NORM
 from .table_checks import _BLOCKS, _GRID, _blocks, _cells, _headers, _lines
@@ -85,3 +85,56 @@ def offers_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, event_type, CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS place FROM events""")
 def order_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.order_by_role(table(spark, sf_dir, "events").select("event_id", "event_type"), ["error", "purchase"], "event_type")
+
+
+_TYPE = "CASE doc_id % 7 WHEN 0 THEN 'plan' WHEN 1 THEN 'request' WHEN 2 THEN 'onmck' WHEN 3 THEN 'ooz' WHEN 4 THEN 'contract' WHEN 5 THEN 'explanatory_note' ELSE 'commercial_offer' END"
+# lines around the text of a document, in SQL that Spark and DuckDB read alike
+_LINES = [
+    "CASE WHEN n_chars % 3 = 0 THEN concat('Предмет закупки: картридж ', source) END", "CASE WHEN n_chars % 4 = 0 THEN 'ОБЪЕКТ  ЗАКУПКИ' END",
+    "CASE WHEN n_chars % 5 = 1 THEN concat('Срок поставки:  ', CASE WHEN n_chars % 2 = 0 THEN 'до 05.06.2024' ELSE '' END) END", "CASE WHEN n_chars % 7 < 3 THEN 'Место поставки, адрес поставки: г. Москва: склад' END",
+    "CASE WHEN n_chars % 6 = 2 THEN 'Способ закупки : аукцион' END", "CASE WHEN n_chars % 11 < 5 THEN concat('Коэффициент вариации: ', CAST(n_chars % 40 AS VARCHAR(9)), ',5 %') END",
+    "CASE WHEN n_chars % 8 < 3 THEN 'Поставщик: ООО Ромашка, исх. № 12 от 01.02.2024' END", "CASE WHEN n_chars % 9 < 4 THEN 'НДС 20 %' END", "CASE WHEN n_chars % 10 < 4 THEN 'Контракт № 5' END",
+    "CASE WHEN n_chars % 13 < 6 THEN 'Срок исполнения контракта' END", "text", "CASE WHEN n_chars % 13 < 3 THEN 'Срок исполнения контракта: 31.12.2024 включительно' END",
+    "CASE WHEN n_chars % 5 = 0 THEN 'Обоснование закупки и метод:' END", "CASE WHEN n_chars % 3 = 1 THEN 'Гарантия: 12 месяцев; основание - п. 4' END",
+    "CASE WHEN n_chars % 4 = 1 THEN 'Этапы исполнения: не предусмотрены' END", "CASE WHEN n_chars % 4 = 2 THEN 'Аванс не предусмотрен' END", "CASE WHEN n_chars % 2 = 0 THEN 'Предмет контракта: бумага' END",
+]
+_DOCS = f"SELECT doc_id, {_TYPE} AS doc_type, n_chars, concat_ws(chr(10), {', '.join(_LINES)}) AS text FROM documents"
+_NAMES = ["1. Наименование объекта закупки", "Начальная (максимальная) цена, НМЦК", "Способ определения", "Единственный поставщик", "Источник финансирования", "Место оказания услуг", "Сроки поставки товара", "Срок исполнения контракта", "Этапы исполнения", "Преимущества СМП", "СОНКО: субподряд", "Процент, объем привлечения", "Размер обеспечения заявки", "Обеспечение исполнения контракта", "Обеспечение гарантийных обязательств", "Дополнительные требования", "Национальный режим", "Прочее", "Предмет закупки"]
+_WORTH = ["1 200,50 руб.", "5 %", "да", "не требуется", "до 05.06.2024", " ", "12,25% от цены", "25.02.2024 и 01.03.2024"]
+_PAIR_ROWS = "SELECT doc_id, doc_type, seq, {names}[(seq * 7 + n_chars) % {n}{one}] AS name, CASE WHEN (n_chars + seq) % 9 <> 0 THEN {worth}[(doc_id + seq) % {m}{one}] END AS value"
+_FIELDS = """('plan', 'subject', 'text', 0, 'key', ['наименование объекта закупки', 'предмет закупки']), ('plan', 'nmck', 'amount', 0, 'key', ['начальная', 'нмцк', 'цена контракта']), ('plan', 'method', 'text', 0, 'key', ['способ закупки', 'способ определения', 'способ выбора']),
+('plan', 'basis', 'text', 0, 'key', ['основание', 'единственный поставщик']), ('plan', 'funding', 'text', 0, 'key', ['источник финансирования']), ('plan', 'delivery_place', 'text', 0, 'key', ['место поставки', 'адрес поставки', 'место оказания']),
+('plan', 'delivery_term', 'date', 0, 'key', ['сроки поставки товара', 'срок поставки', 'срок оказания', 'срок выполнения']), ('plan', 'contract_term', 'date', 0, 'key', ['срок исполнения контракта']), ('plan', 'has_stages', 'flag', 0, 'key', ['этапы исполнения']),
+('plan', 'smp_preference', 'flag', 0, 'key', ['преимуществ', 'смп']), ('plan', 'subcontract', 'flag', 0, 'key', ['субподряд', 'сонко']), ('plan', 'subcontract_percent', 'percent', 0, 'key', ['процент', 'объем привлечения']), ('plan', 'subcontract_percent', 'percent', 1, 'key', ['субподряд', 'сонко']),
+('plan', 'bid_security', 'percent', 0, 'key', ['обеспечения заявки', 'обеспечение заявки']), ('plan', 'contract_security', 'percent', 0, 'key', ['обеспечения исполнения контракта', 'обеспечение исполнения контракта']), ('plan', 'warranty_security', 'percent', 0, 'key', ['обеспечения гарантийных обязательств', 'обеспечение гарантийных обязательств']),
+('plan', 'extra_requirements', 'text', 0, 'key', ['дополнительные требования']), ('plan', 'national_regime', 'text', 0, 'key', ['национальный режим']),
+('request', 'subject', 'text', 0, 'after', ['предмет закупки', 'объект закупки']), ('request', 'method', 'text', 0, 'after', ['способ закупки']), ('request', 'basis', 'text', 0, 'after', ['основание']), ('request', 'delivery_term', 'date', 0, 'after', ['срок поставки', 'срок выполнения']), ('request', 'stages', 'flag', 0, 'after', ['этапы исполнения', 'этапность']),
+('onmck', 'method', 'text', 0, 'after', ['метод']), ('onmck', 'subject', 'text', 0, 'after', ['предмет закупки', 'объект закупки']), ('onmck', 'variation', 'percent', 0, 'after', ['коэффициент вариации']),
+('ooz', 'subject', 'text', 0, 'after', ['предмет закупки', 'объект закупки']), ('ooz', 'delivery_place', 'text', 0, 'after', ['место поставки', 'адрес поставки']), ('ooz', 'delivery_term', 'date', 0, 'after', ['срок оказания', 'срок поставки', 'срок выполнения']), ('ooz', 'warranty', 'text', 0, 'after', ['гаранти']),
+('contract', 'number', 'text', 0, 'after', ['контракт №', 'контракт n']), ('contract', 'subject', 'text', 0, 'after', ['предмет контракта', 'предмет закупки']), ('contract', 'delivery_place', 'text', 0, 'after', ['место поставки', 'адрес поставки']), ('contract', 'delivery_term', 'date', 0, 'after', ['срок оказания', 'срок поставки', 'срок выполнения']),
+('contract', 'contract_term', 'date', 0, 'value', ['срок исполнения контракта']), ('contract', 'contract_term', 'date', 1, 'after', ['срок исполнения контракта']),
+('explanatory_note', 'subject', 'text', 0, 'after', ['предмет закупки', 'объект закупки']), ('explanatory_note', 'method', 'text', 0, 'after', ['способ закупки']), ('explanatory_note', 'justification', 'text', 0, 'after', ['обоснование']),
+('commercial_offer', 'supplier', 'text', 0, 'after', ['поставщик', 'организация']), ('commercial_offer', 'outgoing_number', 'text', 0, 'after', ['исх']), ('commercial_offer', 'outgoing_date', 'date', 0, 'after', ['исх']), ('commercial_offer', 'offer_date', 'date', 0, 'after', ['дата', 'от']),
+('commercial_offer', 'subject', 'text', 0, 'after', ['предмет', 'объект закупки']), ('commercial_offer', 'delivery_term', 'date', 0, 'after', ['срок поставки', 'срок оказания', 'срок выполнения']), ('commercial_offer', 'delivery_place', 'text', 0, 'after', ['место поставки', 'место оказания', 'адрес поставки']),
+('commercial_offer', 'advance', 'text', 0, 'after', ['аванс']), ('commercial_offer', 'vat', 'percent', 0, 'after', ['ндс'])"""
+
+
+def _listed(values: list[str], left: str, right: str) -> str:
+    return left + ", ".join(f"'{v}'" for v in values) + right
+
+
+@query(rf"""WITH d AS ({_DOCS}), rule(doc_type, field, kind, w, way, anchors) AS (VALUES {_FIELDS}),
+line AS (SELECT doc_id, doc_type, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS next, trim(CASE WHEN contains(x, ':') THEN x[strpos(x, ':') + 1:] ELSE '' END, ' ') AS tail
+  FROM (SELECT doc_id, doc_type, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ 	]+', ' ', 'g'), ' ') AS x FROM d) WHERE x <> ''),
+pair AS ({_PAIR_ROWS.format(names=_listed(_NAMES, '[', ']'), worth=_listed(_WORTH, '[', ']'), n=len(_NAMES), m=len(_WORTH), one=' + 1')} FROM d, range(12) t(seq)),
+hit AS (SELECT doc_id, line.doc_type, field, kind, w, way, ord, CASE WHEN tail <> '' THEN tail ELSE coalesce(next, x) END AS raw FROM line JOIN rule ON rule.doc_type = line.doc_type AND way <> 'key' WHERE len(list_filter(anchors, lambda a: contains(lower(x), a))) > 0 AND (way = 'after' OR tail <> '')
+  UNION ALL SELECT doc_id, pair.doc_type, field, kind, w, way, seq, value FROM pair JOIN rule ON rule.doc_type = pair.doc_type AND way = 'key' WHERE len(list_filter(anchors, lambda a: contains(lower(name), a))) > 0),
+f AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY w, ord) = 1), n AS (SELECT *, {_NORM("raw")} AS norm FROM f)
+SELECT doc_id, doc_type, field, way, ord, raw, norm, CASE WHEN kind = 'amount' THEN TRY_CAST(replace(replace(regexp_extract(raw, '([0-9]{{1,3}}(?: [0-9]{{3}})+(?:[.,][0-9]{{1,2}})?|[0-9]+(?:[.,][0-9]{{1,2}})?) ?руб', 1), ' ', ''), ',', '.') AS DECIMAL(18,2)) END AS amount,
+  CASE WHEN kind = 'percent' THEN TRY_CAST(replace(regexp_extract(raw, '([0-9]+(?:[.,][0-9]+)?) ?%', 1), ',', '.') AS DECIMAL(9,2)) END AS percent, CASE WHEN kind = 'date' THEN try_strptime(regexp_extract(raw, '[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}'), '%d.%m.%Y')::DATE END AS date,
+  CASE WHEN kind = 'flag' THEN CASE WHEN regexp_matches(norm, '^(не |нет|отсутств|no|false)') THEN false WHEN regexp_matches(norm, '^(да|установлен|требует|предусмотрен|yes|true)') THEN true END END AS flag FROM n""")
+def facts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of seven types of documents, from lines around their texts and from key-value rows."""
+    docs = spark.sql(_DOCS.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    pairs = spark.sql(_PAIR_ROWS.format(names=_listed(_NAMES, "array(", ")"), worth=_listed(_WORTH, "array(", ")"), n=len(_NAMES), m=len(_WORTH), one="") + " FROM {d} LATERAL VIEW explode(sequence(0, 11)) AS seq", d=docs)
+    return facts.document_facts(docs, pairs)
