@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_number, fold_homoglyphs, in_range, norm_text, norm_unit, split_values
 from .findings import STATUSES, rank
+from .match import within
 
 # Positions of the special lists.
 SPECIAL = {1: [(25, 26), (32, 32)], 2: [(191, 361)]}
@@ -95,7 +96,9 @@ def link_justifications(just: DataFrame, rows: DataFrame) -> DataFrame:
     alone = first(just.select("pk", "j").join(sole, "pk"), 5)
     left = just.select("pk", "j", "name_norm").join(by_number, ["pk", "j"], "left_anti")
     names = rows.where("name_norm != ''").groupBy("pk", F.col("name_norm").alias("r_name")).agg(F.min("seq").alias("seq"))
-    by_name = first(left.join(names, "pk").where(F.contains("name_norm", "r_name")), 2)
+    held = within(names.select("pk", F.col("r_name").alias("inner")), left.select("pk", F.col("name_norm").alias("outer")), ["pk"])
+    met = held.join(left.withColumnRenamed("name_norm", "outer"), ["pk", "outer"]).join(names.withColumnRenamed("r_name", "inner"), ["pk", "inner"])
+    by_name = first(met, 2)
     best = reduce(DataFrame.unionByName, [by_number, by_name, by_code, by_char, alone]).groupBy("pk", "j").agg(F.min("b").alias("b"))
     out = just.select("pk", "j").join(best.select("pk", "j", "b.seq", "b.way"), ["pk", "j"], "left")
     return out.withColumn("status", F.when(F.col("seq").isNull(), "partial").otherwise("passed"))

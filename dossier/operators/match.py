@@ -19,6 +19,59 @@ def _unique(pairs: DataFrame, left: str, right: str, keys: list[str] = ("pk",))
     return pairs.withColumn("_l", n(left)).withColumn("_r", n(right)).where("_l = 1 and _r = 1").drop("_l", "_r")
 
 
+#: Least Jaccard of names that are alike. Two names that are, or of which one supports the other, share so much of the
+#: tokens of the shorter one: n of s and t tokens with n / (s + t - n) at the limit are most for t = s.
+ALIKE = 0.55
+SHARED = 2 * ALIKE / (1 + ALIKE)
+
+
+def within(inner: DataFrame, outer: DataFrame, by: list[str] = (), size: int = 3) -> DataFrame:
+    """*by, inner, outer: pairs of names of one group of which the first lies inside the second.
+
+    A name is looked for under the rarest of its parts of ``size`` characters (shorter ones under themselves) among the
+    parts of all outer names, so no name meets another that lacks that part. Null and empty names meet nothing; equal
+    names are met once. ``inner``: *by, inner; ``outer``: *by, outer.
+    """
+    by = list(by)
+
+    def parts(c: str, n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
+        return F.when(F.length(c) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    x = inner.where("inner != ''").select(*by, "inner").distinct()
+    y = outer.where("outer != ''").select(*by, "outer").distinct()
+    own = F.coalesce(*[F.when(F.length("inner") == n, parts("inner", n)) for n in range(1, size)], parts("inner", size))
+    asked = x.select(*by, "inner", F.explode(own).alias("part"))
+    posts = y.select(*by, "outer", F.explode(F.concat(*[parts("outer", n) for n in range(1, size + 1)])).alias("part"))
+    posts = posts.join(asked.select(*by, "part").distinct(), [*by, "part"], "left_semi")
+    found = posts.groupBy(*by, "part").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("r")
+    anchors = asked.join(found, [*by, "part"], "left").groupBy(*by, "inner").agg(rarest).select(*by, "inner", F.col("r.part").alias("part"))
+    return anchors.join(posts, [*by, "part"]).where(F.contains("outer", "inner")).select(*by, "inner", "outer")
+
+
+def overlapping(left: DataFrame, right: DataFrame, by: list[str] = ("pk",), share: float = SHARED) -> DataFrame:
+    """pk, l_seq, r_seq: all pairs of a group (``by``, of which pk is one) that share at least so much of the tokens of the shorter of two lists.
+
+    The shorter list of such a pair has a common token among its rarest, as the others are too few for the share. So it
+    is posted under those alone, and the longer under all; a token that a whole package has in common meets little.
+    ``left``: *by, l_seq, l_tokens; ``right``: *by, r_seq, r_tokens.
+    """
+    by = list(by)
+    sides = [(left, "l", right, "r"), (right, "r", left, "l")]
+    met = None
+    for k, (short, a, long, b) in enumerate(sides):
+        posts = long.select(*by, f"{b}_seq", F.size(F.array_distinct(f"{b}_tokens")).alias("_long"), F.explode(F.array_distinct(f"{b}_tokens")).alias("t"))
+        n = F.size(F.array_distinct(f"{a}_tokens"))
+        own = short.select(*by, f"{a}_seq", n.alias("_n"), F.explode(F.array_distinct(f"{a}_tokens")).alias("t"))
+        rare = F.row_number().over(W.partitionBy("pk", f"{a}_seq").orderBy(F.coalesce("_df", F.lit(0)), "t"))
+        own = own.join(posts.groupBy(*by, "t").agg(F.count("*").alias("_df")), [*by, "t"], "left").withColumn("_place", rare)
+        own = own.where(F.col("_place") <= F.col("_n") - F.ceil(F.col("_n") * share - 1e-9) + 1)
+        pairs = own.join(posts, [*by, "t"]).where(F.col("_n") <= F.col("_long") if k == 0 else F.col("_n") < F.col("_long")).select("pk", "l_seq", "r_seq")
+        met = pairs if met is None else met.unionByName(pairs)
+    return met.distinct()
+
+
 def match_items(left: DataFrame, right: DataFrame) -> DataFrame:
     """One-to-one pairs (pk, l, r, how) of the items of two documents.
 
@@ -44,18 +97,31 @@ def match_items(left: DataFrame, right: DataFrame) -> DataFrame:
         found = new if found is None else found.unionByName(new)
 
     support = name_support(F.col("l_tokens"), F.col("r_tokens"))
-    add(_unique(a.join(b.withColumn("l_ktru", F.col("r_ktru")), ["pk", "l_ktru"]), "l_seq", "r_seq"), "ktru")
-    add(_unique(rest(a, "l").join(rest(b, "r").withColumn("l_okpd2", F.col("r_okpd2")), ["pk", "l_okpd2"]).where(support), "l_seq", "r_seq"), "okpd2")
-    # the pairs of three passes are met once: those that are alike, that the name supports, or whose mark the name has
+    def sole(x: DataFrame, y: DataFrame, c: str) -> DataFrame:
+        """Pairs of one value of which each side has one row only."""
+        once = lambda df, side: df.withColumn("_n", F.count("*").over(W.partitionBy("pk", f"{side}_{c}"))).where("_n = 1").drop("_n")
+        return once(x, "l").join(once(y, "r").withColumn(f"l_{c}", F.col(f"r_{c}")), ["pk", f"l_{c}"])
+
+    add(sole(a, b, "ktru"), "ktru")
+    x, y = rest(a, "l"), rest(b, "r")
+    coded = overlapping(x.select("pk", "l_seq", "l_tokens", F.col("l_okpd2").alias("code")), y.select("pk", "r_seq", "r_tokens", F.col("r_okpd2").alias("code")), ["pk", "code"])
+    add(_unique(coded.join(x, ["pk", "l_seq"]).join(y, ["pk", "r_seq"]).where(support), "l_seq", "r_seq"), "okpd2")
+    # the pairs of three passes are met once: those that are alike, that the name supports, or whose mark the name has;
+    # they are found by their rare tokens and by the parts of marks, never by a product of the package
     marked = F.exists("r_marks", lambda m: (F.length(m) >= 3) & F.contains("l_name_norm", m))
-    met = rest(a, "l").join(rest(b, "r"), "pk").select("pk", "l_seq", "r_seq", jaccard(F.col("l_tokens"), F.col("r_tokens")).alias("s"), support.alias("support"), marked.alias("marked"))
-    met = written(met.where("s >= 0.55 or support or marked"), "candidates")
+    x, y = written(rest(a, "l"), "left"), written(rest(b, "r"), "right")
+    marks = y.select("pk", "r_seq", F.explode("r_marks").alias("inner")).where(F.length("inner") >= 3)
+    holds = within(marks, x.select("pk", F.col("l_name_norm").alias("outer")), ["pk"])
+    by_mark = holds.join(marks, ["pk", "inner"]).join(x.select("pk", "l_seq", F.col("l_name_norm").alias("outer")), ["pk", "outer"]).select("pk", "l_seq", "r_seq")
+    near = overlapping(x.select("pk", "l_seq", "l_tokens"), y.select("pk", "r_seq", "r_tokens")).union(by_mark).distinct()
+    met = near.join(x, ["pk", "l_seq"]).join(y, ["pk", "r_seq"]).select("pk", "l_seq", "r_seq", jaccard(F.col("l_tokens"), F.col("r_tokens")).alias("s"), support.alias("support"), marked.alias("marked"))
+    met = written(met.where((F.col("s") >= ALIKE) | F.col("support") | F.col("marked")), "candidates")
     top = lambda c: F.rank().over(W.partitionBy("pk", c).orderBy(F.desc("s")))
-    add(_unique(met.where("s >= 0.55").withColumn("_a", top("l_seq")).withColumn("_b", top("r_seq")).where("_a = 1 and _b = 1"), "l_seq", "r_seq"), "jaccard")
+    add(_unique(met.where(F.col("s") >= ALIKE).withColumn("_a", top("l_seq")).withColumn("_b", top("r_seq")).where("_a = 1 and _b = 1"), "l_seq", "r_seq"), "jaccard")
     add(_unique(rest(rest(met.where("support"), "l"), "r"), "l_seq", "r_seq"), "name")
     add(_unique(rest(rest(met.where("marked"), "l"), "r"), "l_seq", "r_seq"), "mark")
     begun = found.select("pk").distinct()
-    add(_unique(rest(a, "l").join(begun, "pk", "left_semi").join(rest(b, "r").withColumn("l_qty", F.col("r_qty")), ["pk", "l_qty"]), "l_seq", "r_seq"), "qty")
+    add(sole(rest(a, "l").join(begun, "pk", "left_semi"), rest(b, "r"), "qty"), "qty")
     place = lambda c: F.row_number().over(W.partitionBy("pk").orderBy(c))
     size = F.count("*").over(W.partitionBy("pk"))
     x = rest(a, "l").withColumn("_n", place("l_seq")).withColumn("_size", size)
@@ -112,11 +178,13 @@ def lookup_item(items: DataFrame, ref: DataFrame) -> DataFrame:
 
 
 def code_by_name(items: DataFrame, entries: DataFrame) -> DataFrame:
-    """Code of the first entry (ord, name, code; a small list) whose name is within the item's or the other way round."""
+    """Code of the first entry (ord, name, code) whose name is within the item's or the other way round; empty names meet nothing."""
     e = entries.select("ord", F.col("name").alias("e_name"), "code")
-    met = items.join(small(e), (F.col("name") != "") & (F.contains("name", "e_name") | F.contains("e_name", "name")))
-    first = met.groupBy("pk", "seq").agg(F.min_by("code", "ord").alias("code"))
-    return items.join(first, ["pk", "seq"], "left")
+    names = lambda c, alias: (items if c == "name" else e).select(F.col(c).alias(alias))
+    inside = within(names("name", "inner"), names("e_name", "outer")).select(F.col("inner").alias("name"), F.col("outer").alias("e_name"))
+    around = within(names("e_name", "inner"), names("name", "outer")).select(F.col("outer").alias("name"), F.col("inner").alias("e_name"))
+    first = inside.union(around).distinct().join(e, "e_name").groupBy("name").agg(F.min_by("code", "ord").alias("code"))
+    return items.join(first, "name", "left").select(*items.columns, "code")
 
 
 def link_codes(items: DataFrame, codes: DataFrame, least: int = 3) -> DataFrame:
@@ -161,9 +229,29 @@ def prefix_lookup(codes: DataFrame, ref: DataFrame) -> DataFrame:
 
 def best_by_name(pairs: DataFrame, name: str = "name", other: str = "ref_name") -> DataFrame:
     """Of blocked candidates (pk, seq, ref_id, two names) the most similar: 100 by ratio, +10 equal in normal form, +20 equal."""
-    score = F.round(100 * seq_ratio(norm_text(F.col(name)), norm_text(F.col(other))), 4) + F.when(norm_text(F.col(name)) == norm_text(F.col(other)), 10).otherwise(0) + F.when(F.col(name) == F.col(other), 20).otherwise(0)
+    scored = name_survivors(pairs, name, other)
+    score = F.round(100 * F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(seq_ratio(F.col("_a"), F.col("_b"))), 4) + F.col("_bonus")
     top = F.max(F.struct("score", F.negative("ref_id").alias("r"), "ref_id")).alias("b")
-    return pairs.withColumn("score", score).groupBy("pk", "seq").agg(top).select("pk", "seq", "b.ref_id", "b.score")
+    return scored.withColumn("score", score).groupBy("pk", "seq").agg(top).select("pk", "seq", "b.ref_id", "b.score")
+
+
+def name_survivors(pairs: DataFrame, name: str = "name", other: str = "ref_name") -> DataFrame:
+    """The candidates that can still be the best: pk, seq, ref_id, _a, _b, _bonus.
+
+    The blocks that the ratio counts are a common subsequence, so by the edit distance d of two names of m and n
+    characters the ratio is 1 - d / (m + n) at most. The candidate of the highest bound is scored first; whoever has a
+    bound below its score is out, and only the others are compared character by character.
+    """
+    a, b = norm_text(F.col(name)), norm_text(F.col(other))
+    bonus = F.when(a == b, 10).otherwise(0) + F.when(F.col(name) == F.col(other), 20).otherwise(0)
+    size = F.length("_a") + F.length("_b")
+    each = pairs.select("pk", "seq", "ref_id", a.alias("_a"), b.alias("_b"), bonus.alias("_bonus"))
+    each = each.withColumn("_most", F.when(size > 0, 100 * (1 - F.levenshtein("_a", "_b") / size)).otherwise(100.0) + F.col("_bonus"))
+    first = each.groupBy("pk", "seq").agg(F.max_by(F.struct("_a", "_b", "_bonus"), "_most").alias("f"))
+    reached = F.round(100 * seq_ratio(F.col("f._a"), F.col("f._b")), 4) + F.col("f._bonus")
+    # half a unit of the fourth place is what rounding may add
+    least = first.select("pk", "seq", (reached - 1e-4).alias("_least"))
+    return each.join(least, ["pk", "seq"]).where(F.col("_most") >= F.col("_least")).drop("_most", "_least")
 
 
 def validate_decisions(decisions: DataFrame, requested: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import small
+from .match import within
 
 # Markers in the text (two points each), and in the file name (one point for a type, whichever it has).
 DOCUMENT_MARKERS = [
@@ -224,7 +225,7 @@ def codes_with_names(docs: DataFrame, key: str, text: str, code: str) -> DataFra
 
 def similar_by_name(missing: DataFrame, present: DataFrame) -> DataFrame:
     """pk, code, similar: for each missing code the present ones with the same first three segments, or one of whose names
-    is within one of its names or the other way round. Both: pk, code, names (array). Names are met inside a package."""
+    is within one of its names or the other way round. Both: pk, code, names (array). Names meet under rare parts."""
     head = F.substring_index("code", ".", 3)
     a = missing.select("pk", "code", head.alias("h"), "names")
     b = present.select("pk", F.col("code").alias("similar"), head.alias("h"), F.col("names").alias("others"))
@@ -232,7 +233,9 @@ def similar_by_name(missing: DataFrame, present: DataFrame) -> DataFrame:
     by_code = a.where(long("code")).join(b.where(long("similar")), ["pk", "h"]).where("code != similar").select("pk", "code", "similar")
     x = a.select("pk", "code", F.explode("names").alias("x")).where("x != ''")
     y = b.select("pk", "similar", F.explode("others").alias("y")).where("y != ''")
-    by_name = x.join(y, "pk").where(F.contains("x", "y") | F.contains("y", "x")).select("pk", "code", "similar")
+    inside = within(x.select("pk", F.col("x").alias("inner")), y.select("pk", F.col("y").alias("outer")), ["pk"]).select("pk", F.col("inner").alias("x"), F.col("outer").alias("y"))
+    around = within(y.select("pk", F.col("y").alias("inner")), x.select("pk", F.col("x").alias("outer")), ["pk"]).select("pk", F.col("outer").alias("x"), F.col("inner").alias("y"))
+    by_name = inside.union(around).distinct().join(x.distinct(), ["pk", "x"]).join(y.distinct(), ["pk", "y"]).select("pk", "code", "similar")
     every = by_code.union(by_name).distinct()
     return every.groupBy("pk", "code").agg(F.array_join(F.array_sort(F.collect_set("similar")), ",").alias("similar"))
 
