@@ -23,6 +23,8 @@ def _unique(pairs: DataFrame, left: str, right: str, keys: list[str] = ("pk",))
 #: tokens of the shorter one: n of s and t tokens with n / (s + t - n) at the limit are most for t = s.
 ALIKE = 0.55
 SHARED = 2 * ALIKE / (1 + ALIKE)
+#: Packages with at most so many pairs of items meet as they are; in larger ones pairs are found by rare tokens.
+PAIRS = 2_500
 
 
 def within(inner: DataFrame, outer: DataFrame, by: list[str] = (), size: int = 3) -> DataFrame:
@@ -97,29 +99,48 @@ def match_items(left: DataFrame, right: DataFrame) -> DataFrame:
         found = new if found is None else found.unionByName(new)
 
     support = name_support(F.col("l_tokens"), F.col("r_tokens"))
+
     def sole(x: DataFrame, y: DataFrame, c: str) -> DataFrame:
         """Pairs of one value of which each side has one row only."""
         once = lambda df, side: df.withColumn("_n", F.count("*").over(W.partitionBy("pk", f"{side}_{c}"))).where("_n = 1").drop("_n")
         return once(x, "l").join(once(y, "r").withColumn(f"l_{c}", F.col(f"r_{c}")), ["pk", f"l_{c}"])
 
     add(sole(a, b, "ktru"), "ktru")
-    x, y = rest(a, "l"), rest(b, "r")
-    coded = overlapping(x.select("pk", "l_seq", "l_tokens", F.col("l_okpd2").alias("code")), y.select("pk", "r_seq", "r_tokens", F.col("r_okpd2").alias("code")), ["pk", "code"])
-    add(_unique(coded.join(x, ["pk", "l_seq"]).join(y, ["pk", "r_seq"]).where(support), "l_seq", "r_seq"), "okpd2")
+    count = lambda df, c: df.groupBy("pk").agg(F.count("*").alias(c))
+    large = count(a, "_a").join(count(b, "_b"), "pk").where(F.col("_a") * F.col("_b") > PAIRS).select("pk")
+    large = None if large.isEmpty() else written(large, "large")
+
+    def met(x: DataFrame, y: DataFrame, by: list[str], near) -> DataFrame:
+        """Rows of both sides of every pair that can be one; ``near`` gives those of large packages (pk, l_seq, r_seq)."""
+        if large is None:
+            return x.join(y, by)
+        within_large = lambda df: df.join(large, "pk", "left_semi")
+        few = x.join(large, "pk", "left_anti").join(y, by)
+        return few.unionByName(near(within_large(x), within_large(y)).join(x, ["pk", "l_seq"]).join(y.drop(*by[1:]), ["pk", "r_seq"]).select(few.columns))
+
+    def tokens(df: DataFrame, side: str, *more: Column) -> DataFrame:
+        return df.select("pk", f"{side}_seq", f"{side}_tokens", *more)
+
+    def named(x: DataFrame, y: DataFrame) -> DataFrame:
+        marks = y.select("pk", "r_seq", F.explode("r_marks").alias("inner")).where(F.length("inner") >= 3)
+        outer = x.select("pk", "l_seq", F.col("l_name_norm").alias("outer"))
+        by_mark = within(marks, outer, ["pk"]).join(marks, ["pk", "inner"]).join(outer, ["pk", "outer"]).select("pk", "l_seq", "r_seq")
+        return overlapping(tokens(x, "l"), tokens(y, "r")).union(by_mark).distinct()
+
+    def coded(x: DataFrame, y: DataFrame) -> DataFrame:
+        return overlapping(tokens(x, "l", F.col("_code")), tokens(y, "r", F.col("_code")), ["pk", "_code"])
+
+    same = met(rest(a, "l").withColumn("_code", F.col("l_okpd2")), rest(b, "r").withColumn("_code", F.col("r_okpd2")), ["pk", "_code"], coded)
+    add(_unique(same.where(support), "l_seq", "r_seq"), "okpd2")
     # the pairs of three passes are met once: those that are alike, that the name supports, or whose mark the name has;
-    # they are found by their rare tokens and by the parts of marks, never by a product of the package
+    # in a large package they are found by their rare tokens and by the parts of marks, never by a product
     marked = F.exists("r_marks", lambda m: (F.length(m) >= 3) & F.contains("l_name_norm", m))
-    x, y = written(rest(a, "l"), "left"), written(rest(b, "r"), "right")
-    marks = y.select("pk", "r_seq", F.explode("r_marks").alias("inner")).where(F.length("inner") >= 3)
-    holds = within(marks, x.select("pk", F.col("l_name_norm").alias("outer")), ["pk"])
-    by_mark = holds.join(marks, ["pk", "inner"]).join(x.select("pk", "l_seq", F.col("l_name_norm").alias("outer")), ["pk", "outer"]).select("pk", "l_seq", "r_seq")
-    near = overlapping(x.select("pk", "l_seq", "l_tokens"), y.select("pk", "r_seq", "r_tokens")).union(by_mark).distinct()
-    met = near.join(x, ["pk", "l_seq"]).join(y, ["pk", "r_seq"]).select("pk", "l_seq", "r_seq", jaccard(F.col("l_tokens"), F.col("r_tokens")).alias("s"), support.alias("support"), marked.alias("marked"))
-    met = written(met.where((F.col("s") >= ALIKE) | F.col("support") | F.col("marked")), "candidates")
+    pairs = met(rest(a, "l"), rest(b, "r"), ["pk"], named).select("pk", "l_seq", "r_seq", jaccard(F.col("l_tokens"), F.col("r_tokens")).alias("s"), support.alias("support"), marked.alias("marked"))
+    alike = written(pairs.where((F.col("s") >= ALIKE) | F.col("support") | F.col("marked")), "candidates")
     top = lambda c: F.rank().over(W.partitionBy("pk", c).orderBy(F.desc("s")))
-    add(_unique(met.where(F.col("s") >= ALIKE).withColumn("_a", top("l_seq")).withColumn("_b", top("r_seq")).where("_a = 1 and _b = 1"), "l_seq", "r_seq"), "jaccard")
-    add(_unique(rest(rest(met.where("support"), "l"), "r"), "l_seq", "r_seq"), "name")
-    add(_unique(rest(rest(met.where("marked"), "l"), "r"), "l_seq", "r_seq"), "mark")
+    add(_unique(alike.where(F.col("s") >= ALIKE).withColumn("_a", top("l_seq")).withColumn("_b", top("r_seq")).where("_a = 1 and _b = 1"), "l_seq", "r_seq"), "jaccard")
+    add(_unique(rest(rest(alike.where("support"), "l"), "r"), "l_seq", "r_seq"), "name")
+    add(_unique(rest(rest(alike.where("marked"), "l"), "r"), "l_seq", "r_seq"), "mark")
     begun = found.select("pk").distinct()
     add(sole(rest(a, "l").join(begun, "pk", "left_semi"), rest(b, "r"), "qty"), "qty")
     place = lambda c: F.row_number().over(W.partitionBy("pk").orderBy(c))
