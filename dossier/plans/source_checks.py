@@ -9,8 +9,9 @@ from ..operators import findings as fd
 from ..operators import prices as price_op
 from ..operators import rules
 from ..sources import packages as src
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 from ..streaming import jobs
+from ..streaming import packages as arrivals
 from .price_checks import _status
 from .registry import ITEMS, PACKAGES, PRICES, items, packages, prices, query, table
 
@@ -220,3 +221,15 @@ def json_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.groupBy(F.col("parent").alias("key")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("text")).repartition("key").write.partitionBy("key").text(box)
         read.append(src.read_json_index(spark, box, "id bigint, name string, parent int").select("id", "name", "parent"))
     return read[0].unionByName(read[1])
+
+
+@query(f"""WITH {PRICES} SELECT pk::VARCHAR AS pk, n_prices, cv, {_status("cv IS NOT NULL", "cv < 33")} AS status FROM (SELECT pk, count(*) AS n_prices, round(CASE WHEN count(*) >= 2 AND avg(price) <> 0 THEN stddev_samp(price) / avg(price) * 100 END, 4) AS cv FROM prices GROUP BY pk)""")
+def arriving_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of each package arrive in three parts, the stream starting anew for each; the current findings are those of all."""
+    box = shared_path(spark, "arrivals")
+    got = written(prices(spark, sf_dir).select(F.col("pk").cast("string").alias("pk"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("seq") * 3600).alias("at"), "price", (F.col("seq") % 3).alias("part")), "arrivals")
+    for part in range(3):
+        got.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{box}/in")
+        stream = jobs.read_packages(spark, f"{box}/in", "pk string, at timestamp, price long")
+        jobs.to_table(arrivals.audit_arrivals(stream, "90 days", "60 days"), f"{box}/out", f"{box}/checkpoint").awaitTermination()
+    return arrivals.current(spark.read.parquet(f"{box}/out")).select("pk", "n_prices", "cv", "status")
