@@ -85,3 +85,57 @@ def order_by_role(rows: DataFrame, roles: list[str], role: str = "role") -> Data
     """Place of each row in the order of roles; other roles come last."""
     place = F.array_position(F.array(*[F.lit(r) for r in roles]), F.col(role)).cast("int")
     return rows.withColumn("place", F.when(place > 0, place).otherwise(F.lit(len(roles) + 1)))
+
+
+# Lines that are a unit (letters only), and the words of an offer's requisites.
+UNIT_LINES = ["шт", "штука", "штук", "услед", "услуга", "компл", "комплект"]
+OFFER_SUM = r"(?iu)Сумма\s+коммерческого\s+предложения"
+OFFER_TOTAL = OFFER_SUM + r"\s+составляет\s*:\s*(\d[\d\s ]*(?:[,.]\d{2})?)"
+OFFER_HEADER = r"(?m)^[ \t]*(\d{2}\.\d{2}\.\d{4})[ \t]*№[ \t]*([^\r\n]+?)[ \t\r]*$"
+OFFER_SUPPLIER = r"""(?iu)(?<![\p{L}\p{N}_])(ООО\s+(?:«[^»]+»|"[^"]+"|[А-ЯЁA-Z][^,\n]{1,60}?))\s+предлагает(?![\p{L}\p{N}_])"""
+OFFER_TERM = r"(?imu)^\s*Срок\s+(?:поставки|оказания|выполнения)[^:\r\n]*:\s*([^\r\n]+)"
+REGISTRY_NOTE = r"(?iu)№\s*реестровой\s+записи\s+\d+"
+TRADEMARK = r"(?iu)товарный\s+знак\s+(.+)$"
+
+
+def offer_requisites(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, number, date, supplier, total, term, vat_text of the text layer of an offer; what isn't there is null."""
+    part = lambda pattern, n: F.nullif(F.trim(F.regexp_extract("text", pattern, n)), F.lit(""))
+    free, rate = F.col("text").rlike(r"(?iu)без\s+НДС(?![\p{L}])"), F.col("text").rlike(r"(?m)^\s*(?:20|22)\s*$")
+    vat = F.when(free & rate, "mixed").when(free, "exempt")
+    squeezed = lambda c: F.regexp_replace(c, r"[\s ]+", " ")
+    return docs.select(
+        key, part(OFFER_HEADER, 2).alias("number"), F.try_to_date(part(OFFER_HEADER, 1), "dd.MM.yyyy").alias("date"), squeezed(part(OFFER_SUPPLIER, 1)).alias("supplier"),
+        to_decimal(part(OFFER_TOTAL, 1), 2).alias("total"), part(OFFER_TERM, 1).alias("term"), vat.alias("vat_text"),
+    )
+
+
+def offer_text_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ord, row_number, name, trademark, unit, qty, price, vat_text, vat_rate, total, notes: items that run over lines.
+
+    A line of two numbers with a point begins an item, which goes on to the next such line, the last one to the sum of the
+    offer. Lines up to the unit are the name; the four after it are quantity, price, VAT and total. An item without a
+    unit, with fewer lines after it or with one that is no number is left out. Texts are cut where they lie: only the
+    items of a document become rows. A null text has none.
+    """
+    clean = F.transform(F.split(F.translate("text", " ", " "), r"\r\n|[\n\r\x0b\x0c]"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    lines = docs.select(key, F.filter(clean, lambda x: x != "").alias("lines"))
+    at = F.when(F.size("lines") > 0, F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(r"^\d+\.\d+$")))
+    marked = lines.select(key, "lines", at.alias("marks"))
+    end = lambda j: F.coalesce(F.get("marks", j + 1), F.size("lines"))
+    cut = F.transform("marks", lambda m, j: F.struct(j.alias("ord"), F.get("lines", m).alias("row_number"), F.slice("lines", m + 2, end(j) - m - 1).alias("body"), (j == F.size("marks") - 1).alias("last")))
+    rows = marked.select(key, F.explode(cut).alias("s")).select(key, "s.*")
+    stop = F.array_position(F.transform("body", lambda x: F.col("last") & x.rlike("^" + OFFER_SUM)), True)
+    rows = rows.select(key, "ord", "row_number", F.when(stop > 0, F.slice("body", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("body")).alias("body"))
+    letters = lambda x: F.regexp_replace(F.replace(F.lower(x), F.lit("ё"), F.lit("е")), "[^а-яa-z]", "")
+    rows = rows.withColumn("u", F.array_position(F.transform("body", lambda x: letters(x).isin(UNIT_LINES)), True).cast("int")).where("u > 0 and size(body) >= u + 4")
+    value = lambda k: F.get("body", F.col("u") + (k - 1))
+    raw = F.array_join(F.slice("body", F.lit(1), F.col("u") - 1), " ")
+    # what a note leaves at the ends of the name goes with it
+    name = F.regexp_replace(F.regexp_replace(raw, REGISTRY_NOTE, ""), r"^[ ,]+|[ ,]+$", "")
+    number = lambda x, scale: F.when(x.rlike(r"\d"), to_decimal(x, scale))
+    out = rows.select(
+        key, "ord", "row_number", name.alias("name"), F.nullif(F.regexp_extract(name, TRADEMARK, 1), F.lit("")).alias("trademark"), value(0).alias("unit"), number(value(1), 6).alias("qty"), number(value(2), 2).alias("price"),
+        value(3).alias("vat_text"), F.when(value(3).rlike(r"^\d+(?:[,.]\d+)?$"), to_decimal(value(3), 2)).alias("vat_rate"), number(value(4), 2).alias("total"), F.regexp_extract_all(raw, F.lit(REGISTRY_NOTE), F.lit(0)).alias("notes"),
+    )
+    return out.where("qty is not null and price is not null and total is not null")

@@ -125,7 +125,8 @@ def _listed(values: list[str], left: str, right: str) -> str:
 
 @query(rf"""WITH d AS ({_DOCS}), rule(doc_type, field, kind, w, way, anchors) AS (VALUES {_FIELDS}),
 line AS (SELECT doc_id, doc_type, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS next, trim(CASE WHEN contains(x, ':') THEN x[strpos(x, ':') + 1:] ELSE '' END, ' ') AS tail
-  FROM (SELECT doc_id, doc_type, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ 	]+', ' ', 'g'), ' ') AS x FROM d) WHERE x <> ''),
+  FROM (SELECT doc_id, doc_type, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ 	
+]+', ' ', 'g'), ' ') AS x FROM d) WHERE x <> ''),
 pair AS ({_PAIR_ROWS.format(names=_listed(_NAMES, '[', ']'), worth=_listed(_WORTH, '[', ']'), n=len(_NAMES), m=len(_WORTH), one=' + 1')} FROM d, range(12) t(seq)),
 hit AS (SELECT doc_id, line.doc_type, field, kind, w, way, ord, CASE WHEN tail <> '' THEN tail ELSE coalesce(next, x) END AS raw FROM line JOIN rule ON rule.doc_type = line.doc_type AND way <> 'key' WHERE len(list_filter(anchors, lambda a: contains(lower(x), a))) > 0 AND (way = 'after' OR tail <> '')
   UNION ALL SELECT doc_id, pair.doc_type, field, kind, w, way, seq, value FROM pair JOIN rule ON rule.doc_type = pair.doc_type AND way = 'key' WHERE len(list_filter(anchors, lambda a: contains(lower(name), a))) > 0),
@@ -138,3 +139,36 @@ def facts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.sql(_DOCS.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
     pairs = spark.sql(_PAIR_ROWS.format(names=_listed(_NAMES, "array(", ")"), worth=_listed(_WORTH, "array(", ")"), n=len(_NAMES), m=len(_WORTH), one="") + " FROM {d} LATERAL VIEW explode(sequence(0, 11)) AS seq", d=docs)
     return facts.document_facts(docs, pairs)
+
+
+def _offer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An offer for each package: a header, items over five to eight lines, prose between, the sum and a term."""
+    w = items(spark, sf_dir).join(parts(spark, sf_dir), "item")
+    money = lambda c: F.replace((c / 100).cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
+    name = F.concat_ws("\n", F.substring_index("name", " ", 2), F.regexp_extract("name", r"^\S+ \S+ ?(.*)$", 1))
+    note = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("№ реестровой  записи "), F.col("item"))).when(F.col("seq") % 3 == 1, F.concat(F.lit("Товарный знак "), F.col("brand")))
+    unit = F.when(F.col("seq") % 5 == 4, "без единицы").when(F.col("seq") % 2 == 0, "шт.").otherwise("Компл")
+    vat = F.when(F.col("flag") == "A", "без НДС").otherwise("20")
+    item = F.concat_ws("\n", F.concat(F.lit("1."), F.col("seq")), name, note, unit, F.col("qty").cast("string"), money(F.col("total")), vat, money(F.col("total") * F.col("qty")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("t")))), lambda x: x["t"]), "\n \n")
+    each = w.groupBy("pk").agg(body.alias("body"), F.min("day").alias("day"), F.sum("total").alias("sum"))
+    head = F.when(F.col("pk") % 4 != 0, F.concat(F.lit("  "), F.date_format("day", "dd.MM.yyyy"), F.lit(" № КП-"), F.col("pk")))
+    who = F.when(F.col("pk") % 3 != 0, F.concat(F.lit("ООО «Ромашка "), F.col("pk"), F.lit("» предлагает поставить:"))).otherwise("Предлагаем поставить:")
+    tail = F.concat(F.lit("Сумма коммерческого предложения составляет: "), F.regexp_replace(money(F.col("sum")), r"(?<=\d)(?=(?:\d{3})+,)", " "), F.lit(" рублей\nшт\n1\n2\n3\n4"))
+    term = F.when(F.col("pk") % 5 != 0, F.concat(F.lit("Срок поставки товара: "), F.col("pk") % 30 + 1, F.lit(" дней")))
+    return each.select(F.col("pk").alias("doc_id"), F.concat_ws("\n", head, who, "body", tail, term).alias("text"))
+
+
+@query(f"""WITH {ITEMS}, {PARTS} SELECT pk AS doc_id, '1.' || seq AS row_number, trim(CASE WHEN seq % 3 = 1 THEN name || ' Товарный знак ' || brand ELSE name END) AS name, CASE WHEN seq % 3 = 1 THEN brand END AS trademark, CASE WHEN seq % 2 = 0 THEN 'шт.' ELSE 'Компл' END AS unit, qty::DECIMAL(24,6) AS qty, (total / 100)::DECIMAL(24,2) AS price,
+CASE WHEN flag = 'A' THEN 'без НДС' ELSE '20' END AS vat_text, CASE WHEN flag <> 'A' THEN 20::DECIMAL(24,2) END AS vat_rate, (total * qty / 100)::DECIMAL(24,2) AS total, CASE WHEN seq % 3 = 0 THEN '№ реестровой записи ' || item ELSE '' END AS notes FROM items JOIN parts USING (item) WHERE seq % 5 <> 4""")
+def offer_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the text layers of offers; each fifth has no unit line."""
+    rows = op.offer_text_rows(_offer_texts(spark, sf_dir))
+    return rows.select("doc_id", "row_number", "name", "trademark", "unit", "qty", "price", "vat_text", "vat_rate", "total", F.array_join("notes", ";").alias("notes"))
+
+
+@query(f"""WITH {ITEMS} SELECT pk AS doc_id, CASE WHEN pk % 4 <> 0 THEN 'КП-' || pk END AS number, CASE WHEN pk % 4 <> 0 THEN min(day) END AS date, CASE WHEN pk % 3 <> 0 THEN 'ООО «Ромашка ' || pk || '»' END AS supplier, (sum(total) / 100)::DECIMAL(24,2) AS total,
+CASE WHEN pk % 5 <> 0 THEN (pk % 30 + 1) || ' дней' END AS term, CASE WHEN bool_or(flag = 'A') AND bool_or(flag <> 'A' OR qty IN (20, 22)) THEN 'mixed' WHEN bool_or(flag = 'A') THEN 'exempt' END AS vat_text FROM items GROUP BY pk""")
+def offer_requisites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quantity of 20 or 22 on a line of its own reads like a rate, as the rule says."""
+    return op.offer_requisites(_offer_texts(spark, sf_dir))
