@@ -90,9 +90,9 @@ def order_by_role(rows: DataFrame, roles: list[str], role: str = "role") -> Data
 # Lines that are a unit (letters only), and the words of an offer's requisites.
 UNIT_LINES = ["шт", "штука", "штук", "услед", "услуга", "компл", "комплект"]
 OFFER_SUM = r"(?iu)Сумма\s+коммерческого\s+предложения"
-OFFER_TOTAL = OFFER_SUM + r"\s+составляет\s*:\s*(\d[\d\s ]*(?:[,.]\d{2})?)"
-OFFER_HEADER = r"(?m)^[ \t]*(\d{2}\.\d{2}\.\d{4})[ \t]*№[ \t]*([^\r\n]+?)[ \t\r]*$"
-OFFER_SUPPLIER = r"""(?iu)(?<![\p{L}\p{N}_])(ООО\s+(?:«[^»]+»|"[^"]+"|[А-ЯЁA-Z][^,\n]{1,60}?))\s+предлагает(?![\p{L}\p{N}_])"""
+OFFER_TOTAL = OFFER_SUM + r"\s+составляет\s*:\s*(\d[\d\s\u00a0]*(?:[,.]\d{2})?)"
+OFFER_HEADER = r"(?m)^[ \t\u00a0]*(\d{2}\.\d{2}\.\d{4})[ \t\u00a0]*№[ \t\u00a0]*([^\r\n]+?)[ \t\u00a0\r]*$"
+OFFER_SUPPLIER = r"""(?iu)(?<![\p{L}\p{N}_])(ООО[\s\u00a0]+(?:«[^»]+»|"[^"]+"|[А-ЯЁA-Z][^,\n]{1,60}?))[\s\u00a0]+предлагает(?![\p{L}\p{N}_])"""
 OFFER_TERM = r"(?imu)^\s*Срок\s+(?:поставки|оказания|выполнения)[^:\r\n]*:\s*([^\r\n]+)"
 REGISTRY_NOTE = r"(?iu)№\s*реестровой\s+записи\s+\d+"
 TRADEMARK = r"(?iu)товарный\s+знак\s+(.+)$"
@@ -103,7 +103,7 @@ def offer_requisites(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     part = lambda pattern, n: F.nullif(F.trim(F.regexp_extract("text", pattern, n)), F.lit(""))
     free, rate = F.col("text").rlike(r"(?iu)без\s+НДС(?![\p{L}])"), F.col("text").rlike(r"(?m)^\s*(?:20|22)\s*$")
     vat = F.when(free & rate, "mixed").when(free, "exempt")
-    squeezed = lambda c: F.regexp_replace(c, r"[\s ]+", " ")
+    squeezed = lambda c: F.regexp_replace(c, r"[\s\u00a0]+", " ")
     return docs.select(
         key, part(OFFER_HEADER, 2).alias("number"), F.try_to_date(part(OFFER_HEADER, 1), "dd.MM.yyyy").alias("date"), squeezed(part(OFFER_SUPPLIER, 1)).alias("supplier"),
         to_decimal(part(OFFER_TOTAL, 1), 2).alias("total"), part(OFFER_TERM, 1).alias("term"), vat.alias("vat_text"),
@@ -118,7 +118,7 @@ def offer_text_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     unit, with fewer lines after it or with one that is no number is left out. Texts are cut where they lie: only the
     items of a document become rows. A null text has none.
     """
-    clean = F.transform(F.split(F.translate("text", " ", " "), r"\r\n|[\n\r\x0b\x0c]"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    clean = F.transform(F.split(F.translate("text", "\u00a0", " "), r"\r\n|[\n\r\x0b\x0c]"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     lines = docs.select(key, F.filter(clean, lambda x: x != "").alias("lines"))
     at = F.when(F.size("lines") > 0, F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(r"^\d+\.\d+$")))
     marked = lines.select(key, "lines", at.alias("marks"))

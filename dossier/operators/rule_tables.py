@@ -292,19 +292,50 @@ def penalties_by_party(facts: DataFrame, clauses: DataFrame, table: DataFrame, s
     """Penalties that a contract owes by its amount, for each party and kind: pk, party, kind, due, stated, origin, status.
 
     ``facts``: pk, amount; ``table``: party, kind, above, upto, due (percent or roubles); ``clauses``: pk, party, kind,
-    stated; ``sections``: pk, text. A clause of the party and kind counts (the one that states what is due, if any); without
-    one, the section text that has the number as a word passes, and else the point is for manual review.
+    stated; ``sections``: pk, text. A clause of the party and kind that states what is due passes (of the customer any
+    kind counts). Another percent of the supplier fails. Else the section text that has the number as a word passes.
+    Without it a missing percent of the supplier or fine of the customer fails, and other amounts, or a missing fine
+    without value, are for manual review.
     """
     band = (F.col("above").isNull() | (F.col("amount") > F.col("above"))) & (F.col("upto").isNull() | (F.col("amount") <= F.col("upto")))
     need = facts.join(small(table), band).select("pk", "party", "kind", "due")
-    own = need.join(clauses.select("pk", "party", "kind", "stated"), ["pk", "party", "kind"], "left")
+    counted = F.when(F.col("party") == "customer", "non_value").otherwise(F.col("kind"))
+    own = need.join(clauses.select("pk", "party", counted.alias("kind"), "stated"), ["pk", "party", "kind"], "left")
     best = own.groupBy("pk", "party", "kind", "due").agg(F.max(F.col("stated") == F.col("due")).alias("right"), F.min("stated").alias("least"))
-    text = sections.groupBy("pk").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("_text"))
     number = F.regexp_replace(F.regexp_replace(F.col("due").cast("string"), r"\.?0+$", ""), r"\.", "[.,]")
     number = F.when(F.col("due") == F.floor("due"), F.col("due").cast("bigint").cast("string")).otherwise(number)
     said = F.regexp_like(F.coalesce("_text", F.lit("")), F.concat(F.lit(r"(?:^|[^0-9.,])"), number, F.lit(r"(?:[^0-9.,]|[.,](?:[^0-9]|$)|$)")))
-    both = best.join(text, "pk", "left")
-    origin = F.when(F.col("least").isNotNull(), "clause").when(said, "text").otherwise("none")
-    status = F.when(F.col("right"), "passed").when(F.col("least").isNotNull(), "failed").when(said, "passed").otherwise("manual_review")
-    stated = F.when(F.col("right"), F.col("due")).otherwise(F.col("least"))
-    return both.select("pk", "party", "kind", "due", stated.alias("stated"), origin.alias("origin"), status.alias("status"))
+    both = best.join(_section_texts(sections), "pk", "left")
+    stated, percent = F.col("least").isNotNull(), F.col("kind") == "value"
+    origin = F.when(F.col("right") | (stated & percent), "clause").when(said, "text").when(stated, "clause").otherwise("none")
+    status = (
+        F.when(F.col("right"), "passed").when(percent & stated, "failed").when(said, "passed")
+        .when(percent | ((F.col("party") == "customer") & ~stated), "failed").otherwise("manual_review")
+    )
+    return both.select("pk", "party", "kind", "due", F.when(F.col("right"), F.col("due")).otherwise(F.col("least")).alias("stated"), origin.alias("origin"), status.alias("status"))
+
+
+def _section_texts(sections: DataFrame) -> DataFrame:
+    return sections.groupBy("pk").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("_text"))
+
+
+# Percent for a breach of the duty to subcontract, what marks its text, and how it is written there.
+SUBCONTRACT_PERCENT, SUBCONTRACT_MARKERS = 5, ["смп", "сонко", "соисполн", "субподряд"]
+SUBCONTRACT_TEXT = r"(?<![0-9.,])5(?:[.,]0+)?\s*(?:\([^)]*\)\s*)?(?:%|процент)"
+
+
+def other_penalties(facts: DataFrame, clauses: DataFrame, sections: DataFrame) -> DataFrame:
+    """pk, kind, stated, status of the two penalties that no amount decides. ``facts``: pk, required (subcontracting).
+
+    ``delay``: a clause with the formula passes, without one it is for manual review. ``subcontract``, where it is required:
+    five percent in a clause or in the section text about subcontractors passes, no clause fails, another is for review.
+    """
+    sums = clauses.groupBy("pk").agg(F.count_if(F.col("kind") == "delay").alias("_delay"), F.count_if(F.col("kind") == "subcontract").alias("_sub"), F.max(F.when(F.col("kind") == "subcontract", F.col("stated") == SUBCONTRACT_PERCENT)).alias("_right"), F.min(F.when(F.col("kind") == "subcontract", F.col("stated"))).alias("stated"))
+    both = facts.select("pk", "required").join(sums, "pk", "left").join(_section_texts(sections), "pk", "left")
+    text = low(F.col("_text"))
+    said = any_of(text, SUBCONTRACT_MARKERS) & text.rlike(SUBCONTRACT_TEXT)
+    delay = F.when(F.col("_delay") > 0, "passed").otherwise("manual_review")
+    sub = F.when(~F.coalesce("required", F.lit(False)), "not_applicable").when(F.col("_right") | said, "passed").when(F.coalesce("_sub", F.lit(0)) == 0, "failed").otherwise("manual_review")
+    none = F.lit(None).cast("decimal(18,4)")
+    each = F.explode(F.array(F.struct(F.lit("delay").alias("kind"), none.alias("stated"), delay.alias("status")), F.struct(F.lit("subcontract").alias("kind"), F.col("stated").cast("decimal(18,4)").alias("stated"), sub.alias("status")))).alias("x")
+    return both.select("pk", each).select("pk", "x.*")

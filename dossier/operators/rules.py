@@ -58,6 +58,27 @@ def security_bands(facts: DataFrame, bands: DataFrame) -> DataFrame:
     return both.select("pk", "kind", "amount", "percent", "least", "most", status.alias("status"))
 
 
+def security_check(facts: DataFrame, bands: DataFrame) -> DataFrame:
+    """pk, kind, status of securities with all that decides before the band. ``facts``: pk, kind, amount, percent, method,
+    note (an exception that the plan speaks of), required.
+
+    A single supplier has neither bid nor performance security; an exception is for manual review; what isn't required
+    passes; without an amount, a percent, or the method beside 0 %, it is for manual review. A warranty security has its
+    upper bound only, whatever the method and the amount.
+    """
+    own = bands.withColumnRenamed("kind", "_kind")
+    warranty = F.col("kind") == "warranty"
+    band = (F.col("kind") == F.col("_kind")) & F.when(warranty, F.lit(True)).otherwise(F.col("amount").isNotNull() & within(F.col("amount")))
+    both = facts.join(small(own), band, "left")
+    unclear = F.col("percent").isNull() | (~warranty & (F.col("amount").isNull() | ((F.col("percent") == 0) & F.col("method").isNull())))
+    good = F.when(warranty, F.col("percent") <= F.col("most")).otherwise(F.col("percent").between(F.col("least"), F.col("most")))
+    status = (
+        F.when(~warranty & F.coalesce(F.col("method") == "single_supplier", F.lit(False)), "not_applicable").when(~warranty & F.col("note").isNotNull(), "manual_review")
+        .when(~F.coalesce("required", F.lit(True)), "passed").when(unclear, "manual_review").when(good, "passed").otherwise("failed")
+    )
+    return both.select("pk", "kind", status.alias("status"))
+
+
 def penalty_check(clauses: DataFrame, facts: DataFrame, table: DataFrame) -> DataFrame:
     """Penalties of clauses (pk, party, kind, percent, fixed) against the band of the amount (``facts``: pk, amount).
 

@@ -31,6 +31,21 @@ def security_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.security_bands(facts, op.security_band_table(spark))
 
 
+@query(f"""WITH {PACKAGES}, f AS (SELECT pk, k.kind, CASE WHEN pk % 17 <> 0 THEN amount * 2 END AS amount, CASE WHEN pk % 11 <> 0 THEN (pk % 23) / 2.0 END AS percent, CASE pk % 5 WHEN 0 THEN 'single_supplier' WHEN 1 THEN 'auction' END AS method, pk % 7 = 0 AS noted, CASE WHEN pk % 13 <> 0 THEN pk % 9 <> 0 END AS required FROM packages, (VALUES ('bid'), ('performance'), ('warranty')) k(kind))
+SELECT pk, kind, CASE WHEN kind <> 'warranty' AND coalesce(method = 'single_supplier', false) THEN 'not_applicable' WHEN kind <> 'warranty' AND noted THEN 'manual_review' WHEN required = false THEN 'passed' WHEN percent IS NULL THEN 'manual_review'
+  WHEN kind = 'warranty' THEN CASE WHEN percent <= 10 THEN 'passed' ELSE 'failed' END WHEN amount IS NULL OR (percent = 0 AND method IS NULL) THEN 'manual_review'
+  WHEN kind = 'bid' THEN CASE WHEN percent >= 0.5 AND percent <= CASE WHEN amount <= 20000000 THEN 1 ELSE 5 END THEN 'passed' ELSE 'failed' END
+  ELSE CASE WHEN percent >= CASE WHEN amount <= 50000000 THEN 0.5 ELSE 10 END AND percent <= 30 THEN 'passed' ELSE 'failed' END END AS status FROM f""")
+def security_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Securities with methods, exceptions of the plan, and those that aren't required."""
+    pk = F.col("pk")
+    facts = _facts(spark, sf_dir).select(
+        "pk", F.explode(F.array(F.lit("bid"), F.lit("performance"), F.lit("warranty"))).alias("kind"), F.when(pk % 17 != 0, F.col("amount")).alias("amount"), F.when(pk % 11 != 0, ((pk % 23) / 2).cast("decimal(9,4)")).alias("percent"),
+        F.when(pk % 5 == 0, "single_supplier").when(pk % 5 == 1, "auction").alias("method"), F.when(pk % 7 == 0, "advance").alias("note"), F.when(pk % 13 != 0, pk % 9 != 0).alias("required"),
+    )
+    return op.security_check(facts, op.security_band_table(spark))
+
+
 @query(f"""WITH {PACKAGES}, {ITEMS}, p(above, upto, percent) AS (VALUES {_PERCENTS}), a(above, upto, fixed) AS (VALUES {_AMOUNTS}),
 f AS (SELECT pk, amount * 2 AS amount FROM packages),
 need AS (SELECT pk, amount, 'value' AS need, percent AS due_percent, NULL::BIGINT AS due_fixed FROM f JOIN p ON (above IS NULL OR amount > above) AND (upto IS NULL OR amount <= upto)

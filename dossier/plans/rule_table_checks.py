@@ -254,18 +254,35 @@ _DUE_SQL = ", ".join(f"('{w}', '{k}', {'NULL' if a is None else a}::BIGINT, {'NU
 
 @query(f"""WITH b(party, kind, above, upto, due) AS (VALUES {_DUE_SQL}), f AS (SELECT o_orderkey AS pk, o_custkey AS k, round(o_totalprice * 100)::BIGINT * 40 AS amount FROM orders),
 need AS (SELECT pk, k, party, kind, due FROM f JOIN b ON (above IS NULL OR amount > above) AND (upto IS NULL OR amount <= upto)),
-c AS (SELECT pk, party, kind, CASE WHEN pk % 5 = 0 THEN due + 1 ELSE due END AS stated FROM need WHERE (pk + length(kind) + length(party)) % 3 <> 0),
+c AS (SELECT pk, party, CASE WHEN party = 'customer' AND pk % 2 = 0 THEN 'value' ELSE kind END AS kind, CASE WHEN pk % 5 < 2 THEN due + 1 ELSE due END AS stated FROM need WHERE (pk + length(kind) + length(party)) % 3 <> 0),
 t AS (SELECT pk, CASE WHEN k % 4 = 0 THEN 'Штраф 5000 рублей, пени 0,4 %' WHEN k % 4 = 1 THEN 'Штраф 100000 рублей. 10 процентов.' WHEN k % 4 = 2 THEN 'штраф 150001; 0.45' END AS t FROM f),
-m AS (SELECT need.pk, need.party, need.kind, need.due, stated, CASE WHEN due = floor(due) THEN due::BIGINT::VARCHAR ELSE replace(rtrim(due::VARCHAR, '0'), '.', '[.,]') END AS num FROM need LEFT JOIN c ON c.pk = need.pk AND c.party = need.party AND c.kind = need.kind)
-SELECT m.pk, party, kind, due, stated, CASE WHEN stated IS NOT NULL THEN 'clause' WHEN regexp_matches(coalesce(t, ''), '(?:^|[^0-9.,])' || num || '(?:[^0-9.,]|[.,](?:[^0-9]|$)|$)') THEN 'text' ELSE 'none' END AS origin,
-CASE WHEN stated = due THEN 'passed' WHEN stated IS NOT NULL THEN 'failed' WHEN regexp_matches(coalesce(t, ''), '(?:^|[^0-9.,])' || num || '(?:[^0-9.,]|[.,](?:[^0-9]|$)|$)') THEN 'passed' ELSE 'manual_review' END AS status FROM m JOIN t ON t.pk = m.pk""")
+m AS (SELECT need.pk, need.party, need.kind, need.due, stated, CASE WHEN due = floor(due) THEN due::BIGINT::VARCHAR ELSE replace(rtrim(due::VARCHAR, '0'), '.', '[.,]') END AS num FROM need LEFT JOIN c ON c.pk = need.pk AND c.party = need.party AND (c.party = 'customer' OR c.kind = need.kind)),
+s AS (SELECT m.*, regexp_matches(coalesce(t, ''), '(?:^|[^0-9.,])' || num || '(?:[^0-9.,]|[.,](?:[^0-9]|$)|$)') AS said FROM m JOIN t ON t.pk = m.pk)
+SELECT pk, party, kind, due, stated, CASE WHEN stated = due OR (stated IS NOT NULL AND kind = 'value') THEN 'clause' WHEN said THEN 'text' WHEN stated IS NOT NULL THEN 'clause' ELSE 'none' END AS origin,
+CASE WHEN stated = due THEN 'passed' WHEN stated IS NOT NULL AND kind = 'value' THEN 'failed' WHEN said THEN 'passed' WHEN kind = 'value' THEN 'failed' WHEN party = 'customer' AND stated IS NULL THEN 'failed' ELSE 'manual_review' END AS status FROM s""")
 def penalties_by_party(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts whose clauses state what is due, one more, or nothing, with a text that may say it."""
     dues = spark.createDataFrame([(*row[:4], Decimal(row[4])) for row in _DUES], "party string, kind string, above bigint, upto bigint, due decimal(18,4)")
     f = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pk"), F.col("o_custkey").alias("k"), (F.round(F.col("o_totalprice") * 100).cast("bigint") * 40).alias("amount"))
     none = spark.createDataFrame([], "pk bigint, party string, kind string, stated decimal(18,4)")
     need = op.penalties_by_party(f, none, dues, f.select("pk", F.lit("").alias("text"))).where((F.col("pk") + F.length("kind") + F.length("party")) % 3 != 0)
-    clauses = need.select("pk", "party", "kind", F.when(F.col("pk") % 5 == 0, F.col("due") + 1).otherwise(F.col("due")).cast("decimal(18,4)").alias("stated"))
+    kind = F.when((F.col("party") == "customer") & (F.col("pk") % 2 == 0), "value").otherwise(F.col("kind"))
+    clauses = need.select("pk", "party", kind.alias("kind"), F.when(F.col("pk") % 5 < 2, F.col("due") + 1).otherwise(F.col("due")).cast("decimal(18,4)").alias("stated"))
     n = F.col("k") % 4
     text = F.when(n == 0, "Штраф 5000 рублей, пени 0,4 %").when(n == 1, "Штраф 100000 рублей. 10 процентов.").when(n == 2, "штраф 150001; 0.45")
     return op.penalties_by_party(f, clauses, dues, f.select("pk", text.alias("text")))
+
+
+@query("""WITH f AS (SELECT o_orderkey AS pk, o_custkey AS k, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus <> 'P' END AS required FROM orders),
+c AS (SELECT l_orderkey AS pk, CASE l_suppkey % 4 WHEN 0 THEN 'delay' WHEN 1 THEN 'subcontract' ELSE 'value' END AS kind, CASE WHEN l_linenumber % 2 = 0 THEN 5 ELSE 7 END::DECIMAL(18,4) AS stated FROM lineitem),
+s AS (SELECT pk, count(*) FILTER (kind = 'delay') AS d, count(*) FILTER (kind = 'subcontract') AS n, count(*) FILTER (kind = 'subcontract' AND stated = 5) AS good, min(stated) FILTER (kind = 'subcontract') AS stated FROM c GROUP BY pk)
+SELECT pk, 'delay' AS kind, NULL::DECIMAL(18,4) AS stated, CASE WHEN d > 0 THEN 'passed' ELSE 'manual_review' END AS status FROM f LEFT JOIN s USING (pk)
+UNION ALL SELECT pk, 'subcontract', stated, CASE WHEN NOT coalesce(required, false) THEN 'not_applicable' WHEN good > 0 OR k % 4 = 1 THEN 'passed' WHEN coalesce(n, 0) = 0 THEN 'failed' ELSE 'manual_review' END FROM f LEFT JOIN s USING (pk)""")
+def other_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delay formulas and the percent for missing subcontractors, in clauses or in the text of every fourth customer."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pk"), F.col("o_custkey").alias("k"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus") != "P").alias("required"))
+    n = F.col("l_suppkey") % 4
+    clauses = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pk"), F.when(n == 0, "delay").when(n == 1, "subcontract").otherwise("value").alias("kind"), F.when(F.col("l_linenumber") % 2 == 0, 5).otherwise(7).cast("decimal(18,4)").alias("stated"))
+    k = F.col("k") % 4
+    text = F.when(k == 0, "За непривлечение СМП штраф 15 процентов").when(k == 1, "За непривлечение СОНКО штраф 5 (пять) процентов").when(k == 2, "штраф 5 %")
+    return op.other_penalties(orders, clauses, orders.select("pk", text.alias("text")))

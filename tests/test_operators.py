@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import text as fn
-from dossier.operators import catalogue, compare, findings, match, merge, prices, retrieval, rules, sections, tables
+from dossier.operators import catalogue, compare, findings, match, merge, prices, retrieval, rule_tables, rules, sections, tables
 from dossier.operators.retrieval import bm25_topk
 
 
@@ -189,3 +189,67 @@ def test_packing_is_greedy(spark):
             want.append((k, o, chunk))
     blocks = spark.createDataFrame([(k, o, "x" * n) for k, ns in sizes.items() for o, n in enumerate(ns)], "doc_id long, ord int, text string")
     assert rows(sections.pack_chunks(blocks, 10), "doc_id", "ord", "chunk") == sorted(want)
+
+
+def test_security_check_decides_before_the_band(spark):
+    case = lambda pk, kind, amount, percent, method=None, note=None, required=True: (pk, kind, amount, percent, method, note, required)
+    facts = [
+        case(1, "bid", 100, "0.4", "auction"), case(2, "bid", 100, "1", "auction"), case(3, "bid", 100, "2", "auction"), case(4, "bid", 20_000_001, "2", "auction"), case(5, "bid", 100, "9", "single_supplier"),
+        case(6, "bid", 100, "9", "auction", "penal_system"), case(7, "bid", 100, "9", None, None, False), case(8, "bid", None, "1"), case(9, "bid", 100, None), case(10, "bid", 100, "0"), case(11, "bid", 100, "0", "auction"),
+        case(12, "performance", 50_000_000, "0.5"), case(13, "performance", 50_000_001, "5"), case(14, "warranty", None, "10", "single_supplier", "advance"), case(15, "warranty", None, "10.5"), case(16, "warranty", 1, None), case(17, "warranty", 1, "0"),
+    ]
+    df = spark.createDataFrame([(*f[:3], None if f[3] is None else D(f[3]), *f[4:]) for f in facts], "pk int, kind string, amount bigint, percent decimal(9,4), method string, note string, required boolean")
+    got = {r.pk: r.status for r in rules.security_check(df, rules.security_band_table(spark)).collect()}
+    want = "failed passed failed passed not_applicable manual_review passed manual_review manual_review manual_review failed passed failed passed failed manual_review passed"
+    assert [got[k] for k in range(1, 18)] == want.split()
+
+
+def test_penalties_decide_in_order(spark):
+    """2,000,000 roubles: 10 % of the supplier, 1,000 roubles of the supplier without value and of the customer."""
+    dues = [("supplier", "value", D(10)), ("supplier", "non_value", D(1000)), ("customer", "non_value", D(1000))]
+    table = spark.createDataFrame([(p, k, None, 3_000_000, d) for p, k, d in dues], "party string, kind string, above bigint, upto bigint, due decimal(18,4)")
+    clauses = {
+        1: [("supplier", "value", 10), ("supplier", "non_value", 1000), ("customer", "other", 1000)],
+        2: [("supplier", "value", 5), ("supplier", "non_value", 5000), ("customer", "non_value", 5000)],
+        3: [], 4: [], 5: [("supplier", "value", 5), ("supplier", "non_value", 5000), ("customer", "non_value", 5000)], 6: [("supplier", "value", 5), ("supplier", "value", 10)],
+    }
+    texts = {4: "Штраф 10 процентов, штраф 1000 рублей", 5: "Штраф 10 процентов, штраф 1000 рублей"}
+    facts = spark.createDataFrame([(k, 2_000_000) for k in clauses], "pk int, amount bigint")
+    c = spark.createDataFrame([(k, p, kind, D(x)) for k, each in clauses.items() for p, kind, x in each], "pk int, party string, kind string, stated decimal(18,4)")
+    s = spark.createDataFrame(list(texts.items()), "pk int, text string")
+    got = {(r.pk, r.party, r.kind): r.status for r in rule_tables.penalties_by_party(facts, c, table, s).collect()}
+    of = lambda k: [got[k, p, kind] for p, kind, _ in dues]
+    assert of(1) == ["passed"] * 3
+    assert of(2) == ["failed", "manual_review", "manual_review"]
+    assert of(3) == ["failed", "manual_review", "failed"]
+    assert of(4) == ["passed"] * 3
+    # another percent fails whatever the text says, other fines give way to it
+    assert of(5) == ["failed", "passed", "passed"]
+    assert of(6) == ["passed", "manual_review", "failed"]
+
+
+def test_other_penalties(spark):
+    facts = spark.createDataFrame([(1, True), (2, True), (3, True), (4, True), (5, False), (6, None)], "pk int, required boolean")
+    clauses = spark.createDataFrame([(1, "delay", None), (1, "subcontract", D(5)), (2, "subcontract", D(7))], "pk int, kind string, stated decimal(18,4)")
+    texts = spark.createDataFrame([(3, "за непривлечение СМП штраф 5 (пять) процентов"), (4, "СМП, штраф 15 процентов")], "pk int, text string")
+    got = {(r.pk, r.kind): r.status for r in rule_tables.other_penalties(facts, clauses, texts).collect()}
+    assert [got[k, "subcontract"] for k in range(1, 7)] == ["passed", "manual_review", "passed", "failed", "not_applicable", "not_applicable"]
+    assert [got[k, "delay"] for k in range(1, 4)] == ["passed", "manual_review", "manual_review"]
+
+
+def test_price_columns_end_before_the_minimum(spark):
+    """Headers of two suppliers without names, then the least price and the sum: no third supplier."""
+    head = ["Наименование", "Количество", "Цена за ед.", "Стоимость", "Цена за ед.", "Стоимость", "Минимальная цена за единицу", "Сумма, руб."]
+    for cut, end in ((8, 6), (6, None)):
+        paths = spark.createDataFrame([(1, "t", c, h) for c, h in enumerate(["№ п/п", "Ед. изм.", *head[: cut]])], "doc_id int, table_id string, c int, path string")
+        got = sorted((r.c, r.source, r.measure) for r in rule_tables.supplier_columns(paths).collect())
+        assert got == ([(4, 1, "price"), (5, 1, "total"), (6, 2, "price"), (7, 2, "total")] if end else [])
+
+
+def test_unknown_hint_and_share_in_words(spark):
+    docs = spark.createDataFrame([("коммерческое предложение", "unknown"), ("коммерческое предложение", "plan"), ("коммерческое предложение", None)], "text string, hint string")
+    assert [r.hint_conflict for r in rule_tables.document_types(docs, "text", hint="hint").collect()] == [False, True, False]
+    texts = ["привлечь СМП, 25 процентов", "привлечь СМП, 25 (двадцать пять) %", "привлечь СМП, доля в %", "привлечь СМП, 12,5%"]
+    clauses = spark.createDataFrame([(k, True, t) for k, t in enumerate(texts)], "pk int, required boolean, text string")
+    got = {r.pk: r.status for r in rule_tables.mandatory_clauses(clauses).where("clause = 'duty_with_share'").collect()}
+    assert [got[k] for k in range(4)] == ["passed", "passed", "failed", "passed"]
