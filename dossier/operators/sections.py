@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,21 +84,25 @@ def capped(blocks: DataFrame, budget: int, key: str = "doc_id") -> DataFrame:
 def pack_chunks(blocks: DataFrame, budget: int = 30_000, key: str = "doc_id") -> DataFrame:
     """Blocks put into chunks one after the other, a new chunk where the budget would be passed: key, ord, chunk.
 
-    Greedy packing is sequential, so each document is one group in pandas; only lengths go there, never texts, and the
-    end of each chunk is looked up in their running sum.
+    A block that is larger than the budget has a chunk of its own, with empty ones before it. Greedy packing is sequential
+    in a document, so a fold goes over the lengths of its blocks and keeps where chunks begin; texts never meet, and the
+    places are cut at those beginnings.
     """
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
-        total, begin = group["n"].cumsum().to_numpy(), [0]
-        while (i := begin[-1]) < len(total):
-            used = total[i - 1] if i else 0
-            end = int(total.searchsorted(used + budget, "right"))
-            # a block that is larger than the budget has a chunk of its own, with empty ones before it
-            begin.append(end + 1 if end < len(total) and (end == i or total[end - 1] == used) else end)
-        return pd.DataFrame({key: group[key], "ord": group["ord"], "chunk": [k for k, (a, b) in enumerate(zip(begin, begin[1:])) for _ in range(a, b)]})
-
-    return blocks.select(key, "ord", F.length("text").alias("n")).groupBy(key).applyInPandas(pack, f"{key} long, ord int, chunk int")
+    lengths = F.array_sort(F.collect_list(F.struct("ord", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))))
+    docs = blocks.select(key, "ord", "text").groupBy(key).agg(lengths.alias("blocks"))
+
+    def step(state: Column, block: Column) -> Column:
+        passed = (state["used"] > 0) & (state["used"] + block["n"] > budget)
+        return F.struct(
+            F.when(passed, block["n"]).otherwise(state["used"] + block["n"]).alias("used"), (state["at"] + 1).alias("at"),
+            F.when(passed, F.concat(state["begins"], F.array(state["at"]))).otherwise(state["begins"]).alias("begins"),
+        )
+
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("at"), F.array(F.lit(0)).alias("begins"))
+    begun = docs.select(key, F.transform("blocks", lambda x: x["ord"]).alias("ords"), F.aggregate("blocks", start, step, lambda s: s["begins"]).alias("begins"))
+    ends = F.transform("begins", lambda x, i: F.coalesce(F.get("begins", i + 1), F.size("ords")))
+    cut = F.zip_with("begins", ends, lambda x, end: F.slice("ords", x + 1, end - x))
+    return begun.select(key, F.posexplode(cut).alias("chunk", "_ords")).select(key, F.explode("_ords").alias("ord"), "chunk")
 
 
 def chunk_text(docs: DataFrame, size: int = 300, overlap: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import guards
 from ..operators import rules as op
 from .price_checks import _status
 from .registry import ITEMS, PACKAGES, items, packages, query, table
@@ -132,3 +135,37 @@ def funding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def method_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "pk")
     return op.method_kind(facts, ["o_orderpriority", "o_orderstatus"], [("urgent", "quote"), ("high", "auction"), ("low f", "single")])
+
+
+_ADDRESS = "CASE {0} % 6 WHEN 0 THEN 'г. Москва, ул. Мира, д. 05' WHEN 1 THEN 'город  Москва; улица Мира, дом 5' WHEN 2 THEN 'г. Москва, ул. Мира, д. 6а' WHEN 3 THEN 'Москва, ул. Мира' WHEN 4 THEN 'г. Омск, ул. Мира, д. 5 и д. 6А' END"
+_HOUSES = "CASE {0} % 6 WHEN 0 THEN ['5'] WHEN 1 THEN ['5'] WHEN 2 THEN ['6а'] WHEN 4 THEN ['5', '6а'] END"
+_WAY = "CASE {0} % 5 WHEN 0 THEN 'Электронный аукцион' WHEN 1 THEN 'auction' WHEN 2 THEN 'Электронный магазин' WHEN 3 THEN 'запрос котировок' END"
+_WAY_KIND = "CASE {0} % 5 WHEN 0 THEN 'auction' WHEN 1 THEN 'auction' WHEN 2 THEN 'single_supplier' WHEN 3 THEN 'request_for_quotations' END"
+_GIVEN = ["passed", "failed", "manual_review", "warning"]
+_CHECKS = ["delivery_place", "procurement_method", "warranty", "smp_preferences", "delivery_term", "other"]
+_GUARDED = "SELECT doc_id AS pk, n_chars AS n, doc_id + n_chars // 7 AS m, doc_id * 3 + n_chars // 5 AS k FROM documents"
+
+
+@query(f"""WITH d AS ({_GUARDED}), c AS (SELECT d.*, check_id, [{", ".join(f"'{g}'" for g in _GIVEN)}][((pk + length(check_id)) % 4 + 1)::INTEGER] AS given FROM d, (SELECT unnest([{", ".join(f"'{x}'" for x in _CHECKS)}]) AS check_id)),
+p AS (SELECT *, list_filter([{_HOUSES.format("n")}, {_HOUSES.format("m")}, {_HOUSES.format("k")}], lambda x: x IS NOT NULL) AS h, list_distinct(list_transform(list_filter([n % 6, m % 6, k % 6], lambda x: x <> 5), lambda x: CASE x WHEN 1 THEN 'spelled out' WHEN 3 THEN 'none' WHEN 4 THEN 'omsk' ELSE 'moscow' END)) AS a, list_distinct(list_filter([{_WAY_KIND.format("n")}, {_WAY_KIND.format("m")}, {_WAY_KIND.format("k")}], lambda x: x IS NOT NULL)) AS w FROM c),
+s AS (SELECT pk, check_id, given, CASE check_id
+  WHEN 'delivery_place' THEN CASE WHEN len(h) < 2 THEN given WHEN len(list_filter(h, lambda x: len(list_intersect(x, h[1])) = 0)) > 0 THEN 'failed' WHEN len(a) = 1 AND a[1] <> 'none' THEN 'passed' ELSE given END
+  WHEN 'procurement_method' THEN CASE WHEN len(w) > 1 THEN 'failed' WHEN w[1] IN ('auction', 'single_supplier') THEN 'passed' ELSE given END
+  WHEN 'warranty' THEN CASE WHEN given = 'passed' AND m % 3 <> 0 AND n % 4 <> 1 AND n % 4 <> 3 THEN 'manual_review' ELSE given END
+  WHEN 'smp_preferences' THEN CASE WHEN n % 3 = 2 OR (n % 3 = 0 AND m % 2 = 0) THEN 'warning' ELSE 'passed' END
+  WHEN 'delivery_term' THEN CASE WHEN n % 3 = m % 3 THEN 'passed' ELSE given END ELSE given END AS status FROM p)
+SELECT *, status <> given AS overridden FROM s""")
+def guarded_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of six checks about addresses, methods, warranties, preferences and terms that documents spell differently."""
+    d = spark.sql(_GUARDED.replace(" // ", " div ").replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    check = F.explode(F.array(*map(F.lit, _CHECKS))).alias("check_id")
+    given = F.get(F.array(*map(F.lit, _GIVEN)), ((F.col("pk") + F.length("check_id")) % 4).cast("int"))
+    decisions = d.select("pk", check).withColumn("status", given)
+    field = lambda role, name, sql: d.select("pk", F.lit(role).alias("role"), F.lit(name).alias("field"), F.expr(sql).alias("value"))
+    rows = [field(r, "delivery_place", _ADDRESS.format(x)) for r, x in zip(("plan", "ooz", "contract"), "nmk", strict=True)] + [field(r, "procurement_method", _WAY.format(x)) for r, x in zip(("plan", "request", "explanatory_note"), "nmk", strict=True)]
+    rows += [
+        field("contract", "warranty", "CASE n % 4 WHEN 0 THEN 'Указан в описании' WHEN 1 THEN 'указан в приложении, 12 месяцев' WHEN 3 THEN 'год' END"), field("annex", "warranty", "CASE WHEN m % 3 = 0 THEN 'два года' END"),
+        field("plan", "smp_preference", "CASE n % 3 WHEN 0 THEN 'нет' WHEN 1 THEN 'Установлены' END"), field("plan", "subcontract_required", "CASE WHEN m % 2 = 0 THEN 'да' ELSE 'не требуется' END"),
+        field("ooz", "delivery_term", "concat(n % 3, ' Дней')"), field("contract", "delivery_term", "concat(' ', m % 3, '  дней')"),
+    ]
+    return guards.guard_decisions(decisions, reduce(DataFrame.unionByName, rows))

@@ -253,3 +253,13 @@ def test_unknown_hint_and_share_in_words(spark):
     clauses = spark.createDataFrame([(k, True, t) for k, t in enumerate(texts)], "pk int, required boolean, text string")
     got = {r.pk: r.status for r in rule_tables.mandatory_clauses(clauses).where("clause = 'duty_with_share'").collect()}
     assert [got[k] for k in range(4)] == ["passed", "passed", "failed", "passed"]
+
+
+def test_a_million_blocks_are_packed(spark):
+    """One document of many blocks, with a budget that each thousand meets exactly, and blocks larger than the budget."""
+    blocks = spark.range(1_000_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("ord"), F.lit("x" * 10).alias("text"))
+    got = sections.pack_chunks(blocks, 10_000).groupBy("chunk").agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.max("ord").alias("last")).orderBy("chunk").collect()
+    assert [(r.n, r.first, r.last) for r in got] == [(1000, 1000 * k, 1000 * k + 999) for k in range(1000)]
+    some = spark.createDataFrame([(2, i, "x" * n if n is not None else None) for i, n in enumerate([0, 0, 50, 3, 7, None, 11, 10])], "doc_id long, ord int, text string")
+    assert [r.chunk for r in sections.pack_chunks(some, 10).orderBy("ord").collect()] == [0, 0, 0, 1, 1, 1, 2, 3]
+    assert "Pandas" not in sections.pack_chunks(some, 10)._jdf.queryExecution().executedPlan().toString()
