@@ -201,12 +201,12 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT s_suppkey AS pk, 0 AS offer, s_name AS supplier, CASE WHEN s_acctbal > 0 THEN s_acctbal::VARCHAR END AS bank, CASE WHEN s_nationkey <> 3 THEN 'N' ELSE ' ' END AS country FROM supplier),
-n AS (SELECT l_suppkey AS pk, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 7 <> 0 GROUP BY 1),
+n AS (SELECT CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey END AS pk, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
 m AS (SELECT pk, offer, concat_ws(',', CASE WHEN bank IS NULL THEN 'bank' END, CASE WHEN trim(country) = '' THEN 'country' END) AS missing, coalesce(n, 0) AS n_items FROM o LEFT JOIN n USING (pk))
 SELECT *, concat_ws(',', CASE WHEN missing <> '' THEN 'requisites' END, CASE WHEN n_items = 0 THEN 'no items' END) AS warnings FROM m""")
 def offer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     offers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pk"), F.lit(0).alias("offer"), F.col("s_name").alias("supplier"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("bank"), F.when(F.col("s_nationkey") != 3, "N").otherwise(" ").alias("country"))
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_suppkey % 7 != 0").select(F.col("l_suppkey").alias("pk"), F.lit(0).alias("offer"))
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey")).alias("pk"), F.lit(0).alias("offer"))
     return op.offer_summary(offers, rows, ["supplier", "bank", "country"])
 
 

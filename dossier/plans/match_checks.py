@@ -56,14 +56,14 @@ def item_cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LETTERS = f"""{ITEMS}, s AS (SELECT pk, seq, CASE WHEN seq % 4 <> 0 THEN 'L' || (item % 50) END AS number, CASE WHEN seq % 3 <> 0 THEN day END AS date, total FROM items WHERE role = 'O'),
-o AS (SELECT pk, seq, 'L' || (item % 50) AS number, CASE WHEN seq % 2 = 0 THEN day END AS date, total FROM items WHERE (item + seq) % 5 <> 0)"""
+o AS (SELECT pk, seq, CASE WHEN (item + seq) % 5 <> 0 THEN 'L' || (item % 50) END AS number, CASE WHEN seq % 2 = 0 THEN day END AS date, total FROM items)"""
 
 
 def _letters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = items(spark, sf_dir)
     number = F.concat(F.lit("L"), F.col("item") % 50)
     s = rows.where("role = 'O'").select("pk", "seq", F.when(F.col("seq") % 4 != 0, number).alias("number"), F.when(F.col("seq") % 3 != 0, F.col("day")).alias("date"), "total")
-    o = rows.where("(item + seq) % 5 != 0").select("pk", "seq", number.alias("number"), F.when(F.col("seq") % 2 == 0, F.col("day")).alias("date"), "total")
+    o = rows.select("pk", "seq", F.when((F.col("item") + F.col("seq")) % 5 != 0, number).alias("number"), F.when(F.col("seq") % 2 == 0, F.col("day")).alias("date"), "total")
     return o, s
 
 
@@ -88,7 +88,7 @@ def source_requisites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.compare_source_requisites(op.match_sources(offers, sources), offers, sources)
 
 
-_LOOK = f"""{ITEMS}, {PARTS}, i AS (SELECT pk, seq, CASE WHEN seq % 2 = 0 THEN ktru END AS ktru, code, name FROM items JOIN parts USING (item)), r AS (SELECT item AS ref_id, ktru, code, name FROM parts WHERE item % 3 <> 0)"""
+_LOOK = f"""{ITEMS}, {PARTS}, i AS (SELECT pk, seq, CASE WHEN seq % 2 = 0 THEN ktru END AS ktru, code, name FROM items JOIN parts USING (item)), r AS (SELECT item AS ref_id, CASE WHEN item % 3 <> 0 THEN ktru END AS ktru, CASE WHEN item % 3 <> 0 THEN code END AS code, CASE WHEN item % 3 <> 0 THEN name END AS name FROM parts)"""
 
 
 @query(f"""WITH {_LOOK}, e AS (SELECT pk, seq, min(ref_id) AS ref_id, 0 AS p, 'ktru' AS how FROM i JOIN r ON i.ktru = r.ktru GROUP BY pk, seq HAVING count(*) = 1
@@ -96,7 +96,7 @@ UNION ALL SELECT pk, seq, min(ref_id), 1, 'code+name' FROM i JOIN r ON i.code =
 b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY pk, seq ORDER BY p) = 1) SELECT i.pk, i.seq, ref_id, how FROM i LEFT JOIN b ON b.pk = i.pk AND b.seq = i.seq""")
 def item_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).join(parts(spark, sf_dir), "item").select("pk", "seq", F.when(F.col("seq") % 2 == 0, F.col("ktru")).alias("ktru"), "code", "name")
-    return op.lookup_item(rows, parts(spark, sf_dir).where("item % 3 != 0").select(F.col("item").alias("ref_id"), "ktru", "code", "name"))
+    return op.lookup_item(rows, parts(spark, sf_dir).select(F.col("item").alias("ref_id"), *[F.when(F.col("item") % 3 != 0, F.col(c)).alias(c) for c in ("ktru", "code", "name")]))
 
 
 _ENTRIES = [(1, "red widget", "10.1"), (2, "blue", "20.2"), (3, "bolt", "30.3"), (4, "small ring of steel", "40.4"), (5, "green", "50.5")]
@@ -118,7 +118,7 @@ def link_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.link_codes(w.where("role = 'O'"), w.where("role = 'F'").select("pk", "code", "tokens").distinct())
 
 
-_PREFIX = f"""{PARTS}, c AS (SELECT DISTINCT code FROM parts), r AS (SELECT DISTINCT CASE item % 3 WHEN 0 THEN code WHEN 1 THEN split_part(code, '.', 1) || '.' || split_part(code, '.', 2) ELSE split_part(code, '.', 1) || '.' || left(split_part(code, '.', 2), 1) END AS code FROM parts WHERE size % 4 = 1),
+_PREFIX = f"""{PARTS}, c AS (SELECT DISTINCT code FROM parts), r AS (SELECT DISTINCT CASE WHEN size % 4 <> 1 THEN NULL WHEN item % 3 = 0 THEN code WHEN item % 3 = 1 THEN split_part(code, '.', 1) || '.' || split_part(code, '.', 2) ELSE split_part(code, '.', 1) || '.' || left(split_part(code, '.', 2), 1) END AS code FROM parts),
 d AS (SELECT code, string_split(code, '.') AS p, unnest(generate_series(2, 4)) AS d FROM c), t AS (SELECT code, d, array_to_string(p[1:d - 1], '.') || '.' AS head, p[d] AS last FROM d),
 cand AS (SELECT code, d, 0 AS k, head || last AS candidate FROM t UNION ALL SELECT code, d, k, head || left(last, k) FROM (SELECT *, unnest(generate_series(1, length(last) - 1)) AS k FROM t)),
 known AS (SELECT candidate, min(code) FILTER (code = candidate) AS same, min(code) AS code FROM (SELECT code, array_to_string(string_split(code, '.')[1:n], '.') AS candidate FROM (SELECT code, unnest(generate_series(1, len(string_split(code, '.')))) AS n FROM r)) GROUP BY candidate),
@@ -128,24 +128,22 @@ hit AS (SELECT cand.code, cand.candidate, coalesce(same, known.code) AS ref_code
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = lambda n: F.split_part("code", F.lit("."), F.lit(n))
     code = F.when(F.col("item") % 3 == 0, F.col("code")).when(F.col("item") % 3 == 1, F.concat_ws(".", seg(1), seg(2))).otherwise(F.concat_ws(".", seg(1), F.substring(seg(2), 1, 1)))
-    return parts(spark, sf_dir).where("size % 4 = 1").select(code.alias("code")).distinct()
+    return parts(spark, sf_dir).select(F.when(F.col("size") % 4 == 1, code).alias("code")).distinct()
 
 
 @query(f"WITH {_PREFIX} SELECT c.code, candidate, ref_code, exact FROM c LEFT JOIN hit ON hit.code = c.code")
 def prefix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quarter of the sizes makes up a reference list of codes of several depths."""
+    """Of the sizes a quarter has reference codes, of several depths."""
     return op.prefix_lookup(parts(spark, sf_dir).select("code"), _reference(spark, sf_dir))
 
 
-@query(f"""WITH {_PREFIX}, need AS (SELECT DISTINCT size AS pk, parts.code, hit.code IS NOT NULL AS due FROM parts LEFT JOIN hit ON hit.code = parts.code), f AS (SELECT size AS pk, code, name AS label, CASE WHEN item % 4 <> 0 THEN brand ELSE ' ' END AS value FROM parts WHERE item % 5 <> 0
-  UNION ALL SELECT size, '00.00', name, brand FROM parts WHERE item % 50 = 0),
+@query(f"""WITH {_PREFIX}, need AS (SELECT DISTINCT size AS pk, parts.code, hit.code IS NOT NULL AS due FROM parts LEFT JOIN hit ON hit.code = parts.code), f AS (SELECT size AS pk, CASE WHEN item % 5 <> 0 THEN code ELSE '00.00' END AS code, name AS label, CASE WHEN item % 4 <> 0 THEN brand ELSE ' ' END AS value FROM parts),
 k AS (SELECT coalesce(need.pk, f.pk) AS pk, coalesce(need.code, f.code) AS code, CASE WHEN due IS NULL THEN 'unscoped' WHEN due AND f.pk IS NULL THEN 'missing' WHEN due AND coalesce(trim(value), '') = '' THEN 'label_only' WHEN due THEN 'present' WHEN f.pk IS NOT NULL AND coalesce(trim(value), '') <> '' THEN 'unexpected' ELSE 'not_due' END AS kind FROM need FULL JOIN f ON need.pk = f.pk AND need.code = f.code)
 SELECT *, CASE WHEN kind IN ('missing', 'label_only', 'unexpected') THEN 'failed' WHEN kind = 'unscoped' THEN 'warning' WHEN kind = 'present' THEN 'passed' ELSE 'not_applicable' END AS status FROM k""")
 def regime_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir).withColumn("pk", F.col("size"))
-    fields = p.where("item % 5 != 0").select("pk", "code", F.col("name").alias("label"), F.when(F.col("item") % 4 != 0, F.col("brand")).otherwise(" ").alias("value"))
-    stray = p.where("item % 50 = 0").select("pk", F.lit("00.00").alias("code"), F.col("name").alias("label"), F.col("brand").alias("value"))
-    return cat.regime_check(p.select("pk", "code"), fields.unionByName(stray), _reference(spark, sf_dir))
+    fields = p.select("pk", F.when(F.col("item") % 5 != 0, F.col("code")).otherwise("00.00").alias("code"), F.col("name").alias("label"), F.when(F.col("item") % 4 != 0, F.col("brand")).otherwise(" ").alias("value"))
+    return cat.regime_check(p.select("pk", "code"), fields, _reference(spark, sf_dir))
 
 
 @query()
@@ -158,7 +156,7 @@ def best_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DECIDE = """d AS (SELECT doc_id AS pk, 'q' AS key, doc_id % 3 AS candidate_id FROM labels UNION ALL SELECT doc_id, 'q', 7 FROM labels WHERE toxic = 1), r AS (SELECT doc_id AS pk, 'q' AS key, source FROM documents WHERE n_chars > 500),
-c AS (SELECT doc_id AS pk, source, doc_id % 3 AS candidate_id, lang = 'en' AS supported FROM documents WHERE doc_id % 4 <> 0)"""
+c AS (SELECT doc_id AS pk, source, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 3 END AS candidate_id, lang = 'en' AS supported FROM documents)"""
 
 
 @query(f"""WITH {_DECIDE}, j AS (SELECT d.pk, d.key, d.candidate_id, r.source, count(*) OVER (PARTITION BY d.pk, d.key) AS n FROM (SELECT DISTINCT * FROM d) d LEFT JOIN r ON d.pk = r.pk AND d.key = r.key)
@@ -170,7 +168,7 @@ def decision_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = labels.select(F.col("doc_id").alias("pk"), F.lit("q").alias("key"), (F.col("doc_id") % 3).alias("candidate_id"))
     d = d.unionByName(labels.where("toxic = 1").select(F.col("doc_id").alias("pk"), F.lit("q").alias("key"), F.lit(7).cast("bigint").alias("candidate_id")))
     r = docs.where("n_chars > 500").select(F.col("doc_id").alias("pk"), F.lit("q").alias("key"), "source")
-    c = docs.where("doc_id % 4 != 0").select(F.col("doc_id").alias("pk"), "source", (F.col("doc_id") % 3).alias("candidate_id"), (F.col("lang") == "en").alias("supported"))
+    c = docs.select(F.col("doc_id").alias("pk"), "source", F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 3).alias("candidate_id"), (F.col("lang") == "en").alias("supported"))
     return op.validate_decisions(d, r, c)
 
 
@@ -187,12 +185,12 @@ def offer_row_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check(ref.join(b.select("pk", "okpd2", "qty", "unit", "price", (F.col("price") * F.col("qty")).alias("total")), ["pk", "okpd2"]))
 
 
-@query(f"""WITH {ITEMS}, {PARTS}, c AS (SELECT pk, seq, ktru AS code, CASE WHEN seq % 5 = 0 THEN ' ' WHEN seq % 3 = 0 THEN upper(name) ELSE name || CASE WHEN seq % 7 = 0 THEN ' x' ELSE '' END END AS name FROM items JOIN parts USING (item)), k AS (SELECT ktru AS code, name AS c_name, DATE '1995-01-01' + (item % 3000)::INTEGER AS end_date FROM parts WHERE size % 6 <> 0)
+@query(f"""WITH {ITEMS}, {PARTS}, c AS (SELECT pk, seq, ktru AS code, CASE WHEN seq % 5 = 0 THEN ' ' WHEN seq % 3 = 0 THEN upper(name) ELSE name || CASE WHEN seq % 7 = 0 THEN ' x' ELSE '' END END AS name FROM items JOIN parts USING (item)), k AS (SELECT CASE WHEN size % 6 <> 0 THEN ktru END AS code, name AS c_name, DATE '1995-01-01' + (item % 3000)::INTEGER AS end_date FROM parts)
 SELECT pk, seq, c.code, CASE WHEN k.code IS NULL THEN 'not_found' WHEN end_date <= DATE '1998-06-01' THEN 'excluded' WHEN trim(name) = '' THEN 'unnamed' WHEN lower(trim(name)) = c_name THEN 'name_equal' ELSE 'name_differs' END AS kind FROM c LEFT JOIN k USING (code)""")
 def catalogue_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("seq") % 5 == 0, " ").when(F.col("seq") % 3 == 0, F.upper("name")).otherwise(F.concat("name", F.when(F.col("seq") % 7 == 0, " x").otherwise("")))
     codes = items(spark, sf_dir).join(parts(spark, sf_dir), "item").select("pk", "seq", F.col("ktru").alias("code"), name.alias("name"))
-    known = parts(spark, sf_dir).where("size % 6 != 0").select(F.col("ktru").alias("code"), "name", F.date_add(F.lit("1995-01-01").cast("date"), (F.col("item") % 3000).cast("int")).alias("end_date"))
+    known = parts(spark, sf_dir).select(F.when(F.col("size") % 6 != 0, F.col("ktru")).alias("code"), "name", F.date_add(F.lit("1995-01-01").cast("date"), (F.col("item") % 3000).cast("int")).alias("end_date"))
     return cat.catalogue_status(codes, known, F.lit("1998-06-01").cast("date"))
 
 
@@ -249,7 +247,7 @@ def plan_code_for_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ITEMS}, {PARTS}, r AS (SELECT pk, seq, seq AS row_no, name AS name_norm, code, kind AS char, count(*) OVER (PARTITION BY pk) AS n FROM items JOIN parts USING (item)),
-j AS (SELECT pk, seq AS j, CASE WHEN seq % 4 = 1 THEN seq + 1 END AS row_no, 'about ' || name AS name_norm, CASE WHEN seq % 3 = 0 THEN code END AS code, [lower(kind)] AS chars FROM items JOIN parts USING (item) WHERE role = 'F' AND size % 2 = 0
+j AS (SELECT pk, seq AS j, CASE WHEN seq % 4 = 1 THEN seq + 1 END AS row_no, 'about ' || name AS name_norm, CASE WHEN seq % 3 = 0 THEN code END AS code, [lower(kind)] AS chars FROM items JOIN parts USING (item) WHERE role = 'F'
  UNION ALL SELECT pk, 100, NULL, 'nothing', NULL, ['PROMO'] FROM items WHERE seq = 1),
 m AS (SELECT j.pk, j.j, r.seq, CASE WHEN j.row_no = r.row_no THEN 1 WHEN r.name_norm <> '' AND contains(j.name_norm, r.name_norm) THEN 2 WHEN j.code = r.code THEN 3 WHEN list_contains(chars, r.char) THEN 4 WHEN n = 1 THEN 5 END AS way FROM j JOIN r ON j.pk = r.pk),
 b AS (SELECT * FROM m WHERE way IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pk, j ORDER BY way, seq) = 1)
@@ -257,7 +255,7 @@ SELECT j.pk, j.j, b.seq, b.way, CASE WHEN b.seq IS NULL THEN 'partial' ELSE 'pas
 def link_justifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = items(spark, sf_dir).join(parts(spark, sf_dir), "item")
     rows = w.select("pk", "seq", F.col("seq").alias("row_no"), F.col("name").alias("name_norm"), "code", F.col("kind").alias("char"))
-    just = w.where("role = 'F' and size % 2 = 0").select("pk", F.col("seq").alias("j"), F.when(F.col("seq") % 4 == 1, F.col("seq") + 1).alias("row_no"), F.concat(F.lit("about "), F.col("name")).alias("name_norm"), F.when(F.col("seq") % 3 == 0, F.col("code")).alias("code"), F.array(F.lower("kind")).alias("chars"))
+    just = w.where("role = 'F'").select("pk", F.col("seq").alias("j"), F.when(F.col("seq") % 4 == 1, F.col("seq") + 1).alias("row_no"), F.concat(F.lit("about "), F.col("name")).alias("name_norm"), F.when(F.col("seq") % 3 == 0, F.col("code")).alias("code"), F.array(F.lower("kind")).alias("chars"))
     more = w.where("seq = 1").select("pk", F.lit(100).alias("j"), F.lit(None).cast("int").alias("row_no"), F.lit("nothing").alias("name_norm"), F.lit(None).cast("string").alias("code"), F.array(F.lit("PROMO")).alias("chars"))
     return cat.link_justifications(just.unionByName(more), rows)
 

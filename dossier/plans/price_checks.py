@@ -84,13 +84,13 @@ def stage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PRICES}, e AS (SELECT pk, count(DISTINCT source) AS n_expected, min(price) AS declared FROM prices GROUP BY pk),
-l AS (SELECT pk, min(price) AS least, count(DISTINCT source) AS n_matched FROM prices WHERE source % 5 <> 0 GROUP BY pk)
+l AS (SELECT pk, min(price) AS least, count(DISTINCT source) AS n_matched FROM (SELECT pk, source, CASE WHEN source % 5 <> 0 THEN price END AS price FROM prices) WHERE price IS NOT NULL GROUP BY pk)
 SELECT pk, n_expected, declared, least, coalesce(n_matched, 0) AS n_matched, {_status("coalesce(n_matched, 0) >= n_expected", "least = declared")} AS status FROM e LEFT JOIN l USING (pk)""")
 def min_over_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fifth source has no matched offer."""
     got = prices(spark, sf_dir)
     expected = got.groupBy("pk").agg(F.countDistinct("source").alias("n_expected"), F.min("price").alias("declared"))
-    return op.min_over_offers(got.where("source % 5 != 0"), expected)
+    return op.min_over_offers(got.withColumn("price", F.when(F.col("source") % 5 != 0, F.col("price"))), expected)
 
 
 @query(f"""WITH {PRICES}, f AS (SELECT pk, source % 4 AS source, min_by(price, seq) AS price FROM (SELECT pk, source, seq, price FROM prices) GROUP BY ALL)

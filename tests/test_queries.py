@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from dossier import catalog
 
 SF = "/root/testdata/sf0.001"
-FEW = ["price_variation", "vat_check", "security_bands", "code_set_compare", "prefix_lookup", "char_validation", "header_paths", "clauses", "bm25_topk", "merge_findings", "duplicate_uploads", "money", "document_types", "header_rules", "table_business_types", "mandatory_clauses", "security_exceptions", "vector_topk", "link_justifications", "dense_cells", "assemble_context", "start_events", "table_complexity", "named_codes", "similar_named_codes", "cited_cells", "fill_gaps_cascade", "metrics_stream", "discovered_files", "json_index", "item_cascade_match", "supplier_columns", "penalties_by_party", "pack_chunks", "table_type", "clause_checklist"]
+FEW = ["price_variation", "vat_check", "security_bands", "code_set_compare", "prefix_lookup", "char_validation", "header_paths", "clauses", "bm25_topk", "merge_findings", "duplicate_uploads", "money", "document_types", "header_rules", "table_business_types", "mandatory_clauses", "security_exceptions", "vector_topk", "link_justifications", "dense_cells", "assemble_context", "start_events", "table_complexity", "named_codes", "similar_named_codes", "cited_cells", "fill_gaps_cascade", "metrics_stream", "discovered_files", "json_index", "item_cascade_match", "supplier_columns", "penalties_by_party", "pack_chunks", "table_type", "clause_checklist", "full_audit", "facts_by_type", "arriving_packages", "offer_text_rows", "offer_requisites", "security_checks", "other_penalties", "guarded_decisions", "code_by_name", "mandatory_clauses"]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
