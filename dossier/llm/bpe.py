@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import Slice, binaries, lists, slices, spread
-from .shared import removed, small_batches, written
+from .shared import plain_names, removed, small_batches, written
 
 #: Distinct words (the most frequent) that are folded once and broadcast.
 WORDS = 1 << 17
@@ -363,8 +363,9 @@ def encode(docs: DataFrame, path: str, most: int = WORDS, carry: list[str] | Non
     shared = spark.sparkContext.broadcast((table, Merges(ranks)))
     del known, word, ids, table
     pa.default_memory_pool().release_unused()
-    fields = [c for c in (docs.columns if carry is None else carry) if c != "ids"]
-    kept = docs.select(*dict.fromkeys([*fields, "text"]))
+    names, plain = [c for c in (docs.columns if carry is None else carry) if c != "ids"], plain_names(docs)
+    fields = [dict(zip(docs.columns, plain.columns, strict=True))[c] for c in names]
+    kept = plain.select(*dict.fromkeys([*fields, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, merges = shared.value
@@ -383,8 +384,8 @@ def encode(docs: DataFrame, path: str, most: int = WORDS, carry: list[str] | Non
                 rows = batch.slice(piece.lo, len(piece))
                 yield pa.record_batch({n: rows[n] for n in fields} | {"ids": lists(ids, first, pa.int32())})
 
-    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in fields)
-    return kept.mapInArrow(run, f"{schema}, ids array<int>")
+    schema = ", ".join(f"`{n}` {plain.schema[n].dataType.simpleString()}" for n in fields)
+    return kept.mapInArrow(run, f"{schema}, ids array<int>").toDF(*names, "ids")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

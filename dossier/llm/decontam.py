@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import NOT_ALNUM, Slice, Spans, lists, slices, texts
-from .shared import ddl, free_names, small_batches, written
+from .shared import ddl, free_names, plain_names, small_batches, written
 
 WIDTH = 10
 #: Benchmark text that is turned into one broadcast set.
@@ -184,5 +184,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, rem
 
     A text that consists of hit words alone goes in either case; n_chars follows the text where there is such a column.
     """
-    out = _passes(docs, benchmark, width, block_bytes, free_names(docs, "n_words", "hits", "items"), remove)
+    plain = plain_names(docs)
+    out = _passes(plain, benchmark, width, block_bytes, free_names(plain, "n_words", "hits", "items"), remove).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ODD, SPACE, Slice, binaries, lists, mix, slices, texts
-from .shared import ddl, free_names, removed, small_batches, written
+from .shared import ddl, free_names, plain_names, removed, small_batches, written
 
 WINDOW = 2
 
@@ -133,7 +133,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its own columns only, without the repeated lines in text."""
-    return _deduped(docs, free_names(docs, "n_lines", "n_dropped")).select(*docs.columns)
+    plain = plain_names(docs)
+    return _deduped(plain, free_names(plain, "n_lines", "n_dropped")).select(*plain.columns).toDF(*docs.columns)
 
 
 def _deduped(docs: DataFrame, names: list[str]) -> DataFrame:

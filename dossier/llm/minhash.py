@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .kernels import ODD, SPACE, Slice, lists, mix, slices
-from .shared import removed, small_batches, written
+from .shared import plain_names, removed, small_batches, written
 
 COORDINATES = 64
 #: Chance that a pair exactly at the similarity shares fewer coordinates than the threshold.
@@ -217,5 +217,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those that have a near-duplicate of lower id in their component."""
-    gone = near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    plain = plain_names(docs)
+    gone = near_duplicates(plain, width, percent).where("not kept").select("doc_id").distinct()
+    return plain.join(gone, "doc_id", "left_anti").select(*plain.columns).toDF(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import byte_table, slices
-from .shared import removed, small_batches, written
+from .shared import plain_names, removed, small_batches, written
 
 #: Kinds in the order of the results.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -289,7 +289,8 @@ def redact(docs: DataFrame) -> DataFrame:
                 texts.append("".join(parts) + text[last:] if each else text)
             yield pa.record_batch({n: pa.array(texts, pa.string()) if n == "text" else batch[n] for n in batch.schema.names})
 
-    out = docs.mapInArrow(run, docs.schema)
+    plain = plain_names(docs)
+    out = plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ODD, SPACE, Slice, U, byte_table, mix, slices
-from .shared import ddl, free_names, small_batches
+from .shared import ddl, free_names, plain_names, small_batches
 
 #: At most so many labelled documents are fitted and calibrated on (those with the smallest hash of their id).
 SAMPLE_ROWS = 2000
@@ -237,5 +237,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
-    names = free_names(docs, *RESULTS)
-    return _scored(docs, fit(docs, labels), KEEP_FROM, names).where(F.col(names[-1])).select(*docs.columns)
+    plain = plain_names(docs)
+    names = free_names(plain, *RESULTS)
+    return _scored(plain, fit(plain, labels), KEEP_FROM, names).where(F.col(names[-1])).select(*plain.columns).toDF(*docs.columns)

@@ -48,17 +48,18 @@ class TokenRollup:
         sums.write.mode("overwrite").parquet(f"{self.path}/batch={int(batch)}")
 
     def _rows(self) -> DataFrame:
-        return self.spark.read.schema(SUMS + ", batch int").option("basePath", self.path).parquet(self.path)
+        """The sums of all batches; none before the first commit."""
+        try:
+            return self.spark.read.schema(SUMS + ", batch int").option("basePath", self.path).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], SUMS + ", batch int")
 
     def _compacted(self) -> int | float:
         """The id up to which batches are summed into one, below all ids if none are."""
         if self._floor is None:
-            try:
-                found = self._rows().where("compacted").agg(F.max("batch")).first()[0]
-            except AnalysisException as e:
-                if e.getCondition() != "PATH_NOT_FOUND":  # nothing is committed yet
-                    raise
-                found = None
+            found = self._rows().where("compacted").agg(F.max("batch")).first()[0]
             self._floor = float("-inf") if found is None else found
         return self._floor
 
