@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.shared import small
+from ..sources.shared import small, written
 
 K1, B = 1.5, 0.75
 #: Query vectors are broadcast so many at a time, and weighed query terms up to so many.
@@ -18,23 +18,23 @@ QUERY_ROWS, TERM_ROWS = 10_000, 1_000_000
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, keys: list[str]) -> DataFrame:
     """The k best chunks of each query (query_id, text). Tokens are lower-cased parts between white space.
 
-    k1 = 1.5, b = 0.75, idf = ln((N - df + 0.5) / (df + 0.5) + 1). Only chunks that share a token are met. The chunks are
-    dealt once, by their keys; terms are counted, weighed (the terms of the queries are broadcast up to TERM_ROWS) and
-    summed where a chunk lies, and each task keeps its own best, so neither a frequent term nor the pairs of chunks and
-    queries are shuffled. Equal scores go by the keys.
+    k1 = 1.5, b = 0.75, idf = ln((N - df + 0.5) / (df + 0.5) + 1). Only chunks that share a token are met. One pass
+    counts chunks and their tokens, one writes the postings of the terms that are asked for (broadcast up to TERM_ROWS),
+    from which document frequencies and scores follow; texts are never shuffled. Postings are counted where a chunk lies
+    and dealt by chunks, so a frequent term is no hot key. Equal scores go by the keys. A null text has no tokens.
     """
     tokens = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    docs = chunks.select(*keys, "text").repartition(*keys).select(*keys, tokens("text").alias("t")).withColumn("n", F.size("t"))
-    total = docs.agg(F.count("*").alias("n_all"), F.avg("n").alias("avg"))
+    docs = chunks.select(*keys, tokens("text").alias("t")).withColumn("n", F.size("t"))
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    few = asked.limit(TERM_ROWS + 1).count() <= TERM_ROWS
-    small = F.broadcast if few else lambda x: x
+    asked = written(asked, "asked")
     terms = asked.select("term").distinct()
-    posts = docs.select(*keys, "n", F.explode("t").alias("term")).join(small(terms), "term").groupBy("term", *keys, "n").agg(F.count("*").alias("tf"))
+    n_all, mean = docs.agg(F.count("*"), F.avg("n")).first()
+    posts = docs.select(*keys, "n", F.explode("t").alias("term")).join(small(terms, TERM_ROWS), "term").groupBy(*keys, "n", "term").agg(F.count("*").alias("tf"))
+    posts = written(posts, "postings")
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = asked.join(df, "term").crossJoin(F.broadcast(total)).select("term", "query_id", "avg", (F.col("qf") * idf).alias("w"))
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg")))
+    idf = F.log((F.lit(n_all) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weights = asked.join(df, "term").select("term", "query_id", (F.col("qf") * idf).alias("w"))
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(mean or 1.0)))
     scores = posts.join(small(weights), "term").groupBy("query_id", *keys).agg(F.round(F.sum(part), 6).alias("score"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), *keys))
     return scores.withColumn("place", place).where(F.col("place") <= k)
