@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import audit as op
-from .registry import ITEMS, PARTS, items, parts, query, table
+from ..sources.shared import written
+from .registry import ITEMS, PARTS, item_parts, items, parts, query, table
 
 _ROLES = "CASE source % 7 WHEN 0 THEN 'plan' WHEN 1 THEN 'request' WHEN 2 THEN 'onmck' WHEN 3 THEN 'contract' WHEN 4 THEN 'ooz' WHEN 5 THEN 'explanatory_note' ELSE 'commercial_offer' END"
 _SIDE = "CASE WHEN flag = 'A' THEN 'plan' WHEN flag = 'R' THEN 'contract' ELSE 'onmck' END"
@@ -115,7 +116,7 @@ _DUCK_FACTS = ",\n".join(f"{name} AS ({sql})" for name, sql in _FACTS.items())
 
 def facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(packages, fact tables) of the given tables."""
-    lines = items(spark, sf_dir).join(parts(spark, sf_dir), "item")
+    lines = written(item_parts(spark, sf_dir, "name", "brand", "kind", "size", "code"), "audit-lines")
     o = spark.sql(_ORDERS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
     bind = lambda sql: spark.sql(sql.replace(" FROM i", " FROM {i}").replace(" FROM o", " FROM {o}"), **{k: v for k, v in {"i": lines, "o": o}.items() if f" FROM {k}" in sql})
     return bind(_PACKAGES), {name: bind(sql) for name, sql in _FACTS.items()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare as op
 from .price_checks import _status
-from .registry import ITEMS, PACKAGES, PARTS, items, packages, parts, query, table
+from .registry import ITEMS, PACKAGES, PARTS, item_parts, items, packages, parts, query, table
 
 
 @query(f"""WITH {ITEMS} SELECT pk, role, seq, item FROM items QUALIFY row_number() OVER (PARTITION BY pk, role ORDER BY qty DESC, seq) = 1""")
@@ -36,7 +36,7 @@ _CODES = f"""{ITEMS}, {PARTS}, codes AS (SELECT pk, role, CASE WHEN seq % 3 = 0
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).join(parts(spark, sf_dir), "item").select("pk", "role", F.when(F.col("seq") % 3 == 0, F.col("ktru")).otherwise(F.col("code")).alias("code"))
+    return item_parts(spark, sf_dir).select("pk", "role", F.when(F.col("seq") % 3 == 0, F.col("ktru")).otherwise(F.col("code")).alias("code"))
 
 
 @query(f"""WITH {_CODES}, w AS (SELECT pk, item, ktru, code, seq FROM items JOIN parts USING (item)),
@@ -49,7 +49,7 @@ SELECT pk, 'contract' AS role, len(list_filter(required, lambda c: list_contains
   array_to_string(list_filter(codes, lambda c: NOT list_contains(required, c)), ',') AS additional FROM j)""")
 def code_set_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan has the first three lines, the contract those from the second on, half of them by their short code."""
-    w = items(spark, sf_dir).join(parts(spark, sf_dir), "item")
+    w = item_parts(spark, sf_dir)
     plan = w.where("seq <= 3").select("pk", F.lit("plan").alias("role"), F.col("ktru").alias("code"))
     contract = w.where("seq >= 2").select("pk", F.lit("contract").alias("role"), F.when(F.col("seq") % 2 == 0, F.col("code")).otherwise(F.col("ktru")).alias("code"))
     return op.compare_codes(plan.unionByName(contract), "plan")
@@ -60,14 +60,14 @@ s AS (SELECT pk, coalesce(list(DISTINCT code) FILTER (kind = 'explicit'), []) AS
 SELECT pk, len(list_distinct(e || d))::INTEGER AS n_all, array_to_string(list_sort(list_filter(x, lambda c: list_contains(d, c) AND NOT list_contains(e, c))), ',') AS derived_only FROM s""")
 def code_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("flag") == "A", "explicit").when(F.col("flag") == "R", "derived").otherwise("expected")
-    return op.code_sets(items(spark, sf_dir).join(parts(spark, sf_dir), "item").select("pk", "code", kind.alias("kind")))
+    return op.code_sets(item_parts(spark, sf_dir).select("pk", "code", kind.alias("kind")))
 
 
 @query(f"""WITH {_CODES}, c AS (SELECT DISTINCT pk, code FROM items JOIN parts USING (item)), e AS (SELECT DISTINCT pk, CASE WHEN seq % 2 = 0 THEN code ELSE split_part(code, '.', 1) END AS e FROM items JOIN parts USING (item) WHERE flag = 'N')
 SELECT pk, code FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.pk = c.pk AND (e.e = c.code OR starts_with(c.code, e.e || '.')))""")
 def unexpected_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of open lines explain themselves and, by their first segment, their children."""
-    w = items(spark, sf_dir).join(parts(spark, sf_dir), "item")
+    w = item_parts(spark, sf_dir, "code")
     explained = w.where("flag = 'N'").select("pk", F.when(F.col("seq") % 2 == 0, F.col("code")).otherwise(F.split_part("code", F.lit("."), F.lit(1))).alias("code")).distinct()
     return op.unexpected_codes(w.select("pk", "code"), explained)
 
@@ -94,13 +94,13 @@ SELECT pk, key, n_docs, n_known, low, high, {_status("n_known = n_docs", "low =
 def item_value_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities of one kind of item across the documents of a package."""
     key = F.when(F.col("size") % 5 != 0, F.col("kind"))
-    rows = items(spark, sf_dir).join(parts(spark, sf_dir), "item").select("pk", F.col("flag").alias("role"), key.alias("key"), F.when(F.col("qty") > 3, F.col("qty")).alias("v"))
+    rows = item_parts(spark, sf_dir).select("pk", F.col("flag").alias("role"), key.alias("key"), F.when(F.col("qty") > 3, F.col("qty")).alias("v"))
     return op.compare_item_values(rows, "v")
 
 
 @query(f"""WITH {ITEMS}, {PARTS} SELECT pk, code, string_agg(DISTINCT name, '; ' ORDER BY name) AS names, sum(qty)::BIGINT AS qty FROM (SELECT pk, split_part(code, '.', 1) AS code, name, qty FROM items JOIN parts USING (item)) GROUP BY ALL""")
 def names_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir).join(parts(spark, sf_dir), "item").select("pk", F.split_part("code", F.lit("."), F.lit(1)).alias("code"), "name", "qty")
+    rows = item_parts(spark, sf_dir).select("pk", F.split_part("code", F.lit("."), F.lit(1)).alias("code"), "name", "qty")
     return op.names_by_code(rows)
 
 
@@ -156,7 +156,7 @@ def dedupe_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ITEMS}, {PARTS} SELECT pk, kind, code, flag, seq FROM (SELECT pk, kind, code, flag, seq FROM items JOIN parts USING (item)) QUALIFY row_number() OVER (PARTITION BY pk, kind, flag ORDER BY seq) = 1""")
 def dedupe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir).join(parts(spark, sf_dir), "item").select("pk", "kind", "code", "flag", "seq")
+    rows = item_parts(spark, sf_dir).select("pk", "kind", "code", "flag", "seq")
     return op.dedupe_rows(rows, ["pk", "kind", "flag"], ["seq"])
 
 
@@ -181,14 +181,14 @@ titled AS (SELECT pk, seq, f FROM (SELECT *, row_number() OVER (PARTITION BY pk,
 UNION ALL SELECT pk, 'listed', seq, 'missing' FROM la WHERE (pk, seq) NOT IN (SELECT (pk, seq) FROM titled) UNION ALL SELECT pk, 'file', seq, 'extra' FROM lb WHERE (pk, seq) NOT IN (SELECT (pk, f) FROM titled)""")
 def attachment_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open lines are listed attachments, shipped ones files; a quarter has no type. One shared token is enough here."""
-    rows = items(spark, sf_dir).join(parts(spark, sf_dir), "item").select("pk", "seq", "role", F.when(F.col("size") % 4 != 0, F.col("kind")).alias("kind"), F.split("name", " ").alias("tokens"))
+    rows = item_parts(spark, sf_dir).select("pk", "seq", "role", F.when(F.col("size") % 4 != 0, F.col("kind")).alias("kind"), F.split("name", " ").alias("tokens"))
     return op.reconcile_attachments(rows.where("role = 'O'"), rows.where("role = 'F'"), 1)
 
 
 @query(f"""WITH {ITEMS}, {PARTS}, k AS (SELECT pk, role, kind FROM items JOIN parts USING (item)) SELECT r.pk, r.kind, CASE WHEN p.pk IS NULL THEN 'failed' ELSE 'passed' END AS status
 FROM (SELECT DISTINCT pk, kind FROM k WHERE role = 'O') r LEFT JOIN (SELECT DISTINCT pk, kind FROM k WHERE role = 'F') p ON r.pk = p.pk AND r.kind = p.kind""")
 def contract_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir).join(parts(spark, sf_dir), "item")
+    rows = item_parts(spark, sf_dir)
     return op.contract_attachments(rows.where("role = 'O'"), rows.where("role = 'F'"))
 
 

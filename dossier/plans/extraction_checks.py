@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extraction as op
 from ..operators import facts, tables
-from .registry import ITEMS, PARTS, items, parts, query, table
+from .registry import ITEMS, PARTS, item_parts, items, parts, query, table
 from .rule_checks import _NORM
 from .table_checks import _BLOCKS, _GRID, _blocks, _cells, _headers, _lines
 
@@ -43,7 +43,7 @@ SELECT * FROM n WHERE NOT contains(title, 'green') QUALIFY row_number() OVER (PA
 def attachment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The names of the parts of a package are the titles of its attachments."""
     line = F.concat(F.lit("Приложение № "), F.col("seq"), F.lit(" – "), F.col("name"))
-    texts = items(spark, sf_dir).join(parts(spark, sf_dir), "item").groupBy("pk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("t")))), lambda x: x["t"]), "; ").alias("text"))
+    texts = item_parts(spark, sf_dir).groupBy("pk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("t")))), lambda x: x["t"]), "; ").alias("text"))
     return op.attachment_rows(texts, ["green"], "pk")
 
 
@@ -67,7 +67,7 @@ def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ITEMS}, {PARTS}, e AS (SELECT pk, kind AS item, seq, name AS text, 'table' AS origin FROM items JOIN parts USING (item) WHERE flag = 'A' UNION ALL SELECT pk, kind, seq, CASE WHEN seq % 4 = 0 THEN ' ' ELSE upper(name) || '.' END, 'text' FROM items JOIN parts USING (item) WHERE flag <> 'A')
 SELECT * FROM e WHERE {_NORM("text")} <> '' QUALIFY row_number() OVER (PARTITION BY pk, item, {_NORM("text")} ORDER BY origin, seq) = 1""")
 def justification_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = items(spark, sf_dir).join(parts(spark, sf_dir).withColumnRenamed("kind", "k"), "item")
+    w = item_parts(spark, sf_dir).withColumnRenamed("kind", "k")
     tabled = w.where("flag = 'A'").select("pk", F.col("k").alias("item"), "seq", F.col("name").alias("text"))
     texts = w.where("flag != 'A'").select("pk", F.col("k").alias("item"), "seq", F.when(F.col("seq") % 4 == 0, " ").otherwise(F.concat(F.upper("name"), F.lit("."))).alias("text"))
     return op.justifications(tabled, texts)
@@ -78,7 +78,7 @@ def offers_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fifth line is prose."""
     money = lambda c: F.replace((c / 100).cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
     line = F.concat_ws(" ", F.concat("seq", F.lit(".")), "name", F.lit("шт."), "qty", money(F.col("total")), money(F.col("total") * 2))
-    blocks = items(spark, sf_dir).join(parts(spark, sf_dir), "item").select(F.col("pk").alias("doc_id"), F.col("seq").alias("ord"), F.when(F.col("seq") % 5 != 0, line).otherwise(F.concat(F.lit("итого "), F.col("name"))).alias("text"))
+    blocks = item_parts(spark, sf_dir).select(F.col("pk").alias("doc_id"), F.col("seq").alias("ord"), F.when(F.col("seq") % 5 != 0, line).otherwise(F.concat(F.lit("итого "), F.col("name"))).alias("text"))
     return op.offers_from_text(blocks)
 
 
@@ -143,7 +143,7 @@ def facts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _offer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An offer for each package: a header, items over five to eight lines, prose between, the sum and a term."""
-    w = items(spark, sf_dir).join(parts(spark, sf_dir), "item")
+    w = item_parts(spark, sf_dir)
     money = lambda c: F.replace((c / 100).cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
     name = F.concat_ws("\n", F.substring_index("name", " ", 2), F.regexp_extract("name", r"^\S+ \S+ ?(.*)$", 1))
     note = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("№ реестровой  записи "), F.col("item"))).when(F.col("seq") % 3 == 1, F.concat(F.lit("Товарный знак "), F.col("brand")))

@@ -165,10 +165,10 @@ def metrics_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PRICES} SELECT pk, n_prices, cv, {_status("cv IS NOT NULL", "cv < 33")} AS status FROM (SELECT pk, count(*) AS n_prices, round(CASE WHEN count(*) >= 2 AND avg(price) <> 0 THEN stddev_samp(price) / avg(price) * 100 END, 4) AS cv FROM prices GROUP BY pk)""")
 def incremental_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices arrive as a stream of files, whole packages in each, and are checked batch by batch."""
+    """Prices arrive as a stream of files, whole packages in each, and are checked batch by batch. A task writes the packages dealt to it."""
     box = shared_path(spark, "incremental")
     got = prices(spark, sf_dir)
-    got.withColumn("part", F.col("pk") % 3).repartition("part").write.partitionBy("part").parquet(f"{box}/in")
+    got.withColumn("part", F.col("pk") % 3).write.partitionBy("part").parquet(f"{box}/in")
     stream = jobs.read_packages(spark, f"{box}/in", got.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
     jobs.incremental_audit(stream, price_op.price_variation, f"{box}/out", f"{box}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{box}/out").select("pk", "n_prices", "cv", "status")
