@@ -16,6 +16,8 @@ QUERY_ROWS, TERM_ROWS = 10_000, 1_000_000
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, keys: list[str]) -> DataFrame:
+#: A task sums the scores of about so many pairs of a chunk and a query, in up to so many tasks.
+PAIR_ROWS, TASKS = 2_000_000, 20_000
     """The k best chunks of each query (query_id, text). Tokens are lower-cased parts between white space.
 
     k1 = 1.5, b = 0.75, idf = ln((N - df + 0.5) / (df + 0.5) + 1). Only chunks that share a token are met. The chunks are
@@ -24,8 +26,10 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, keys: list[str]) ->
     queries are shuffled. Equal scores go by the keys.
     """
     tokens = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    docs = chunks.select(*keys, "text").repartition(*keys).select(*keys, tokens("text").alias("t")).withColumn("n", F.size("t"))
+    docs = chunks.select(*keys, "text").repartition(*([tasks] if tasks > session else []), *keys).select(*keys, tokens("text").alias("t")).withColumn("n", F.size("t"))
     total = docs.agg(F.count("*").alias("n_all"), F.avg("n").alias("avg"))
+    session = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(TASKS, -(-chunks.count() * queries.count() // PAIR_ROWS))
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     few = asked.limit(TERM_ROWS + 1).count() <= TERM_ROWS
     small = F.broadcast if few else lambda x: x
