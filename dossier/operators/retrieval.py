@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,23 +16,23 @@ from ..sources.shared import small
 K1, B = 1.5, 0.75
 #: Query vectors are broadcast so many at a time, and weighed query terms up to so many.
 QUERY_ROWS, TERM_ROWS = 10_000, 1_000_000
+#: A task sums the scores of about so many pairs of a chunk and a query, in up to so many tasks.
+PAIR_ROWS, TASKS = 2_000_000, 20_000
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, keys: list[str]) -> DataFrame:
-#: A task sums the scores of about so many pairs of a chunk and a query, in up to so many tasks.
-PAIR_ROWS, TASKS = 2_000_000, 20_000
     """The k best chunks of each query (query_id, text). Tokens are lower-cased parts between white space.
 
     k1 = 1.5, b = 0.75, idf = ln((N - df + 0.5) / (df + 0.5) + 1). Only chunks that share a token are met. The chunks are
     dealt once, by their keys; terms are counted, weighed (the terms of the queries are broadcast up to TERM_ROWS) and
     summed where a chunk lies, and each task keeps its own best, so neither a frequent term nor the pairs of chunks and
-    queries are shuffled. Equal scores go by the keys.
+    queries are shuffled. There are as many tasks as keep those pairs in memory. Equal scores go by the keys.
     """
+    session = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(TASKS, -(-chunks.count() * queries.count() // PAIR_ROWS))
     tokens = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     docs = chunks.select(*keys, "text").repartition(*([tasks] if tasks > session else []), *keys).select(*keys, tokens("text").alias("t")).withColumn("n", F.size("t"))
     total = docs.agg(F.count("*").alias("n_all"), F.avg("n").alias("avg"))
-    session = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = min(TASKS, -(-chunks.count() * queries.count() // PAIR_ROWS))
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     few = asked.limit(TERM_ROWS + 1).count() <= TERM_ROWS
     small = F.broadcast if few else lambda x: x
@@ -52,21 +55,73 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, decimals: int = 6) -> DataFrame:
     """The k nearest vectors (vec_id, embedding) of each query by cosine, without itself; ties by id.
 
-    The queries are a stated set, broadcast in blocks of some QUERY_ROWS; every vector is compared with each of them, and
-    each task keeps its own best before the shuffle.
+    The queries are a stated set, taken in blocks of some QUERY_ROWS; every vector is compared with each of them, as a
+    product of matrices in batches of rows, and each task keeps its own best before the shuffle. Vectors that are null, of
+    another length than most queries of the block, with null or non-finite components or without a direction are compared
+    by columns.
     """
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
     blocks = max(1, -(-q.count() // QUERY_ROWS))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    ids = vectors.schema["vec_id"].dataType.simpleString()
+
+    def plain(c: str, size: int) -> Column:
+        finite = F.forall(c, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < 1e100), F.lit(False)))
+        return F.coalesce((F.size(c) == size) & finite & F.exists(c, lambda x: F.abs(x) > 1e-100), F.lit(False))
+
+    def compared(left: DataFrame, right: DataFrame) -> DataFrame:
+        met = left.join(F.broadcast(right), F.col("vec_id") != F.col("query_id"))
+        return met.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("_q")), decimals).alias("score"))
 
     def nearest(block: int) -> DataFrame:
         own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        met = vectors.join(F.broadcast(own), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("_q")), decimals).alias("score"))
+        size = own.groupBy(F.size("_q").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
+        size = size[0]["n"] if size else 0
+        rows = own.where(plain("_q", size)).where("query_id is not null").collect()
+        fit = plain("embedding", size)
+        met = compared(vectors, own.where(~plain("_q", size))).unionByName(compared(vectors.where(~fit), own.where(plain("_q", size))))
+        if rows:
+            task = _nearest_in_task(np.array([r["query_id"] for r in rows]), np.array([r["_q"] for r in rows], np.float64), k, decimals)
+            met = met.unionByName(vectors.where(fit).where("vec_id is not null").select("vec_id", "embedding").mapInPandas(task, f"query_id {ids}, vec_id {ids}, score double"))
         return met.withColumn("place", place).where(F.col("place") <= k)
 
     return reduce(DataFrame.unionByName, map(nearest, range(blocks)))
 
 
+def _nearest_in_task(ids: np.ndarray, asked: np.ndarray, k: int, decimals: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The k best rows of a task for each query, of equal scores those of the least ids."""
+    asked = asked / np.sqrt((asked * asked).sum(1))[:, None]
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score, found = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            x = np.array(batch["embedding"].tolist(), np.float64).reshape(-1, asked.shape[1])
+            own = batch["vec_id"].to_numpy()
+            x /= np.sqrt((x * x).sum(1))[:, None]
+            for at in range(0, len(x), 2048):
+                s = np.round(asked @ x[at : at + 2048].T, decimals) + 0.0
+                part = own[at : at + 2048]
+                s[ids[:, None] == part[None, :]] = -np.inf
+                score = np.concatenate((score, s), 1)
+                found = np.concatenate((found, np.broadcast_to(part, s.shape)), 1)
+                best = np.lexsort((found, -score))[:, :k] if score.shape[1] <= 64 else _best(score, found, k)
+                score, found = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
+        row, col = np.nonzero(score > -np.inf)
+        yield pd.DataFrame({"query_id": ids[row], "vec_id": found[row, col], "score": score[row, col]})
+
+    return task
+
+
+def _best(score: np.ndarray, found: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row: those above the k-th score, and of the ones equal to it the least ids."""
+    edge = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+    out = np.empty((len(score), k), np.int64)
+    for i, (s, e) in enumerate(zip(score, edge, strict=True)):
+        at = np.flatnonzero(s >= e)
+        out[i] = at[np.lexsort((found[i, at], -s[at]))[:k]]
+    return out
+
+
 def assemble_context(hits: DataFrame, source: str, text: str = "text") -> DataFrame:
     """One text for each query: its hits in order, each under its source."""
     part = F.concat(F.lit("[source="), F.col(source).cast("string"), F.lit("]\n"), F.col(text))
