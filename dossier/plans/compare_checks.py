@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare as op
 from .price_checks import _status
-from .registry import ITEMS, PACKAGES, PARTS, item_parts, items, packages, parts, query, table
+from .registry import ITEMS, PACKAGES, PARTS, dealt, item_parts, items, packages, parts, query, table
 
 
 @query(f"""WITH {ITEMS} SELECT pk, role, seq, item FROM items QUALIFY row_number() OVER (PARTITION BY pk, role ORDER BY qty DESC, seq) = 1""")
@@ -85,7 +85,8 @@ def amount_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fourth package has the same amount in all its documents."""
     orders = packages(spark, sf_dir).select("pk", "amount")
     sums = items(spark, sf_dir).join(orders, "pk").groupBy("pk", "role").agg(F.when(F.col("pk") % 4 == 0, F.max("amount")).otherwise(F.sum("total")).alias("amount"))
-    return op.compare_amounts(orders.select("pk", F.lit("plan").alias("role"), "amount").unionByName(sums))
+    facts = orders.select("pk", F.lit("plan").alias("role"), "amount").unionByName(sums)
+    return op.compare_amounts(dealt(facts, "pk", table(spark, sf_dir, "lineitem").count()))
 
 
 @query(f"""WITH {ITEMS}, {PARTS}, k AS (SELECT pk, flag AS role, CASE WHEN size % 5 = 0 THEN NULL ELSE kind END AS key, CASE WHEN qty > 3 THEN qty END AS v FROM items JOIN parts USING (item)),

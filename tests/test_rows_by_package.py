@@ -21,3 +21,11 @@ def test_tables_of_several_slices_are_dealt_whatever_the_session_has(spark, monk
     monkeypatch.setattr(registry, "SLICE_ROWS", 3000)
     assert registry.sliced(spark, 3000) is None and registry.sliced(spark, 3001) == spark.sparkContext.defaultParallelism
     assert registry.sliced(spark, 3000 * 50) == 50
+
+
+def test_amounts_of_dealt_lines_are_grouped_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(registry, "SLICE_ROWS", 500)
+    got = compare_checks.amount_equality(spark, SF)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert got.count() == 1500 and plan.count("RepartitionByExpression") == 0
+    assert got.rdd.getNumPartitions() >= 12
