@@ -56,9 +56,17 @@ def code_sets(codes: DataFrame) -> DataFrame:
 
 
 def unexpected_codes(codes: DataFrame, explained: DataFrame) -> DataFrame:
-    """Codes of a field that no explained code equals or is a parent of. Both: pk, code."""
-    parents = explained.select("pk", "code").union(codes.join(explained.select("pk", F.col("code").alias("e")), "pk").where(F.startswith(F.col("code"), F.concat(F.col("e"), F.lit(".")))).select("pk", "code"))
-    return codes.select("pk", "code").distinct().join(parents.distinct(), ["pk", "code"], "left_anti")
+    """Codes of a field that no explained code equals or is a parent of. Both: pk, code.
+
+    A code is looked for among the explained ones with each of its parents (its text before a point), so the codes of a
+    package don't meet one another.
+    """
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("code", r"\."))), lambda n: F.call_function("substring_index", F.col("code"), F.lit("."), n))
+    asked = codes.select("pk", "code").distinct().select("pk", "code", F.explode_outer(above).alias("_e"), F.lit(False).alias("_known"))
+    known = explained.where("pk is not null and code is not null").select("pk", F.lit(None).cast("string").alias("code"), F.col("code").alias("_e"), F.lit(True).alias("_known"))
+    # one window in place of a join by package and code: rows that lie by package stay where they are
+    met = asked.unionByName(known).withColumn("_met", F.bool_or("_known").over(W.partitionBy("pk", "_e"))).where("not _known")
+    return met.groupBy("pk", "code").agg(F.bool_or("_met").alias("_met")).where("not _met").drop("_met")
 
 
 def similar_codes(codes: DataFrame, others: DataFrame) -> DataFrame:

@@ -23,6 +23,14 @@ def test_tables_of_several_slices_are_dealt_whatever_the_session_has(spark, monk
     assert registry.sliced(spark, 3000 * 50) == 50
 
 
+def test_unexpected_codes_of_dealt_rows(spark):
+    codes = spark.createDataFrame([(1, "01.02.03"), (1, "01.02.03"), (1, "01.20"), (1, None), (2, "01.02"), (None, "01"), (3, "5."), (3, ".5"), (4, "7..8")], "pk int, code string").repartition(7, "pk")
+    explained = spark.createDataFrame([(1, "01.02"), (1, None), (2, "01.0"), (None, "01"), (3, ""), (4, "7.")], "pk int, code string").repartition(7, "pk")
+    got = compare.unexpected_codes(codes, explained)
+    assert {(r.pk, r.code) for r in got.collect()} == {(1, "01.20"), (1, None), (2, "01.02"), (None, "01"), (3, "5.")}
+    assert not shuffles(got, "pk")
+
+
 def test_amounts_of_dealt_lines_are_grouped_in_slices(spark, monkeypatch):
     monkeypatch.setattr(registry, "SLICE_ROWS", 500)
     got = compare_checks.amount_equality(spark, SF)
