@@ -28,27 +28,32 @@ def fill_gaps_cascade(primary: DataFrame, secondary: DataFrame, ways: list[list[
 
     ``ways`` are lists of columns, tried in turn (row number, then name with quantity and unit): a pair counts if all are
     filled and equal and no other row of either side has them. What is left then is paired by its place. Rows that no way
-    pairs are appended. how: number of the way, 0 for the place, null without a partner.
+    pairs are appended. how: number of the way, 0 for the place, null without a partner. key and order name one row of a side.
     """
     columns = list(dict.fromkeys([*fields, *(c for way in ways for c in way)]))
-    a = primary.select(key, F.col(order).alias("_a"), *columns)
-    b = secondary.select(key, F.col(order).alias("_b"), *[F.col(c).alias(f"_{c}") for c in columns])
-    pairs = None
-
-    def rest(df: DataFrame, at: str) -> DataFrame:
-        return df if pairs is None else df.join(pairs.select(key, at), [key, at], "left_anti")
-
+    side = lambda df, first: df.select(key, F.lit(first).alias("_first"), F.col(order).alias("_at"), *columns)
+    rows = side(primary, True).unionByName(side(secondary, False))
+    own = F.struct("_at", *fields)
+    rows = rows.select("*", F.lit(None).cast(rows.select(own.alias("o")).schema["o"].dataType).alias("_with"), F.lit(None).cast("int").alias("how"))
+    # both sides lie in one table, and the rows of a key that may stand for each other in one window: no pass is joined back
     for number, way in enumerate(ways, 1):
-        only = lambda df, at, names: df.where(reduce(lambda x, y: x & y, [~blank(F.col(c)) for c in names])).groupBy(key, *[F.col(c).alias(w) for c, w in zip(names, way, strict=True)]).agg(F.count("*").alias("n"), F.min(at).alias(at)).where("n = 1").drop("n")  # noqa: B023, E731
-        met = only(rest(a, "_a"), "_a", way).join(only(rest(b, "_b"), "_b", [f"_{c}" for c in way]), [key, *way]).select(key, "_a", "_b", F.lit(number).alias("how"))
-        pairs = met if pairs is None else pairs.unionByName(met)
-    place = lambda at: F.row_number().over(W.partitionBy(key).orderBy(at)).alias("n")
-    left, right = rest(a, "_a").select(key, "_a", place("_a")), rest(b, "_b").select(key, "_b", place("_b"))
-    pairs = pairs.unionByName(left.join(right, [key, "n"]).select(key, "_a", "_b", F.lit(0).alias("how")))
-    both = a.join(pairs, [key, "_a"], "left").join(b, [key, "_b"], "left")
-    filled = both.select(key, F.lit("primary").alias("origin"), F.col("_a").alias(order), *[F.when(~blank(F.col(f)), F.col(f)).otherwise(F.col(f"_{f}")).alias(f) for f in fields], "how")
-    more = rest(b, "_b").select(key, F.lit("secondary").alias("origin"), F.col("_b").alias(order), *[F.col(f"_{f}").alias(f) for f in fields], F.lit(None).cast("int").alias("how"))
-    return filled.unionByName(more)
+        asks = reduce(lambda x, y: x & y, [F.col("how").isNull(), F.col(key).isNotNull(), *[~blank(F.col(c)) for c in way]])
+        rows = _paired(rows.withColumn("_asks", asks), [key, *way], own, number)
+    place = F.row_number().over(W.partitionBy(key, "_first", F.col("how").isNull()).orderBy("_at"))
+    rows = rows.withColumn("_place", place).withColumn("_asks", F.col("how").isNull() & F.col(key).isNotNull())
+    rows = _paired(rows, [key, "_place"], own, 0).where("_first or how is null")
+    filled = [F.when(~blank(F.col(f)) | ~F.col("_first"), F.col(f)).otherwise(F.col(f"_with.{f}")).alias(f) for f in fields]
+    return rows.select(key, F.when(F.col("_first"), "primary").otherwise("secondary").alias("origin"), F.col("_at").alias(order), *filled, "how")
+
+
+def _paired(rows: DataFrame, group: list[str], own: Column, number: int) -> DataFrame:
+    """``rows`` with _with (the fields of the partner) and how (the number) where one row of each side asks in a group."""
+    w, asks, first = W.partitionBy(*group), F.col("_asks"), F.col("_first")
+    n = lambda c: F.count_if(asks & c).over(w)
+    seen = rows.select("*", n(first).alias("_l"), n(~first).alias("_r"), *[F.max(F.when(asks & c, own)).over(w).alias(a) for a, c in (("_a", first), ("_b", ~first))])
+    hit = asks & (F.col("_l") == 1) & (F.col("_r") == 1)
+    partner = F.when(first, F.col("_b")).otherwise(F.col("_a"))
+    return seen.withColumn("_with", F.when(hit, partner).otherwise(F.col("_with"))).withColumn("how", F.when(hit, F.lit(number)).otherwise(F.col("how"))).select(rows.columns)
 
 
 def merge_chunks(parts: DataFrame, key: str, order: str, scalars: list[str], lists: list[str]) -> DataFrame:

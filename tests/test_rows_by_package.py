@@ -37,3 +37,15 @@ def test_amounts_of_dealt_lines_are_grouped_in_slices(spark, monkeypatch):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert got.count() == 1500 and plan.count("RepartitionByExpression") == 0
     assert got.rdd.getNumPartitions() >= 12
+
+
+def test_gaps_are_filled_in_windows_of_one_table(spark):
+    cols = "pk int, seq int, no int, name string, qty int, total long"
+    a = spark.createDataFrame([(1, 1, 1, "", 1, None), (1, 2, 2, "x", 1, 5), (1, 3, 2, "y", 2, None), (1, 4, None, " ", 1, None), (2, 1, 1, "q", 1, None), (None, 1, 1, "n", 1, None)], cols).repartition(7, "pk")
+    b = spark.createDataFrame([(1, 1, 1, "one", 1, 10), (1, 2, None, "y", 2, 20), (1, 3, 9, "z", 1, 30), (1, 4, 8, "w", 1, 40), (1, 5, 7, "v", 1, 50), (None, 1, 1, "n", 1, 60)], cols).repartition(7, "pk")
+    got = merge.fill_gaps_cascade(a, b, [["no"], ["name", "qty"]], "pk", "seq", ["name", "total"])
+    assert {tuple(r) for r in got.collect()} == {
+        (1, "primary", 1, "one", 10, 1), (1, "primary", 2, "x", 5, 0), (1, "primary", 3, "y", 20, 2), (1, "primary", 4, "w", 40, 0), (2, "primary", 1, "q", None, None), (None, "primary", 1, "n", None, None),
+        (1, "secondary", 5, "v", 50, None), (None, "secondary", 1, "n", 60, None),
+    }
+    assert not shuffles(got, "pk")
