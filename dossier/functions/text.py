@@ -118,14 +118,20 @@ def extract_dates(c: Column) -> Column:
     """All dates in reading order: dd.mm.yyyy, yyyy-mm-dd and 'd month yyyy'. Dates that don't exist are left out."""
     month = "|".join(MONTHS)
     found = F.regexp_extract_all(c, F.lit(rf"\d{{2}}\.\d{{2}}\.\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}} (?:{month}) \d{{4}}"), F.lit(0))
+    # the last day of each month in a leap year; a date that can't be is dropped before it is read, as a reader that fails is slow
+    days = F.array(*[F.lit(n) for n in (31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)])
 
-    def parsed(x: Column) -> Column:
-        word = F.regexp_extract(x, rf"({month})", 1)
+    def plain(x: Column) -> Column:
+        word = F.substring_index(F.substring_index(x, " ", 2), " ", -1)
         number = F.lpad(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), word).cast("string"), 2, "0")
-        spelled = F.concat_ws("-", F.substring(x, -4, 4), number, F.lpad(F.regexp_extract(x, r"^(\d{1,2})", 1), 2, "0"))
-        return F.coalesce(F.try_to_date(x, "dd.MM.yyyy"), F.try_to_date(x, "yyyy-MM-dd"), F.when(word != "", F.try_to_date(spelled, "yyyy-MM-dd")))
+        spelled = F.concat_ws("-", F.substring(x, -4, 4), number, F.lpad(F.substring_index(x, " ", 1), 2, "0"))
+        pointed = F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 4, 2), F.substring(x, 1, 2))
+        return F.when(F.substring(x, 3, 1) == ".", pointed).when(F.substring(x, 5, 1) == "-", x).otherwise(spelled)
 
-    return F.array_compact(F.transform(found, parsed))
+    def exists(x: Column) -> Column:
+        return F.substring(x, 9, 2).cast("int").between(1, F.coalesce(F.get(days, F.substring(x, 6, 2).cast("int") - 1), F.lit(0)))
+
+    return F.array_compact(F.transform(F.filter(F.transform(found, plain), exists), lambda x: x.try_cast("date")))
 
 
 def parse_term(c: Column) -> Column:

@@ -17,6 +17,15 @@ def shuffles(df, name):
     return [line for line in plan.splitlines() if "Exchange hashpartitioning(" + name in line and "REPARTITION_BY_NUM" not in line]
 
 
+def test_dates_are_read_without_a_reader_that_fails(spark):
+    t = "29.02.2023 29.02.2024 2024-13-01 2024-04-31 1 мая 2024 31 июня 2024 30.06.0000 00.01.2024 31.12.9999"
+    got = spark.createDataFrame([(t,), ("",), (None,)], "t string").select(fn.extract_dates(F.col("t")).cast("array<string>").alias("d"))
+    assert [r.d for r in got.collect()] == [["2024-02-29", "2024-05-01", "0000-06-30", "9999-12-31"], [], None]
+    assert "gettimestamp" not in got._jdf.queryExecution().optimizedPlan().toString()
+    one = spark.createDataFrame([("05.06.2024",)], "t string").select(fn.extract_dates(F.col("t")).alias("d")).first()
+    assert one.d == [dt.date(2024, 6, 5)]
+
+
 def test_tables_of_several_slices_are_dealt_whatever_the_session_has(spark, monkeypatch):
     monkeypatch.setattr(registry, "SLICE_ROWS", 3000)
     assert registry.sliced(spark, 3000) is None and registry.sliced(spark, 3001) == spark.sparkContext.defaultParallelism
