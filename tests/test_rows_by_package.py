@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import text as fn
 from dossier.operators import compare, merge
-from dossier.plans import compare_checks, registry
+from dossier.plans import compare_checks, match_checks, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +58,12 @@ def test_gaps_are_filled_in_windows_of_one_table(spark):
         (1, "secondary", 5, "v", 50, None), (None, "secondary", 1, "n", 60, None),
     }
     assert not shuffles(got, "pk")
+
+
+def test_sides_of_sliced_lines_are_numbered_once(spark, monkeypatch):
+    whole = match_checks._sides(spark, SF)
+    monkeypatch.setattr(registry, "SLICE_ROWS", 500)
+    for want, got in zip(whole, match_checks._sides(spark, SF), strict=True):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number" not in plan and "Join" not in plan
+        assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
