@@ -438,6 +438,40 @@ def test_slices_in_earlier_documents_hide_no_passage(spark):
     assert {(r.doc_id, r.first_id) for r in got} == want
 
 
+def test_near_passages_behind_slices_are_found(spark):
+    """Earlier documents hold 12-word slices of a passage that two later ones have with one word changed."""
+    number = iter(range(10**6))
+    fresh = lambda n: [f"n{next(number)}" for _ in range(n)]
+    rows, want = [], set()
+    for g in range(40):
+        passage, base = fresh(60), 100 * g
+        rows += [(base + k, fresh(40) + passage[12 * k : 12 * k + 12] + fresh(40)) for k in range(5)]
+        near = passage[:24] + ["changed"] + passage[25:]
+        rows += [(base + 50, fresh(30) + passage + fresh(20)), (base + 51, fresh(10) + near + fresh(50))]
+        want.add((base + 51, base + 50))
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_id) for r in got} == want
+
+
+def test_near_passages_behind_a_common_fragment_are_found(spark):
+    """A fragment of 40 words that many texts share is no passage, and hides none around it, nor are its texts compared."""
+    number = iter(range(10**6))
+    fresh = lambda n: [f"n{next(number)}" for _ in range(n)]
+    line = fresh(40)
+    rows = [(i, fresh(30) + line + fresh(30)) for i in range(80)]
+    passage = fresh(10) + line + fresh(20)
+    near = passage[:60] + ["changed"] + passage[61:]
+    rows += [(100, fresh(20) + passage + fresh(20)), (200, fresh(30) + near + fresh(20))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    for few in (2, 32):
+        assert {(r.doc_id, r.first_id) for r in passages.repeated_passages(docs, few=few).collect()} == {(200, 100)}
+    lists = spark.createDataFrame([(i, [(1, 30)]) for i, _ in rows], "doc_id long, posts array<struct<key: long, at: int>>").selectExpr("doc_id", "inline(posts)")
+    left = lists.where("doc_id > 0").selectExpr("key as t", "doc_id", "key", "at", "at as begin", "82L as n")
+    met = lists.selectExpr("key as t", "doc_id", "key", "at", "82L as n")
+    pairs = passages.meetings(left, met, lists.selectExpr("*", "82L as n"), docs, 12, 46, 80, 32)
+    assert {(r.doc_id, r.first_id) for r in pairs.collect()} == {(200, 100)}
+
+
 def test_passages_against_brute_force(spark):
     """Every word of an exact repeat of 50 words of an earlier document lies in a reported passage, and nothing else does."""
     random.seed(12)
