@@ -411,6 +411,12 @@ def test_passage_with_a_long_insertion_is_one():
     assert passage_found(passage[:45] + [f"far{i}" for i in range(60)] + passage[45:], passage) == []
 
 
+def test_passage_may_be_shorter_in_the_first_text():
+    passage = [f"p{i}" for i in range(49)]
+    longer = passage[:39] + ["new"] + passage[39:]
+    assert passage_found(longer + [f"a{i}" for i in range(30)], passage + [f"b{i}" for i in range(30)]) == [(0, 50, 0, 49)]
+
+
 def test_fragments_in_first_documents_hide_no_passage(spark):
     rows, pairs = [], set()
     for g in range(20):
