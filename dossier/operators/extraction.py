@@ -96,6 +96,12 @@ OFFER_SUPPLIER = r"""(?iu)(?<![\p{L}\p{N}_])(ООО[\s\u00a0]+(?:«[^»]+»|"[^"
 OFFER_TERM = r"(?imu)^\s*Срок\s+(?:поставки|оказания|выполнения)[^:\r\n]*:\s*([^\r\n]+)"
 REGISTRY_NOTE = r"(?iu)№\s*реестровой\s+записи\s+\d+"
 TRADEMARK = r"(?iu)товарный\s+знак\s+(.+)$"
+# Where the text of an offer is cut: before the number of an item, before its unit if four lines follow, at the sum. What
+# isn't a letter in lower case doesn't count in a unit; the last two have a lower case among a-z.
+_REST = r"[^a-zA-Zа-яА-ЯёЁ\u212a\u0130\n]*+"
+_ITEM = r"\n(?=\d++\.\d++[\u0085\u2028\u2029]?(?:\n|\z))"
+_UNIT = r"(\n" + _REST + "(?:" + "|".join("".join(("[еЕёЁ]" if c == "е" else f"[{c}{c.upper()}]") + _REST for c in w) + r"(?=\n)" for w in UNIT_LINES) + r")(?:\n[^\n]++){4})"
+_SUM = r"\n" + OFFER_SUM.replace(r"\s+", " ") + "(?s:.*)"
 
 
 def offer_requisites(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -118,24 +124,27 @@ def offer_text_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     unit, with fewer lines after it or with one that is no number is left out. Texts are cut where they lie: only the
     items of a document become rows. A null text has none.
     """
-    clean = F.transform(F.split(F.translate("text", "\u00a0", " "), r"\r\n|[\n\r\x0b\x0c]"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    lines = docs.select(key, F.filter(clean, lambda x: x != "").alias("lines"))
-    at = F.when(F.size("lines") > 0, F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(r"^\d+\.\d+$")))
-    marked = lines.select(key, "lines", at.alias("marks"))
-    end = lambda j: F.coalesce(F.get("marks", j + 1), F.size("lines"))
-    cut = F.transform("marks", lambda m, j: F.struct(j.alias("ord"), F.get("lines", m).alias("row_number"), F.slice("lines", m + 2, end(j) - m - 1).alias("body"), (j == F.size("marks") - 1).alias("last")))
-    rows = marked.select(key, F.explode(cut).alias("s")).select(key, "s.*")
-    stop = F.array_position(F.transform("body", lambda x: F.col("last") & x.rlike("^" + OFFER_SUM)), True)
-    rows = rows.select(key, "ord", "row_number", F.when(stop > 0, F.slice("body", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("body")).alias("body"))
-    letters = lambda x: F.regexp_replace(F.replace(F.lower(x), F.lit("ё"), F.lit("е")), "[^а-яa-z]", "")
-    rows = rows.withColumn("u", F.array_position(F.transform("body", lambda x: letters(x).isin(UNIT_LINES)), True).cast("int")).where("u > 0 and size(body) >= u + 4")
-    value = lambda k: F.get("body", F.col("u") + (k - 1))
-    raw = F.array_join(F.slice("body", F.lit(1), F.col("u") - 1), " ")
-    # what a note leaves at the ends of the name goes with it
-    name = F.regexp_replace(F.regexp_replace(raw, REGISTRY_NOTE, ""), r"^[ ,]+|[ ,]+$", "")
+    put = lambda c, *pairs: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
+    plain = put(F.col("text"), ("\u00a0", " "), ("\t", " "), ("\r", "\n"), ("\x0b", "\n"), ("\x0c", "\n"))
+    lines = F.btrim(F.regexp_replace(put(F.regexp_replace(plain, " {2,}", " "), (" \n", "\n"), ("\n ", "\n")), "\n{2,}", "\n"), F.lit(" \n"))
+    marked = docs.select(key, F.split(F.concat(F.lit("\n"), lines), _ITEM).alias("parts"))
+    value = lambda s, k: F.get(s["values"], k)
     number = lambda x, scale: F.when(x.rlike(r"\d"), to_decimal(x, scale))
-    out = rows.select(
-        key, "ord", "row_number", name.alias("name"), F.nullif(F.regexp_extract(name, TRADEMARK, 1), F.lit("")).alias("trademark"), value(0).alias("unit"), number(value(1), 6).alias("qty"), number(value(2), 2).alias("price"),
-        value(3).alias("vat_text"), F.when(value(3).rlike(r"^\d+(?:[,.]\d+)?$"), to_decimal(value(3), 2)).alias("vat_rate"), number(value(4), 2).alias("total"), F.regexp_extract_all(raw, F.lit(REGISTRY_NOTE), F.lit(0)).alias("notes"),
+    # what a note leaves at the ends of the name goes with it
+    name = lambda raw: F.regexp_replace(F.regexp_replace(raw, REGISTRY_NOTE, ""), r"^[ ,]+|[ ,]+$", "")
+    # a filter on rows would be pushed below what it asks for, which would then be worked out again for each use
+    # split with a pattern compiles it for each text, the others once
+    cut = F.transform(F.slice("parts", 2, F.size("parts")), lambda x, j: F.struct(j.alias("ord"), F.when(j == F.size("parts") - 2, F.regexp_replace(x, _SUM, "")).otherwise(x).alias("item")))
+    cut = F.transform(cut, lambda s: F.struct(s["ord"].alias("ord"), s["item"].alias("item"), F.regexp_extract(s["item"], _UNIT, 1).alias("tail")))
+    cut = F.filter(cut, lambda s: s["tail"] != "")
+    cut = F.transform(cut, lambda s: F.struct(s["ord"].alias("ord"), F.split(F.call_function("substring_index", s["item"], s["tail"], F.lit(1)), "\n", 2).alias("head"), F.split(s["tail"], "\n").alias("values")))
+    cut = F.transform(cut, lambda s: F.struct(
+        s["ord"].alias("ord"), s["head"][0].alias("row_number"), F.replace(F.coalesce(F.get(s["head"], F.lit(1)), F.lit("")), F.lit("\n"), F.lit(" ")).alias("raw"), value(s, 1).alias("unit"),
+        number(value(s, 2), 6).alias("qty"), number(value(s, 3), 2).alias("price"), value(s, 4).alias("vat_text"), number(value(s, 5), 2).alias("total"),
+    ))
+    cut = F.filter(cut, lambda s: s["qty"].isNotNull() & s["price"].isNotNull() & s["total"].isNotNull())
+    cut = F.transform(cut, lambda s: F.struct(*[s[n].alias(n) for n in ("ord", "row_number", "raw", "unit", "qty", "price", "vat_text", "total")], name(s["raw"]).alias("name")))
+    return marked.select(key, F.inline(cut)).select(
+        key, "ord", "row_number", "name", F.nullif(F.regexp_extract("name", TRADEMARK, 1), F.lit("")).alias("trademark"), "unit", "qty", "price", "vat_text",
+        F.when(F.col("vat_text").rlike(r"^\d+(?:[,.]\d+)?$"), to_decimal(F.col("vat_text"), 2)).alias("vat_rate"), "total", F.regexp_extract_all("raw", F.lit(REGISTRY_NOTE), F.lit(0)).alias("notes"),
     )
-    return out.where("qty is not null and price is not null and total is not null")

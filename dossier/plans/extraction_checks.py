@@ -143,7 +143,7 @@ def facts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _offer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An offer for each package: a header, items over five to eight lines, prose between, the sum and a term."""
-    w = item_parts(spark, sf_dir)
+    w = item_parts(spark, sf_dir, "name", "brand")
     money = lambda c: F.replace((c / 100).cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
     name = F.concat_ws("\n", F.substring_index("name", " ", 2), F.regexp_extract("name", r"^\S+ \S+ ?(.*)$", 1))
     note = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("№ реестровой  записи "), F.col("item"))).when(F.col("seq") % 3 == 1, F.concat(F.lit("Товарный знак "), F.col("brand")))

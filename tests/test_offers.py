@@ -67,6 +67,27 @@ def test_rows(spark):
     assert got[6, "1.1"].name == ""
 
 
+def test_odd_lines(spark):
+    """Blanks and line ends of every kind, units among other signs, sums before the last item, numbers before a unit."""
+    body = "\n1\n2\n20\n4"
+    texts = [
+        "\u00a01.1\u00a0\r\n\t x\x0b\x0c \r \t a \t b\rШ-Т ." + body, "1.1\n(усл.) Ёд:" + body, "1.1\nКшт" + body, "1.1\nкомплекты" + body, "1.1\nшт\nшт" + body,
+        "1.1\nСумма коммерческого предложения\nшт" + body + "\n1.2\nсумма  коммерческого\u00a0предложения:\nшт" + body, "1.1\n😀 № реестровой записи 1\nшт" + body, "1.1\nшт\n1\n2\n20",
+        "1.1\n1.2\nшт" + body, "1.1.1\nшт" + body, "1.1\n" + "a\n" * 50000 + "шт" + body, " " * 100000 + "1.1\nшт" + body,
+    ]
+    got = {(r.doc_id, r.ord): r for r in op.offer_text_rows(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert sorted(got) == [(0, 0), (1, 0), (5, 0), (6, 0), (8, 1), (10, 0), (11, 0)]
+    assert [(got[k, 0].name, got[k, 0].unit) for k in (0, 1, 6)] == [("x a b", "Ш-Т ."), ("", "(усл.) Ёд:"), ("😀", "шт")]
+    assert got[5, 0].name == "Сумма коммерческого предложения" and got[6, 0].notes == ["№ реестровой записи 1"] and len(got[10, 0]["name"]) == 99999
+
+
+def test_items_are_cut_once(spark):
+    """The pattern of a unit stands once in the plan: a filter on the rows had it (and the lines) worked out for each use."""
+    rows = op.offer_text_rows(spark.createDataFrame([(1, TEXT, "x")], DOC))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^а-яa-z]") + plan.count(op._UNIT[-20:]) == 1
+
+
 def test_requisites(spark):
     docs = spark.createDataFrame([(1, TEXT, "x"), (2, None, "x"), (3, "32.13.2024 № 5\nбез НДС", "x")], DOC)
     got = {r.doc_id: r for r in op.offer_requisites(docs).collect()}
