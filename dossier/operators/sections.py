@@ -107,9 +107,8 @@ def pack_chunks(blocks: DataFrame, budget: int = 30_000, key: str = "doc_id") ->
 
 def chunk_text(docs: DataFrame, size: int = 300, overlap: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of ``size`` characters that overlap: key, chunk, text. An empty text has none."""
-    step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - overlap - 1, F.lit(0)), F.lit(step))
-    pieces = docs.where(F.length(text) > 0).select(key, text, F.posexplode(starts).alias("chunk", "_at"))
-    return pieces.select(key, "chunk", F.substring(F.col(text), F.col("_at") + 1, F.lit(size)).alias("text"))
+    # one pass over the text: a piece is looked at ahead, then its step is passed; after the first, more than the overlap has to be left
+    piece = rf"(?s)(?:\A|(?=.{{{overlap + 1}}}))(?=(.{{1,{size}}})).{{1,{size - overlap}}}"
+    return docs.where(F.length(text) > 0).select(key, F.posexplode(F.regexp_extract_all(text, F.lit(piece), F.lit(1))).alias("chunk", "text"))
 
 
