@@ -74,8 +74,9 @@ def infer_numbers(rows: DataFrame) -> DataFrame:
 def classify_rows(rows: DataFrame) -> DataFrame:
     """total, numbering (1, 2, 3 …), empty or item, for rows with an array ``texts`` in column order."""
     first = norm_text(F.get("texts", F.lit(0)))
-    total = F.exists(F.array(*[F.lit(t) for t in TOTALS]), lambda t: F.startswith(first, t))
-    numbering = (F.size("texts") >= 2) & F.forall(F.transform("texts", lambda x, i: F.coalesce(F.trim(x) == (i + 1).cast("string"), F.lit(False))), lambda ok: ok)
+    total = first.rlike(f"^(?:{'|'.join(TOTALS)})")
+    one = F.coalesce(F.trim(F.get("texts", F.lit(0))) == "1", F.lit(False))
+    numbering = (F.size("texts") >= 2) & one & F.forall(F.transform("texts", lambda x, i: F.coalesce(F.trim(x) == (i + 1).cast("string"), F.lit(False))), lambda ok: ok)
     filled = F.exists("texts", lambda x: F.trim(x) != "")
     return rows.withColumn("row_type", F.when(~F.coalesce(filled, F.lit(False)), "empty").when(total, "total").when(numbering, "numbering").otherwise("item"))
 
@@ -87,6 +88,37 @@ def key_values(cells: DataFrame) -> DataFrame:
     return rows.where(F.size("t") >= 2).select(*TABLE, "r", F.get("t", F.lit(0)).alias("key"), F.array_join(F.slice("t", F.lit(2), F.size("t")), " ").alias("value"))
 
 
+def column_rows(rows: DataFrame, is_data: Column, continues: Column, keywords: dict[str, str], most: int = 8) -> DataFrame:
+    """Rows (table, r, an array ``cells`` of c, row_span, col_span, text; each place once) with a column for each keyword: their cell,
+    if any, in the first column whose header path has it.
+
+    This is ``infer_headers``, ``header_paths`` and ``select_columns`` in windows by table over one pass of the rows, without
+    a join: only the header, of ``most`` rows at most, is held together.
+    """
+    w = W.partitionBy(*TABLE)
+    # the only window with an order comes first, so that its sort serves the others too
+    seen = rows.withColumn("_n", F.row_number().over(w.orderBy("r")))
+    seen = seen.withColumn("_stop", F.min(F.when(is_data & ~continues, F.col("r"))).over(w))
+    is_header = (F.col("r") < F.coalesce("_stop", F.lit(0))) & (F.col("r") < most)
+    seen = seen.withColumn("_heads", F.collect_list(F.when(is_header, F.struct("r", "cells"))).over(w))
+    span = lambda start, n: F.sequence(start, start + n - 1)
+    places = lambda h, x: F.flatten(F.transform(span(h["r"], x["row_span"]), lambda r: F.transform(span(x["c"], x["col_span"]), lambda c: F.struct(c.alias("c"), r.alias("r"), x["text"].alias("text")))))
+    dense = F.flatten(F.flatten(F.transform("_heads", lambda h: F.transform(h["cells"], lambda x: places(h, x)))))
+    # worked out in the first row of a table only; each step is used twice by the next one, so it is a column of its own
+    seen = seen.withColumn("_dense", F.when(F.col("_n") == 1, F.sort_array(F.filter(dense, lambda x: F.exists("_heads", lambda h: h["r"] == x["r"])))))
+    above = lambda i: F.get("_dense", i - 1)
+    kept = F.filter("_dense", lambda x, i: (i == 0) | (above(i)["c"] != x["c"]) | above(i)["text"].isNull() | (above(i)["text"] != x["text"]))
+    seen = seen.withColumn("_kept", kept)
+    path = lambda c: F.lower(F.array_join(F.transform(F.filter("_kept", lambda y: y["c"] == c), lambda y: y["text"]), " / "))
+    paths = F.transform(F.array_distinct(F.transform("_kept", lambda x: x["c"])), lambda c: F.struct(c.alias("c"), path(c).alias("path")))
+    seen = seen.withColumn("_paths", paths)
+    first = lambda k: F.get(F.filter("_paths", lambda p: F.contains(p["path"], F.lit(k))), F.lit(0))["c"]
+    firsts = F.when(F.col("_n") == 1, F.struct(*[first(k).alias(name) for name, k in keywords.items()]))
+    seen = seen.withColumn("_firsts", F.first(firsts, True).over(w))
+    cell = lambda name: F.get(F.filter("cells", lambda x: x["c"] == F.col("_firsts")[name]), F.lit(0))
+    return seen.select(*rows.columns, *[cell(name).alias(name) for name in keywords])
+
+
 def select_columns(cells: DataFrame, paths: DataFrame, keywords: dict[str, str]) -> DataFrame:
     """Rows with one column for each keyword: the cell of the first column whose header path has it."""
     low = F.lower("path")
