@@ -35,6 +35,14 @@ def spec_rows(cells: DataFrame, paths: DataFrame, keywords: dict[str, str], numb
     return wide.select(*TABLE, "r", *[to_decimal(F.col(k)).alias(k) if k in numbers else F.col(k) for k in keywords])
 
 
+def typed_rows(rows: DataFrame, columns: list[str], numbers: list[str]) -> DataFrame:
+    """``spec_rows`` for the rows of ``column_rows``: nothing is joined or grouped."""
+    found = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns])
+    good = classify_rows(rows.where(found).withColumn("texts", F.transform("cells", lambda x: x["text"]))).where("row_type = 'item'")
+    text = lambda c: F.col(c)["text"]
+    return good.select(*TABLE, "r", *[(to_decimal(text(c)) if c in numbers else text(c)).alias(c) for c in columns])
+
+
 def stage_rows(rows: DataFrame) -> DataFrame:
     """Rows with a stage number: number, name, first and last date of the term, price. Input: key columns, number, name, term, price."""
     dates = extract_dates(F.col("term"))

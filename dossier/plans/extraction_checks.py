@@ -9,7 +9,7 @@ from ..operators import extraction as op
 from ..operators import facts, tables
 from .registry import ITEMS, PARTS, item_parts, items, parts, query, table
 from .rule_checks import _NORM
-from .table_checks import _BLOCKS, _GRID, _blocks, _cells, _headers, _lines
+from .table_checks import _BLOCKS, _GRID, _blocks, _cells, _columns, _lines
 
 
 @query(f"""WITH {_GRID}, t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'plan' ELSE 'contract' END AS doc_type, lower(string_agg(text, ' ')) AS text FROM cells GROUP BY doc_id)
@@ -22,9 +22,8 @@ def table_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_GRID} SELECT doc_id, 't' AS table_id, r, name AS what, qty::DECIMAL(24,6) AS number, total::DECIMAL(24,6) AS total FROM l UNION ALL SELECT doc_id, 't', 1, 'name', NULL, NULL FROM (SELECT DISTINCT doc_id FROM l) UNION ALL SELECT doc_id, 't', 0, 'item', NULL, NULL FROM (SELECT DISTINCT doc_id FROM l)""")
 def spec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _cells(spark, sf_dir)
-    paths = tables.header_paths(tables.dense_cells(cells), _headers(spark, sf_dir))
-    return op.spec_rows(cells, paths, {"what": "item / name", "number": "number", "total": "total"}, ["number", "total"])
+    keywords = {"what": "item / name", "number": "number", "total": "total"}
+    return op.typed_rows(_columns(spark, sf_dir, keywords), list(keywords), ["number", "total"])
 
 
 @query(f"""WITH {ITEMS} SELECT pk, seq, seq || '.' || (item % 9) AS number, CASE WHEN seq % 4 <> 0 THEN day END AS start_date, CASE WHEN seq % 4 <> 0 THEN day + 30 END AS end_date, (total / 100)::DECIMAL(24,2) AS price FROM items WHERE seq % 3 <> 0""")

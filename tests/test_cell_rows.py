@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier import catalog
-from dossier.operators import tables
+from dossier.operators import extraction, tables
 from dossier.plans import registry
 
 from .test_queries import SF, TABLES, plain
@@ -47,9 +47,10 @@ def test_columns_of_rows_are_those_of_cells(spark):
     got = found.where(" or ".join(f"{k} is not null" for k in keywords)).select("doc_id", "table_id", "r", *[F.col(k)["text"].alias(k) for k in keywords])
     want = tables.select_columns(cells, paths, keywords)
     assert rows_of(got) == rows_of(want) and want.where("both is not null").count() > 20
+    assert rows_of(extraction.typed_rows(found, list(keywords), ["sum"])) == rows_of(extraction.spec_rows(cells, paths, keywords, ["sum"]))
 
 
-@pytest.mark.parametrize("name", ["select_columns", "dense_cells", "origin_cells", "table_kind"])
+@pytest.mark.parametrize("name", ["select_columns", "spec_rows", "dense_cells", "origin_cells", "table_kind"])
 def test_lines_in_slices_bring_their_grid_in_one_pass(spark, monkeypatch, name):
     monkeypatch.setattr(registry, "SLICE_ROWS", 500)
     db = duckdb.connect()
