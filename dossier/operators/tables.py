@@ -133,6 +133,17 @@ def unpivot_suppliers(cells: DataFrame, sources: DataFrame) -> DataFrame:
     return met.groupBy(*TABLE, "r", "source").pivot("measure", ["unit_price", "row_total"]).agg(F.first("text"))
 
 
+def unpivot_rows(rows: DataFrame) -> DataFrame:
+    """``unpivot_suppliers`` for rows (table, r, an array ``cells`` of c and text, each place once) that bring their table's
+    ``sources`` (c, source, measure) as an array: nothing is joined or grouped."""
+    known = F.filter("cells", lambda x: F.exists("sources", lambda y: y["c"] == x["c"]))
+    met = rows.select(*TABLE, "r", known.alias("cells"), "sources")
+    own = F.array_distinct(F.transform(F.filter("sources", lambda y: F.exists("cells", lambda x: x["c"] == y["c"])), lambda y: y["source"]))
+    met = met.select(*TABLE, "r", "cells", "sources", F.explode(own).alias("source"))
+    at = lambda m: F.get(F.filter("cells", lambda x: F.exists("sources", lambda y: (y["source"] == F.col("source")) & (y["measure"] == m) & (y["c"] == x["c"]))), F.lit(0))["text"]
+    return met.select(*TABLE, "r", "source", at("unit_price").alias("unit_price"), at("row_total").alias("row_total"))
+
+
 def nest_items(items: DataFrame, chars: DataFrame) -> DataFrame:
     """Items with their characteristics as one text; characteristics without an item are kept with a warning. Both: pk, seq."""
     line = F.concat_ws("=", "name", "value")

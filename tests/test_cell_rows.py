@@ -50,7 +50,16 @@ def test_columns_of_rows_are_those_of_cells(spark):
     assert rows_of(extraction.typed_rows(found, list(keywords), ["sum"])) == rows_of(extraction.spec_rows(cells, paths, keywords, ["sum"]))
 
 
-@pytest.mark.parametrize("name", ["select_columns", "spec_rows", "dense_cells", "origin_cells", "table_kind"])
+def test_suppliers_of_rows_are_those_of_cells(spark):
+    rows = spark.createDataFrame(list(grids(60)), ROWS)
+    names = [(0, "a", "unit_price"), (1, "a", "row_total"), (2, "b", "row_total"), (3, "c", "unit_price"), (9, "d", "unit_price"), (2, "e", "other")]
+    cells = rows.select("doc_id", "table_id", "r", F.inline("cells"))
+    sources = cells.select("doc_id", "table_id").distinct().join(spark.createDataFrame(names, "c int, source string, measure string"), F.lit(True))
+    own = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("source"), F.lit(m).alias("measure")) for c, s, m in names])
+    assert rows_of(tables.unpivot_rows(rows.withColumn("sources", own))) == rows_of(tables.unpivot_suppliers(cells, sources))
+
+
+@pytest.mark.parametrize("name", ["select_columns", "spec_rows", "unpivot_suppliers", "dense_cells", "origin_cells", "table_kind"])
 def test_lines_in_slices_bring_their_grid_in_one_pass(spark, monkeypatch, name):
     monkeypatch.setattr(registry, "SLICE_ROWS", 500)
     db = duckdb.connect()
