@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,19 +81,21 @@ def _aggregated(df: DataFrame, checks: dict[int, Check]) -> DataFrame:
     own = [F.expr(_filtered(sql, c.where)).alias(f"c{k}_{name}") for k, c in plain.items() for name, sql in c.measures.items()]
     if not grouped:
         return df.groupBy("pk").agg(*own)
-    columns = ["pk", *sorted({x for c in grouped.values() for x in c.by})]
+    columns = sorted({x for c in grouped.values() for x in c.by})
     sets = sorted({c.by for c in grouped.values()})
-    number = lambda by: sum(1 << (len(columns) - 1 - i) for i, x in enumerate(columns) if x != "pk" and x not in by)
-    parts = [F.expr(_filtered(sql, c.where)).alias(f"p{k}_{name}") for k, c in grouped.items() for name, sql in c.parts.items()]
-    wanted = [["pk", *by] for by in sets] + ([["pk"]] if plain else [])
-    every = df.groupingSets([[F.col(f"`{x}`") for x in s] for s in wanted], *[F.col(f"`{x}`") for x in columns])
-    each = every.agg(F.grouping_id().alias("_set"), *parts, *own)
-    folded = [F.expr(_filtered(_named(sql, f"p{k}_"), f"_set = {number(c.by)}")).alias(f"c{k}_{name}") for k, c in grouped.items() for name, sql in c.measures.items()]
-    kept = [F.expr(_filtered(f"max(`c{k}_{name}`)", f"_set = {number(())}")).alias(f"c{k}_{name}") for k, c in plain.items() for name in c.measures]
+    number = {by: n for n, by in enumerate([*sets, ()] if plain else sets)}
+    own = [F.expr(_filtered(sql, c.where, f"_set = {number[()]}")).alias(f"c{k}_{name}") for k, c in plain.items() for name, sql in c.measures.items()]
+    parts = [F.expr(_filtered(sql, c.where, f"_set = {number[c.by]}")).alias(f"p{k}_{name}") for k, c in grouped.items() for name, sql in c.parts.items()]
+    # grouping sets by hand: the rows stay where their package is, so a table that is dealt by package isn't shuffled
+    keys = [F.when(F.col("_set").isin([n for by, n in number.items() if x in by]), F.col(f"`{x}`")).alias(f"_by_{x}") for x in columns]
+    every = df.select("*", F.explode(F.array(*map(F.lit, number.values()))).alias("_set"))
+    each = every.groupBy("pk", "_set", *keys).agg(*parts, *own)
+    folded = [F.expr(_filtered(_named(sql, f"p{k}_"), f"_set = {number[c.by]}")).alias(f"c{k}_{name}") for k, c in grouped.items() for name, sql in c.measures.items()]
+    kept = [F.expr(_filtered(f"max(`c{k}_{name}`)", f"_set = {number[()]}")).alias(f"c{k}_{name}") for k, c in plain.items() for name in c.measures]
     return each.groupBy("pk").agg(*folded, *kept)
 
 
-def _finding(k: int, c: Check) -> str:
+def _finding(k: int, c: Check, wanted: list[str]) -> str:
     sql = lambda x: _named(x, f"c{k}_")
     cases = [f"WHEN NOT coalesce({sql(c.applies)}, false) THEN 'not_applicable'"] if c.applies else []
     cases += [f"WHEN NOT coalesce({sql(c.known)}, false) THEN 'manual_review'", f"WHEN coalesce({sql(c.good)}, false) THEN 'passed'"]
@@ -100,20 +103,28 @@ def _finding(k: int, c: Check) -> str:
     text = lambda x: f"CAST({sql(x)} AS STRING)" if x else "CAST(NULL AS STRING)"
     details = f"to_json(named_struct({', '.join(f"'{m}', `c{k}_{m}`" for m in c.measures)}))" if c.measures else "CAST(NULL AS STRING)"
     fields = {"check_id": f"'{c.id}'", "section": f"'{c.section}'", "status": f"CASE {' '.join(cases)} ELSE 'failed' END", "expected": text(c.expected), "actual": text(c.actual), "details": details}
-    return f"named_struct({', '.join(f"'{n}', {x}" for n, x in fields.items())})"
+    return f"named_struct({', '.join(f"'{n}', {x}" for n, x in fields.items() if n in wanted)})"
 
 
-def audit(packages: DataFrame, tables: dict[str, DataFrame], checks: list[Check], others: list[DataFrame] = ()) -> DataFrame:
-    """The findings of all checks whose fact table is given, and those of ``others`` (tables of findings from elsewhere)."""
+def audit(packages: DataFrame, tables: dict[str, DataFrame], checks: list[Check], others: list[DataFrame] = (), columns: list[str] = (*FIELDS, "section"), apart: bool = False) -> DataFrame:
+    """The findings of all checks whose fact table is given, and those of ``others`` (tables of findings from elsewhere).
+
+    Only the named columns are worked out: Spark doesn't leave out unused fields of rows that it unfolds. Packages and
+    tables that are dealt by pk into the same number of parts are grouped and joined without a shuffle; if each table then
+    meets the packages ``apart``, these are read as often, but a task holds the sorts of one table only.
+    """
     used = {k: c for k, c in enumerate(checks) if c.table is None or c.table in tables}
-    wide = packages
+    unfolded = lambda wide, own: wide.select(F.col("pk").cast("string").alias("pk"), F.expr(f"inline(array({', '.join(_finding(k, c, [*columns, 'status']) for k, c in own.items())}))"))
+    wide, each = packages, [unfolded(packages, own)] if apart and (own := {k: c for k, c in used.items() if c.table is None}) else []
     for name in tables:
         if own := {k: c for k, c in used.items() if c.table == name}:
-            wide = wide.join(_aggregated(tables[name], own), "pk", "left")
-    each = wide.select(F.col("pk").cast("string").alias("pk"), F.expr(f"inline(array({', '.join(_finding(k, c) for k, c in used.items())}))"))
-    out = each.withColumn("severity", severity(F.col("status"))).select(*FIELDS, "section")
+            met = (packages if apart else wide).join(_aggregated(tables[name], own), "pk", "left")
+            if apart:
+                each.append(unfolded(met, own))
+            wide = met
+    out = reduce(DataFrame.unionByName, each or [unfolded(wide, used)]).withColumn("severity", severity(F.col("status"))).select(*columns)
     for more in others:
-        out = out.unionByName(more.select(*FIELDS, F.lit("external").alias("section")))
+        out = out.unionByName(more.select(*FIELDS, F.lit("external").alias("section")).select(*columns))
     return out
 
 

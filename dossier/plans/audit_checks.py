@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import audit as op
-from ..sources.shared import written
-from .registry import ITEMS, PARTS, item_parts, items, parts, query, table
+from ..sources.shared import bucketed
+from .registry import ITEMS, PARTS, item_parts, query, sliced, table
+
+#: Lines of a bucket. A task sorts all fact tables of its bucket, so it is less than a slice.
+BUCKET_ROWS = 100_000
 
 _ROLES = "CASE source % 7 WHEN 0 THEN 'plan' WHEN 1 THEN 'request' WHEN 2 THEN 'onmck' WHEN 3 THEN 'contract' WHEN 4 THEN 'ooz' WHEN 5 THEN 'explanatory_note' ELSE 'commercial_offer' END"
 _SIDE = "CASE WHEN flag = 'A' THEN 'plan' WHEN flag = 'R' THEN 'contract' ELSE 'onmck' END"
+_FIELDS = {
+    "subject": "CASE WHEN seq % 3 = 0 THEN upper(name) ELSE concat(' ', substr(name, 1, 6)) END",
+    "funding": "CASE WHEN item % 4 = 0 THEN '-' WHEN item % 2 = 0 THEN 'budget' ELSE 'own' END",
+    "delivery_place": "CASE WHEN seq % 5 = 0 THEN ' ' ELSE brand END",
+    "warranty": "CASE WHEN item % 3 = 0 THEN '12 months' ELSE '12  Months ' END",
+    "required": "CASE WHEN size < 25 THEN 'yes' ELSE 'no' END",
+}
 #: The fact tables as SQL over ``i`` (lines with their part) and ``o`` (orders), read by Spark and DuckDB alike.
 _FACTS = {
     "files": f"SELECT pk, {_ROLES} AS role FROM i UNION ALL SELECT pk, 'commercial_offer' FROM i WHERE flag = 'N'",
-    "fields": f"""SELECT pk, {_SIDE} AS role, 'subject' AS field, CASE WHEN seq % 3 = 0 THEN upper(name) ELSE concat(' ', substr(name, 1, 6)) END AS value FROM i
-        UNION ALL SELECT pk, {_SIDE}, 'funding', CASE WHEN item % 4 = 0 THEN '-' WHEN item % 2 = 0 THEN 'budget' ELSE 'own' END FROM i
-        UNION ALL SELECT pk, {_SIDE}, 'delivery_place', CASE WHEN seq % 5 = 0 THEN ' ' ELSE brand END FROM i
-        UNION ALL SELECT pk, {_SIDE}, 'warranty', CASE WHEN item % 3 = 0 THEN '12 months' ELSE '12  Months ' END FROM i
-        UNION ALL SELECT pk, {_SIDE}, 'required', CASE WHEN size < 25 THEN 'yes' ELSE 'no' END FROM i""",
+    "fields": "\n        UNION ALL ".join(f"SELECT pk, {_SIDE}{' AS role' * (n == 0)}, '{name}'{' AS field' * (n == 0)}, {sql}{' AS value' * (n == 0)} FROM i" for n, (name, sql) in enumerate(_FIELDS.items())),
     "amounts": f"SELECT pk, {_SIDE} AS role, CASE WHEN item % 5 <> 0 THEN CASE WHEN seq < 3 THEN 100 ELSE 100 + seq % 4 END END AS amount FROM i UNION ALL SELECT pk, 'plan', CASE WHEN pk % 3 = 0 THEN amount ELSE 100 END FROM o",
     "rows": "SELECT pk, seq, qty, CASE WHEN seq % 6 <> 0 THEN total END AS price, CASE WHEN seq % 3 = 0 THEN total ELSE qty * total END AS total FROM i",
     "prices": "SELECT pk, seq % 2 AS seq, source % 3 AS source, qty, CASE WHEN item % 9 <> 0 THEN total END AS price, CASE WHEN item % 2 = 0 THEN qty * total END AS total, CASE WHEN pk % 2 = 0 THEN total * qty END AS declared, CASE WHEN pk % 3 <> 0 THEN total END AS declared_min FROM i",
@@ -31,6 +37,11 @@ _FACTS = {
     "clauses": "SELECT pk, CASE WHEN flag = 'A' THEN 'customer' ELSE 'supplier' END AS party, CASE WHEN role = 'O' AND flag <> 'A' THEN 'value' ELSE 'non_value' END AS kind, CASE WHEN role = 'O' AND flag <> 'A' THEN CASE WHEN seq % 2 = 0 THEN 10 ELSE 5 END ELSE CASE WHEN item % 2 = 0 THEN 1000 ELSE 5000 END END AS stated FROM i",
     "sections": "SELECT pk, CASE seq WHEN 1 THEN 'Привлечь СМП и СОНКО' WHEN 2 THEN 'Привлечь субъектов малого предпринимательства, 25 процентов' WHEN 3 THEN 'Вправе осуществлять замену субподрядчика' WHEN 4 THEN 'Гражданско-правовая ответственность за непредставление' END AS text FROM i",
 }
+#: Facts of which a line has several, for Spark.
+_UNFOLDED = {
+    "files": f"SELECT pk, explode(CASE WHEN flag = 'N' THEN array({_ROLES}, 'commercial_offer') ELSE array({_ROLES}) END) AS role FROM i",
+    "fields": f"SELECT pk, {_SIDE} AS role, inline(array({', '.join(f"named_struct('field', '{name}', 'value', {sql})" for name, sql in _FIELDS.items())})) FROM i",
+}
 _ORDERS = "SELECT o_orderkey AS pk, CAST(round(o_totalprice * 100) AS BIGINT) AS amount, CAST(o_orderdate AS DATE) AS day, o_orderstatus AS state FROM orders"
 _PACKAGES = "SELECT pk, CASE WHEN pk % 4 = 0 THEN amount * 100 ELSE amount END AS amount, CASE WHEN pk % 7 <> 0 THEN date_add(day, 60) END AS end_date, CASE WHEN state <> 'P' THEN state = 'F' END AS extra_present FROM o"
 
@@ -116,10 +127,15 @@ _DUCK_FACTS = ",\n".join(f"{name} AS ({sql})" for name, sql in _FACTS.items())
 
 def facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(packages, fact tables) of the given tables."""
-    lines = written(item_parts(spark, sf_dir, "name", "brand", "kind", "size", "code"), "audit-lines")
-    o = spark.sql(_ORDERS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    n = table(spark, sf_dir, "lineitem").count()
+    # fourteen fact tables are views of these lines, and all of them are grouped and joined by package
+    buckets = max(1 + n // BUCKET_ROWS, sliced(spark, n) or 1)
+    lines = bucketed(item_parts(spark, sf_dir, "name", "brand", "kind", "size", "code", slices=buckets), "audit-lines", "pk", buckets)
+    o = bucketed(spark.sql(_ORDERS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders")), "audit-orders", "pk", buckets)
     bind = lambda sql: spark.sql(sql.replace(" FROM i", " FROM {i}").replace(" FROM o", " FROM {o}"), **{k: v for k, v in {"i": lines, "o": o}.items() if f" FROM {k}" in sql})
-    return bind(_PACKAGES), {name: bind(sql) for name, sql in _FACTS.items()}
+    # a union's rows are dealt again by package; where it is of lines alone, each line is unfolded instead
+    own = {name: bind(sql) for name, sql in (_FACTS | _UNFOLDED).items()}
+    return bind(_PACKAGES), own | {"amounts": own["amounts"].repartition(buckets, "pk")}
 
 
 @query(f"""WITH {ITEMS.replace("items AS", "lines AS")}, {PARTS}, i AS (SELECT * FROM lines JOIN parts USING (item)), o AS ({_ORDERS}), p AS ({_PACKAGES.replace("date_add(day, 60)", "day + 60")}),
@@ -129,4 +145,4 @@ SELECT pk::VARCHAR AS pk, check_id, status, CASE status WHEN 'failed' THEN 'high
 def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All checks of all packages, one scan for each fact table."""
     packages, tables = facts(spark, sf_dir)
-    return op.audit(packages, tables, op.standard_checks()).select("pk", "check_id", "status", "severity")
+    return op.audit(packages, tables, op.standard_checks(), columns=["pk", "check_id", "status", "severity"], apart=True)
