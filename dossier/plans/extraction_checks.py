@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extraction as op
-from ..operators import facts, tables
+from ..operators import facts
 from .registry import ITEMS, PARTS, item_parts, items, parts, query, table
 from .rule_checks import _NORM
 from .table_checks import _BLOCKS, _GRID, _blocks, _cells, _columns, _lines
